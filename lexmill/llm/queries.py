@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontaminate, fingerprints, pii, quality, token_store, warc
+from lexmill.llm import bpe, decontaminate, fingerprints, jaccard, licenses, pii, quality, suffix_dedup, token_store, warc
 from lexmill.llm.common import table
 
 
@@ -27,6 +28,15 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +45,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return got.selectExpr("doc_id", "start", "cast(octet_length(ids) / 4 as long) as n_tokens", "crc32(ids) as ids_crc32")
@@ -45,8 +59,11 @@ QUERIES = {
     "op2_quality_nbsvm": op2_quality_nbsvm,
     "op3_pii_anchors": op3_pii_anchors,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_fingerprints": op8_fingerprints,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_store": op10_token_store,
 }
 
