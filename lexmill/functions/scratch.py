@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder; one of our own serves only where the setting is absent, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once and read it back. A folder of our own serves only where the setting is absent."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    folder = named.rstrip("/") if named else _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write ``df`` once and read it back."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -76,7 +76,7 @@ def search_effectiveness(events: DataFrame, as_of: str, hours: tuple[int, ...] =
     """Per layer and trailing window: queries, hits, zero-hit queries, rates to four places.
 
     Each event is copied to the windows that hold it: the windows are a fixed few."""
-    age = (F.to_timestamp(F.lit(as_of)).cast("double") - F.col("created_at").cast("double")) / 3600.0
+    age = (F.to_timestamp(F.lit(as_of)).cast("double") - F.col("created_at").cast("timestamp").cast("double")) / 3600.0
     spans = events.withColumn("window_hours", F.explode(F.filter(F.array(*map(F.lit, hours)), lambda h: (age >= 0) & (age <= h))))
     hit = F.col("hit_count") > 0
     g = spans.groupBy("layer", "window_hours").agg(F.count("*").alias("queries"), F.count_if(hit).alias("hit_queries"), F.count_if(~hit).alias("zero_hit"), F.sum("hit_count").alias("hits"), F.max("hit_count").alias("most_hits"))

@@ -23,6 +23,10 @@ def tokens_of(query: str) -> list[str]:
     return out
 
 
+def _count_of(tokens: Column, token: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == token))
+
+
 def keyword_score(body: Column, query: str) -> Column:
     """Sum over query tokens of 1 + .25 * min(count - 1, 2) over their number, plus .25 for the
     phrase, plus the density up to .25, at most 1.  Only the query's own tokens are kept of a text."""
@@ -31,7 +35,7 @@ def keyword_score(body: Column, query: str) -> Column:
         return F.lit(0.0)
     found = text.search_tokens(body)
     size = F.size(found)
-    counts = [F.size(F.filter(found, lambda t, q=q: t == q)) for q in own]
+    counts = [_count_of(found, q) for q in own]
     overlap = sum((F.when(c > 0, 1.0 + F.least(c - 1, F.lit(2)) * 0.25).otherwise(0.0) for c in counts), F.lit(0.0))
     phrase = F.when(F.instr(F.lower(body), query.strip().lower()) > 0, 0.25).otherwise(0.0)
     score = F.least(overlap / len(own) + phrase + F.least(overlap / F.greatest(size, F.lit(1)), F.lit(0.25)), F.lit(1.0))

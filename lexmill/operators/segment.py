@@ -44,7 +44,7 @@ def merge_short(blocks: DataFrame, least: int = 10) -> DataFrame:
 def split_toc(c: Column) -> Column:
     """A paragraph with three or more dot-leader entries, cut after each; the tail stays with the last."""
     n = F.regexp_count(c, F.lit(roles.TOC_TERMINATOR))
-    cut = F.filter(F.transform(F.split(F.regexp_replace(c, f"({roles.TOC_TERMINATOR})", "$1\u0000"), "\u0000"), F.trim), lambda p: p != "")
+    cut = F.filter(F.transform(F.split(F.regexp_replace(c, f"({roles.TOC_TERMINATOR})", "$1\u0000"), "\u0000"), lambda x: F.trim(x)), lambda p: p != "")
     complete = F.filter(cut, lambda p: p.rlike(roles.TOC_TERMINATOR + "$"))
     last = F.get(cut, F.size(cut) - 1)
     glued = F.when(F.size(complete) == F.size(cut), cut).otherwise(F.concat(F.slice(cut, F.lit(1), F.greatest(F.size(cut) - 2, F.lit(0))), F.array(F.concat_ws(" ", F.get(cut, F.size(cut) - 2), last))))
@@ -66,7 +66,7 @@ def split_structural(c: Column, least_lines: int = 10, least_items: int = 2) ->
 def split_inline(c: Column, least_length: int = 120, least_items: int = 2) -> Column:
     """A long paragraph with inline markers such as (5) or (a), cut before each that follows a blank."""
     marker = r"\s(\((?:\d+|[A-Za-z])\))"
-    parts = F.transform(F.split(F.regexp_replace(c, marker, "\u0000$1"), "\u0000"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(c, marker, "\u0000$1"), "\u0000"), lambda x: F.trim(x))
     return F.when((F.char_length(c) >= least_length) & (F.regexp_count(c, F.lit(marker)) >= least_items), parts).otherwise(F.array(c))
 
 

@@ -45,7 +45,7 @@ def strip_front_matter(c: Column) -> Column:
 def markdown_blocks(docs: DataFrame) -> DataFrame:
     """Headings (with level), tables (runs of pipe lines) and paragraphs of markdown texts, by islands of lines."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(strip_front_matter(F.coalesce("text", F.lit(""))), "\r\n?", "\n"), "\n")).alias("n", "line"))
-    cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     kind = F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^#{1,6}\s+.+?\s*$"), "title").when((F.instr("line", "|") > 0) & (F.size(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")) >= 2) & (F.size(cells) > 0), "table").otherwise("paragraph")
     w = Window.partitionBy("doc_id").orderBy("n")
     rows = lines.withColumn("type", kind).withColumn("opens", ((F.col("type") == "title") | (F.col("type") != F.lag("type", 1, "").over(w))).cast("int"))
@@ -59,7 +59,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
 def markdown_cells(blocks: DataFrame) -> DataFrame:
     """Cells of markdown table blocks; separator rows go."""
     rows = blocks.where("type = 'table'").select("doc_id", "position", F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    parts = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = rows.withColumn("parts", parts).where(~F.forall("parts", lambda c: c.rlike("^:?-{3,}:?$")))
     w = Window.partitionBy("doc_id", "position").orderBy("n")
     rows = rows.withColumn("row_index", F.row_number().over(w) - 1)
