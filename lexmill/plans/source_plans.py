@@ -38,10 +38,10 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer as a markdown text: a heading, a table, a paragraph."""
     w = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderstatus", F.lit(" |")).alias("row"))))
     g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(w.alias("r"))
-    return g.select("doc_id", F.concat(F.lit("---\nid: x\n---\n# Orders\n\n| key | status |\n|---|:-:|\n"), F.array_join("r.row", "\n"), F.lit("\n\nEnd of\nlist.\n")).alias("text"))
+    return g.select("doc_id", F.concat(F.lit("---\nid: x\n---\n# Orders\n\n| key | status |\n|---|:---:|\n"), F.array_join("r.row", "\n"), F.lit("\n\nEnd of\nlist.\n")).alias("text"))
 
 
-@query("markdown_blocks", """SELECT o_custkey AS doc_id, unnest([0, 1, 2])::BIGINT AS position, unnest(['title', 'table', 'paragraph']) AS type, unnest(['Orders', '| key | status |' || chr(10) || '|---|:-:|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey), 'End of' || chr(10) || 'list.']) AS content FROM orders GROUP BY o_custkey""")
+@query("markdown_blocks", """SELECT o_custkey AS doc_id, unnest([0, 1, 2])::BIGINT AS position, unnest(['title', 'table', 'paragraph']) AS type, unnest(['Orders', '| key | status |' || chr(10) || '|---|:---:|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey), 'End of' || chr(10) || 'list.']) AS content FROM orders GROUP BY o_custkey""")
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
     return R.markdown_blocks(_markdown(spark, d)).select("doc_id", F.col("position").cast("long").alias("position"), "type", "content")
 
