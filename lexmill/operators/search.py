@@ -23,23 +23,26 @@ def tokens_of(query: str) -> list[str]:
     return out
 
 
-def _count_of(tokens: Column, token: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == token))
+def _let(value: Column, then: object) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def keyword_score(body: Column, query: str) -> Column:
     """Sum over query tokens of 1 + .25 * min(count - 1, 2) over their number, plus .25 for the
-    phrase, plus the density up to .25, at most 1.  Only the query's own tokens are kept of a text."""
+    phrase, plus the density up to .25, at most 1.  A text is cut into tokens once."""
     own = tokens_of(query)
     if not own:
         return F.lit(0.0)
-    found = text.search_tokens(body)
-    size = F.size(found)
-    counts = [_count_of(found, q) for q in own]
-    overlap = sum((F.when(c > 0, 1.0 + F.least(c - 1, F.lit(2)) * 0.25).otherwise(0.0) for c in counts), F.lit(0.0))
     phrase = F.when(F.instr(F.lower(body), query.strip().lower()) > 0, 0.25).otherwise(0.0)
-    score = F.least(overlap / len(own) + phrase + F.least(overlap / F.greatest(size, F.lit(1)), F.lit(0.25)), F.lit(1.0))
-    return F.when((size > 0) & (overlap > 0), score).otherwise(0.0)
+
+    def scored(found: Column) -> Column:
+        counts = F.transform(F.array(*map(F.lit, own)), lambda q: F.size(F.filter(found, lambda t: t == q)))
+        overlap = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.when(c > 0, 1.0 + F.least(c - 1, F.lit(2)) * 0.25).otherwise(0.0))
+        score = lambda o: F.when(o > 0, F.least(o / len(own) + phrase + F.least(o / F.greatest(F.size(found), F.lit(1)), F.lit(0.25)), F.lit(1.0))).otherwise(0.0)
+        return F.when(F.size(found) == 0, 0.0).otherwise(_let(overlap, score))
+
+    return _let(text.search_tokens(body), scored)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,13 +59,15 @@ def vector_score(v: Column, query: list[float] | None) -> Column:
 
 
 def search(chunks: DataFrame, query: str, embedding: list[float] | None = None, limit: int = 10) -> DataFrame:
-    """The best chunks by role-weighted hybrid score: ties by id, scores of 0 dropped; a top-k plan, no full sort."""
+    """The best chunks by role-weighted hybrid score: ties by id, scores of 0 dropped; a top-k plan, no full sort.
+
+    Zeros are dropped after the limit, where they can only be last: a filter below it would score twice."""
     k = keyword_score(F.col("text"), query)
     v = vector_score(F.col("embedding"), embedding) if "embedding" in chunks.columns else F.lit(None).cast("double")
     s = chunks.select("*", k.alias("keyword"), v.alias("vector"))
     both = F.when(F.col("vector").isNotNull(), VECTOR_WEIGHT * F.col("vector") + KEYWORD_WEIGHT * F.col("keyword")).otherwise(F.col("keyword"))
     s = s.withColumn("score", text.round_half_up(F.greatest(both, F.lit(0.0)) * roles.role_weight(F.coalesce("semantic_role", F.lit("paragraph")))))
-    return s.where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(limit).drop("keyword", "vector")
+    return s.orderBy(F.desc("score"), "chunk_id").limit(limit).where("score > 0").drop("keyword", "vector")
 
 
 def retrieval_mode(chunks: DataFrame, dimension: int) -> DataFrame:
@@ -78,7 +83,7 @@ def structure_search(entries: DataFrame, query: str, limit: int = 10, role: str
     if tags:
         s = s.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     score = F.when(hits > 0, hits / F.lit(float(len(own) or 1)) * roles.role_weight(F.col("semantic_role")) + 0.02 * F.size("tags")).otherwise(0.0)
-    return s.withColumn("score", text.round_half_up(score)).where("score > 0").orderBy(F.desc("score"), "entry_id").limit(limit)
+    return s.withColumn("score", text.round_half_up(score)).orderBy(F.desc("score"), "entry_id").limit(limit).where("score > 0")
 
 
 def task_search(entries: DataFrame, query: str, limit: int = 10) -> DataFrame:
