@@ -113,7 +113,7 @@ def high_precision_layer(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).where(roles.high_precision(F.col("semantic_role"), F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
-@query("search_token_counts")
+@query("search_token_counts", f"SELECT item_id, CAST({Q.count('text', Q.WORD)} AS INTEGER) AS tokens FROM benchmark")
 def search_token_counts(spark: SparkSession, d: str) -> DataFrame:
     from lexmill.functions.text import search_tokens
 

@@ -54,7 +54,11 @@ def garble_reasons(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.garble_reason(text.garble(F.col("text"))).alias("reason"))
 
 
-@query("document_quality")
+@query("document_quality", f"""WITH p AS (SELECT doc_id, trim(text) AS t, {_PARTS} AS parts FROM documents),
+ s AS (SELECT doc_id, sum(n) AS rep FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(parts) AS w FROM p) WHERE length(w) <= 2 GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
+ f AS (SELECT doc_id, t = '' AS e, len(parts) > 0 AND coalesce(rep, 0) >= 0.35 * len(parts) AS r FROM p LEFT JOIN s USING (doc_id))
+ SELECT doc_id, CASE WHEN e THEN 0.5::DOUBLE WHEN r THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS score, CASE WHEN e THEN 'empty_output' WHEN r THEN 'repeated_short_tokens' ELSE '' END AS flags, CAST(NULL AS VARCHAR) AS action,
+ CASE WHEN e THEN 'empty_text' WHEN r THEN 'repeated_short_tokens' END AS reason FROM f""")
 def document_quality(spark: SparkSession, d: str) -> DataFrame:
     return B.document_quality(docs(spark, d))
 
