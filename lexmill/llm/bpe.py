@@ -7,12 +7,13 @@ pair of lowest rank, looked up in a literal rank map.  The map is an array of
 buckets (two parallel literals: pair keys, merged ranks), because a lookup in a
 plain map literal would scan all its entries.
 
-Plan: documents become blocks of about ``BLOCK_BYTES`` of text (their distinct
-words, and the words' places in each document), written once to the shared
-folder.  The (block, word) pairs are shuffled by word, folded, shuffled back by
-block and put together.  A block names a word once however often it occurs, so
-a frequent word costs one row per block, and nothing grows beyond a block in
-any task.  Decoding concatenates the tokens' byte strings.
+Plan: documents become blocks of about ``BLOCK_BYTES`` of text, written once to
+the shared folder: the words' places in each document, and the block's distinct
+words, dealt by their hash into as many parts as there are shuffle partitions.
+A part's words come together in one task, packed (a frequent word costs a few
+bytes per block, not a row per use), each distinct word is folded once, and the
+ids go back to the blocks, packed again.  No task holds more than a part's
+distinct words or a block.  Decoding concatenates the tokens' byte strings.
 
 Words longer than ``LONG_WORD`` bytes, where a fold over arrays is quadratic,
 are merged by a heap in Python (same rule, n log n).
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,9 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import slim_docs, written
+from lexmill.llm.common import give_back, slim_docs, written
 
-BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 48 << 20, 600_000, 256
+BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 16 << 20, 200_000, 256
 _PAIR_BUCKETS = 1 << 16
 _ODD = r"  |^ | $|^$|[\s\x0b\x{85}\p{Z}] [\s\x0b\x{85}\p{Z}]"
 _MULTIPLIER = 40503
@@ -186,10 +188,11 @@ class Words:
         return found
 
 
-_BLOCK = "block long, words array<binary>, payload binary"
+_BLOCK = "block long, part int, data binary"
+_KNOWN = 65535  # the part of words that need no fold
 
 
-def _payload(*parts: np.ndarray) -> bytes:
+def _packed(*parts: np.ndarray) -> bytes:
     packer = zstandard.ZstdCompressor(level=3)
     out = []
     for p in parts:
@@ -199,7 +202,7 @@ def _payload(*parts: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _parts(blob: bytes) -> list[np.ndarray]:
+def _unpacked(blob: bytes) -> list[np.ndarray]:
     at, out, reader = 0, [], zstandard.ZstdDecompressor()
     while at < len(blob):
         size, n, item = np.frombuffer(blob, np.int64, 3, at)
@@ -209,43 +212,44 @@ def _parts(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per block; ``words`` are those that the fold has to encode."""
+def _blocks(docs: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
+    """Rows of blocks: part -1 holds the documents, parts 0, 1, ... the distinct words to encode."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         cutter = Words(pattern)
-        part, serial = TaskContext.get().partitionId(), 0
+        task, serial = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         held: list[np.ndarray] = []
         size = 0
 
         def block() -> pa.RecordBatch:
             nonlocal doc_ids, held, size, serial
-            open_words, place, known = [], np.empty(len(cutter.index), np.int32), []
+            dealt: list[list[bytes]] = [[] for _ in range(parts)]
+            part, known = np.full(len(cutter.index), _KNOWN, np.int32), []
             for w, i in cutter.index.items():
                 raw = w.encode("utf-8", "surrogatepass")
                 whole = ranks.get(raw)
-                if whole is None and len(raw) <= LONG_WORD:
-                    place[i] = len(open_words)
-                    open_words.append(raw)
+                if whole is not None:
+                    known.append([whole])
+                elif len(raw) > LONG_WORD:
+                    known.append(merge_by_heap(raw, ranks))
                 else:
-                    place[i] = -1 - len(known)
-                    known.append([whole] if whole is not None else merge_by_heap(raw, ranks))
-            words = np.concatenate(held) if held else np.zeros(0, np.int32)
-            place[place < 0] = len(open_words) - 1 - place[place < 0]
-            blob = _payload(
-                np.array(doc_ids, np.int64), np.fromiter(map(len, held), np.int64, len(held)), place[words],
+                    k = zlib.crc32(raw) % parts
+                    part[i] = k
+                    dealt[k].append(raw)
+            rows = [(-1, _packed(
+                np.array(doc_ids, np.int64), np.fromiter(map(len, held), np.int64, len(held)), np.concatenate(held), part,
                 np.fromiter(map(len, known), np.int64, len(known)), np.array([x for k in known for x in k], np.int32),
-            )
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 24) + serial], pa.int64()), pa.array([open_words], pa.list_(pa.binary())), pa.array([blob], pa.binary())],
-                names=["block", "words", "payload"],
+            ))]
+            rows += [(k, _packed(np.fromiter(map(len, d), np.uint16, len(d)), np.frombuffer(b"".join(d), np.uint8))) for k, d in enumerate(dealt) if d]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([(task << 24) + serial] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["block", "part", "data"]
             )
             serial += 1
             doc_ids, held, size = [], [], 0
             cutter.reset()
-            return row
+            return out
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -257,38 +261,106 @@ def _blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     yield block()
         if held:
             yield block()
+        give_back()
 
     return docs.mapInArrow(run, _BLOCK)
 
 
+def _distinct_words(path: str) -> object:
+    """Rows come by part: emit the part's distinct words, as arrays of byte ids, then each block's places among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(path)
+        byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        part, index, uses = None, {}, []
+
+        def row(block: int, words: list[bytes], data: bytes) -> pa.RecordBatch:
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
+            outer = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), inner)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([data], pa.binary()), outer], names=["block", "part", "data", "words"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal index, uses
+            words = list(index)
+            for at in range(0, len(words), 2000):
+                yield row(-1, words[at : at + 2000], b"")
+            for block, places in uses:
+                yield row(block, [], places.tobytes())
+            index, uses = {}, []
+
+        for b in batches:
+            for block, k, blob in zip(b["block"].to_pylist(), b["part"].to_pylist(), b["data"], strict=True):
+                if k != part:
+                    if part is not None:
+                        yield from flush()
+                    part = k
+                sizes, raw = _unpacked(blob.as_py())
+                ends = np.cumsum(sizes, dtype=np.int64)
+                data = raw.tobytes()
+                uses.append((block, np.array([index.setdefault(data[s:e], len(index)) for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int32)))
+        if part is not None:
+            yield from flush()
+        give_back()
+
+    return run
+
+
+def _dealt_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part: its words' ids, then each block's places; emit each block's ids, packed."""
+    part, sizes, flats = None, [], []
+    size = flat = start = None
+    for b in batches:
+        out: list[tuple[int, int, bytes]] = []
+        for i in range(b.num_rows):
+            k, block = b["part"][i].as_py(), b["block"][i].as_py()
+            if k != part:
+                part, sizes, flats, size = k, [], [], None
+            if block < 0:
+                ids = b["ids"][i].values
+                sizes.append(np.asarray(pc.list_value_length(ids)))
+                flats.append(np.asarray(ids.flatten()))
+                continue
+            if size is None:
+                size, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flats)
+                start = np.cumsum(size) - size
+            places = np.frombuffer(b["data"][i].as_py(), np.int32)
+            n = size[places]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(start[places] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            out.append((block, k, _packed(n.astype(np.uint16), ids.astype(np.int32))))
+        if out:
+            blocks, parts, data = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["block", "part", "data"])
+    sizes, flats, size, flat, start = [], [], None, None, None
+    give_back()
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): each document's ids as little-endian unsigned 32-bit integers."""
+    parts = min(_KNOWN - 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = written(_blocks(slim_docs(docs), path, pattern, parts), "bpe-blocks")
+    by_part = blocks.where("part >= 0").repartition("part").sortWithinPartitions("part", "block")
+    words = by_part.mapInArrow(_distinct_words(path), "block long, part int, data binary, words array<array<int>>")
     ranks = load_ranks(path)
-    blocks = written(_blocks(slim_docs(docs), path, pattern), "bpe-blocks")
-    byte_ids = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
-    uses = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    uses = uses.select("word", F.struct("block", "place").alias("use")).repartition("word")
-    words = uses.groupBy("word").agg(F.collect_list("use").alias("uses"))
-    hexed = F.hex("word")
-    as_ids = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.get(byte_ids, F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-    folded = words.select("uses", fold(as_ids, ranks).alias("ids"))
-    back = folded.select(F.explode("uses").alias("use"), "ids").select("use.block", "use.place", "ids", F.lit(None).cast("binary").alias("payload"))
-    heads = blocks.select("block", F.lit(-1).alias("place"), F.lit(None).cast("array<int>").alias("ids"), "payload")
-    rows = heads.unionByName(back).repartition("block").sortWithinPartitions("block", "place")
+    folded = words.select("block", "part", "data", F.transform("words", lambda w: fold(w, ranks)).alias("ids"))
+    back = folded.mapInArrow(_dealt_back, _BLOCK)
+    rows = blocks.where("part < 0").unionByName(back).repartition("block").sortWithinPartitions("block", "part")
     return rows.mapInArrow(_assemble, "doc_id long, ids binary")
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block: its payload first, then its words' ids in order of place."""
-    payload: bytes | None = None
+    """Rows come by block: its documents first, then its words' ids part by part."""
+    held: bytes | None = None
     sizes: list[np.ndarray] = []
     flats: list[np.ndarray] = []
 
     def finish() -> Iterator[pa.RecordBatch]:
-        doc_ids, n_words, words, known_sizes, known = _parts(payload)
-        size = np.concatenate([*sizes, known_sizes]).astype(np.int64)
+        doc_ids, n_words, words, part, known_sizes, known = _unpacked(held)
+        order = np.argsort(part, kind="stable")
+        ordered = np.concatenate([*sizes, known_sizes]).astype(np.int64)
         flat = np.concatenate([*flats, known]).astype("<u4")
-        start = np.cumsum(size) - size
+        size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        size[order], start[order] = ordered, np.cumsum(ordered) - ordered
         edges = np.concatenate(([0], np.cumsum(n_words)))
         for at in range(0, len(doc_ids), 1000):
             here = words[edges[at] : edges[min(at + 1000, len(doc_ids))]]
@@ -300,20 +372,19 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 1000], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
     for b in batches:
-        heads = np.flatnonzero(b["place"].to_numpy() < 0)
-        at = 0
-        for h in [*heads, b.num_rows]:
-            if h > at:
-                ids = b["ids"].slice(at, h - at)
-                sizes.append(np.diff(ids.offsets.to_numpy()))
-                flats.append(ids.flatten().to_numpy())
-            if h < b.num_rows:
-                if payload is not None:
+        for k, data in zip(b["part"].to_pylist(), b["data"], strict=True):
+            if k < 0:
+                if held is not None:
                     yield from finish()
-                payload, sizes, flats = b["payload"][int(h)].as_py(), [], []
-            at = h + 1
-    if payload is not None:
+                held, sizes, flats = data.as_py(), [], []
+            else:
+                n, ids = _unpacked(data.as_py())
+                sizes.append(n)
+                flats.append(ids)
+    if held is not None:
         yield from finish()
+    held, sizes, flats = None, [], []
+    give_back()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -7,9 +7,12 @@ tests, is a folder of our own used.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +43,13 @@ def slim_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     so that extra columns of any name cannot clash with an operator's own."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused Python worker would keep it while other operators run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
