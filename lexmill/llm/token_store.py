@@ -5,9 +5,9 @@ documents, and the files hold frequency ranks (the commonest id is 0) in
 byte-aligned variable-length coding: two bits per value in separate control
 bytes say how many bytes it takes.  Readers decode by numpy table lookup.
 
-The tokenizer never joins characters across white space, so each distinct
-piece between white space is encoded once per task and texts are put together
-from pieces; a text with the control characters U+001C to U+001F, which the two
+The tokenizer never joins characters across white space, nor a full stop or
+comma to a letter or digit before it, and it lower-cases; so each distinct word
+is encoded once per task and texts are put together from words; a text with the control characters U+001C to U+001F, which the two
 libraries class differently, is encoded whole.
 
 Shard layout (little-endian): 8 bytes magic, uint32 version, uint32 n_docs,
@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import shared_dir, slim_docs, written
+from lexmill.llm.common import give_back, shared_dir, slim_docs, written
 
 MAGIC, VERSION = b"LXMLTOK1", 1
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 LENGTHS = np.array([[(c >> (2 * k)) & 3 for k in range(4)] for c in range(256)], np.uint8) + 1
 
 
@@ -69,25 +69,33 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 0xFFFF
         self.type = np.uint32 if self.wide else np.uint16
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        new = [p for p in pieces if p not in self.cache]
+        cores, tails = [], []
+        for p in pieces:
+            if p.isascii():
+                p = p.lower()
+            tail = len(p) > 1 and p[-1] in ".," and p[-2].isalnum() and p[-2].isascii()
+            cores.append(p[:-1] if tail else p)
+            tails.append(p[-1] if tail else "")
+        new = [p for p in dict.fromkeys((*cores, ".", ",")) if p not in self.cache]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, self.type)
-        return [self.cache[p] for p in pieces]
+                self.cache[p] = np.array(e.ids, self.type).tobytes()
+        end = {"": b"", ".": self.cache["."], ",": self.cache[","]}
+        return [self.cache[p] + end[t] for p, t in zip(cores, tails, strict=True)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
         lists = pc.utf8_split_whitespace(texts)
         codes = lists.flatten().dictionary_encode()
         ids = self._pieces(codes.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, self.type)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.type).itemsize
+        flat = np.frombuffer(b"".join(ids), self.type)
         begin = np.cumsum(size) - size
         index = codes.indices.to_numpy()
         n = size[index]
@@ -112,6 +120,8 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 b = whole.slice(at, 4000)
                 rows = [x.tobytes() + end for x in coder.encode(b["text"])]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+        coder.cache.clear()
+        give_back()
 
     return slim_docs(docs).mapInArrow(run, "doc_id long, ids binary")
 
