@@ -20,9 +20,10 @@ The windows of one anchor form a segment.
    quicksort down to SHALLOW bytes, then blind tries for the groups with longer
    common prefixes.  Longest common prefixes of neighbours in both orders say
    which windows are equal.
-3. An anchor with more than MOST different contents (a passage in very many
-   documents) is not sorted in one task: its windows are counted by their
-   128-bit digest, combined before the shuffle.
+3. A task sorts at most MOST different contents of an anchor, 16 MB of bytes.
+   An anchor with more (a passage in very many documents) is not sorted in one
+   task: its windows are counted by their 128-bit digest, combined before the
+   shuffle.
 
 Defined results: null texts are empty; texts shorter than ``length`` bytes keep
 every byte; repeated rows are repeats of each other; ids must be unique or
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import slim_docs, written
 
-LENGTH, K, SHALLOW, MOST = 400, 32, 32, 400
+LENGTH, K, SHALLOW, MOST = 400, 32, 32, 20_000
 CHUNK = 4 << 20
 
 
@@ -202,7 +203,7 @@ def equal_windows(before: list[bytes], after: list[bytes], length: int = LENGTH)
     m, spread = len(before), length
     left, left_lcp = deep_shallow_sort([x[::-1] for x in before])
     right, right_lcp = deep_shallow_sort(after)
-    hit = [np.zeros(spread, bool) for _ in range(m)]
+    hit = np.zeros((m, spread), bool)
     if m <= 24:
         rank_l, rank_r = {i: r for r, i in enumerate(left)}, {i: r for r, i in enumerate(right)}
         for i in range(m):
@@ -213,8 +214,8 @@ def equal_windows(before: list[bytes], after: list[bytes], length: int = LENGTH)
                 hi = min(right_lcp[a + 1 : b + 1])
                 first = max(0, length - hi)  # a window o before the anchor needs o bytes before and length - o after
                 if first <= lo:
-                    hit[i][first : lo + 1] = hit[j][first : lo + 1] = True
-        return hit
+                    hit[i, first : lo + 1] = hit[j, first : lo + 1] = True
+        return list(hit)
     group_l, group_r = np.zeros(m, np.int64), np.zeros(m, np.int64)
     size_l, size_r = np.array([len(x) for x in before]), np.array([len(x) for x in after])
     left_lcp, right_lcp = np.array(left_lcp), np.array(right_lcp)
@@ -224,9 +225,8 @@ def equal_windows(before: list[bytes], after: list[bytes], length: int = LENGTH)
         has = np.flatnonzero((size_l >= o) & (size_r >= length - o))
         if len(has) > 1:
             _, inverse, count = np.unique(group_l[has] * (m + 1) + group_r[has], return_inverse=True, return_counts=True)
-            for i in has[count[inverse] > 1]:
-                hit[i][o] = True
-    return hit
+            hit[has[count[inverse] > 1], o] = True
+    return list(hit)
 
 
 # --- plan -----------------------------------------------------------------------------------------------------------
