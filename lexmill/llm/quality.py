@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import slim_docs
+from lexmill.llm.common import give_back, slim_docs
 
 BUCKETS = 1 << 18
 MAX_PER_CLASS = 3000
@@ -44,7 +44,7 @@ def features(text: str, cache: dict[str, int] | None = None) -> np.ndarray:
     for tok in _TOKEN.findall(text):
         known = cache.get(tok)
         if known is None:
-            if len(cache) > 500_000:
+            if len(cache) > 100_000:
                 cache.clear()
             shape = tok[:3] if not tok[0].isalnum() else "U" if tok.isupper() and len(tok) > 1 else "T" if tok[0].isupper() else "9" if tok[0].isdigit() else "a"
             known = cache[tok] = (xxhash.xxh3_64_intdigest(tok.lower().encode("utf-8", "surrogatepass")) % BUCKETS, shape)
@@ -185,5 +185,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         m, cache = Model(*fields), {}
         for b in batches:
             yield b.filter(pa.array([m.score(features(t or "", cache)) >= threshold for t in b["text"].to_pylist()], pa.bool_()))
+        cache.clear()
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
