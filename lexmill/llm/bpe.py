@@ -10,6 +10,8 @@ plain map literal would scan all its entries.
 Plan: documents become blocks of about ``BLOCK_BYTES`` of text, written once to
 the shared folder: the words' places in each document, and the block's distinct
 words, dealt by their hash into as many parts as there are shuffle partitions.
+The documents stay in the written files and are read there when a block is put
+together.
 A part's words come together in one task, packed (a frequent word costs a few
 bytes per block, not a row per use), each distinct word is folded once, and the
 ids go back to the blocks, packed again.  No task holds more than a part's
@@ -27,22 +29,25 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import regex
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import give_back, slim_docs, written
+from lexmill.llm.common import give_back, shared_dir, slim_docs
 
-BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 16 << 20, 200_000, 256
+BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 8 << 20, 150_000, 256
 _PAIR_BUCKETS = 1 << 16
 _ODD = r"  |^ | $|^$|[\s\x0b\x{85}\p{Z}] [\s\x0b\x{85}\p{Z}]"
 _MULTIPLIER = 40503
@@ -150,7 +155,7 @@ class Words:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _of(self, text: str) -> np.ndarray:
         index = self.index
@@ -166,15 +171,15 @@ class Words:
         first[begin[:-1][~odd]] = True
         # Words of each distinct piece with a blank before it; a document's first piece has none.
         names = codes.dictionary.to_pylist()
-        got: list[np.ndarray] = []
+        got: list[bytes] = []
         for p in names:
             if (known := self.pieces.get(p)) is None:
-                known = self.pieces[p] = self._of(" " + p) if p else np.zeros(0, np.int32)
+                known = self.pieces[p] = self._of(" " + p).tobytes() if p else b""
             got.append(known)
-        firsts = [self._of(names[i]) for i in index[first]]
+        firsts = [self._of(names[i]).tobytes() for i in index[first]]
         table = got + firsts
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate(table) if table else np.zeros(0, np.int32)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), np.int32)
         start = np.cumsum(size) - size
         index[first] = len(got) + np.arange(len(firsts))
         n = size[index]
@@ -252,8 +257,8 @@ def _blocks(docs: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
             return out
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 held += cutter.cut(b["text"])
                 doc_ids += b["doc_id"].to_pylist()
                 size += b["text"].nbytes
@@ -338,24 +343,58 @@ def _dealt_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): each document's ids as little-endian unsigned 32-bit integers."""
     parts = min(_KNOWN - 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = written(_blocks(slim_docs(docs), path, pattern, parts), "bpe-blocks")
+    folder = f"{shared_dir(docs.sparkSession)}/bpe-blocks-{uuid.uuid4().hex}"
+    # Small row groups: a reader of one block touches little else.
+    _blocks(slim_docs(docs), path, pattern, parts).write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
+    blocks = docs.sparkSession.read.schema(_BLOCK).parquet(folder)
     by_part = blocks.where("part >= 0").repartition("part").sortWithinPartitions("part", "block")
     words = by_part.mapInArrow(_distinct_words(path), "block long, part int, data binary, words array<array<int>>")
     ranks = load_ranks(path)
     folded = words.select("block", "part", "data", F.transform("words", lambda w: fold(w, ranks)).alias("ids"))
     back = folded.mapInArrow(_dealt_back, _BLOCK)
-    rows = blocks.where("part < 0").unionByName(back).repartition("block").sortWithinPartitions("block", "part")
-    return rows.mapInArrow(_assemble, "doc_id long, ids binary")
+    heads = blocks.where("part < 0").select("block", "part", F.lit(None).cast("binary").alias("data"))
+    rows = heads.unionByName(back).repartition("block").sortWithinPartitions("block", "part")
+    return rows.mapInArrow(_assemble(folder), "doc_id long, ids binary")
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block: its documents first, then its words' ids part by part."""
-    held: bytes | None = None
+def _documents_of(folder: str) -> object:
+    """A function of a block: its packed documents, read from where they were written; they are not shuffled."""
+    where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    files: dict[int, list[str]] = {}
+    for f in where.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith("part-"):
+            files.setdefault(int(f.base_name.split("-")[1]), []).append(f.path)
+
+    def read(block: int) -> bytes:
+        for name in files[block >> 24]:
+            with where.open_input_file(name) as source:
+                table = pq.ParquetFile(source)
+                for g in range(table.num_row_groups):
+                    at = table.read_row_group(g, columns=["block", "part"])
+                    hit = np.flatnonzero((at["block"].to_numpy() == block) & (at["part"].to_numpy() < 0))
+                    if len(hit):
+                        return table.read_row_group(g, columns=["data"])["data"][int(hit[0])].as_py()
+        raise LookupError(f"block {block} is not in {folder}")
+
+    return read
+
+
+def _assemble(folder: str) -> object:
+    """Rows come by block: its head first, then its words' ids part by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _assembled(batches, _documents_of(folder))
+
+    return run
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], documents: Callable[[int], bytes]) -> Iterator[pa.RecordBatch]:
+    held: int | None = None
     sizes: list[np.ndarray] = []
     flats: list[np.ndarray] = []
 
     def finish() -> Iterator[pa.RecordBatch]:
-        doc_ids, n_words, words, part, known_sizes, known = _unpacked(held)
+        doc_ids, n_words, words, part, known_sizes, known = _unpacked(documents(held))
         order = np.argsort(part, kind="stable")
         ordered = np.concatenate([*sizes, known_sizes]).astype(np.int64)
         flat = np.concatenate([*flats, known]).astype("<u4")
@@ -372,11 +411,11 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 1000], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
     for b in batches:
-        for k, data in zip(b["part"].to_pylist(), b["data"], strict=True):
+        for block, k, data in zip(b["block"].to_pylist(), b["part"].to_pylist(), b["data"], strict=True):
             if k < 0:
                 if held is not None:
                     yield from finish()
-                held, sizes, flats = data.as_py(), [], []
+                held, sizes, flats = block, [], []
             else:
                 n, ids = _unpacked(data.as_py())
                 sizes.append(n)
