@@ -5,8 +5,8 @@ documents, and the files hold frequency ranks (the commonest id is 0) in
 byte-aligned variable-length coding: two bits per value in separate control
 bytes say how many bytes it takes.  Readers decode by numpy table lookup.
 
-The tokenizer never joins characters across white space, nor a full stop or
-comma to a letter or digit before it, and it lower-cases; so each distinct word
+The tokenizer never joins characters across white space, nor signs to a letter
+or digit before them, and it lower-cases; so each distinct word
 is encoded once per task and texts are put together from words; a text with the control characters U+001C to U+001F, which the two
 libraries class differently, is encoded whole.
 
@@ -21,6 +21,7 @@ documents are kept, in the order of their texts' ids.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ from lexmill.llm.common import give_back, shared_dir, slim_docs, written
 
 MAGIC, VERSION = b"LXMLTOK1", 1
 CACHE_PIECES = 1_000_000
+SIGNS = "".join(c for c in string.punctuation if c != "'")
 LENGTHS = np.array([[(c >> (2 * k)) & 3 for k in range(4)] for c in range(256)], np.uint8) + 1
 
 
@@ -76,18 +78,20 @@ class PieceEncoder:
             self.cache.clear()
         cores, tails = [], []
         for p in pieces:
-            if p.isascii():
+            if p.isascii() or max(p) < "\u0250" and "\u0130" not in p:
                 p = p.lower()
-            tail = len(p) > 1 and p[-1] in ".," and p[-2].isalnum() and p[-2].isascii()
-            cores.append(p[:-1] if tail else p)
-            tails.append(p[-1] if tail else "")
-        new = [p for p in dict.fromkeys((*cores, ".", ",")) if p not in self.cache]
+            # A run of signs after a letter or digit is a word of its own; an apostrophe may open a contraction.
+            core = p.rstrip(SIGNS)
+            if not core or len(core) == len(p) or core[-1] > "\u024f" or core[-1] == "\u0130" or not core[-1].isalnum() or "<|" in p:
+                core = p
+            cores.append(core)
+            tails.append(p[len(core) :])
+        new = [p for p in dict.fromkeys((*cores, *filter(None, dict.fromkeys(tails)))) if p not in self.cache]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[p] = np.array(e.ids, self.type).tobytes()
-        end = {"": b"", ".": self.cache["."], ",": self.cache[","]}
-        return [self.cache[p] + end[t] for p, t in zip(cores, tails, strict=True)]
+        return [self.cache[c] + self.cache[t] if t else self.cache[c] for c, t in zip(cores, tails, strict=True)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
