@@ -70,6 +70,39 @@ def test_op6_against_plain_comparison(spark):
     assert licenses.summary(licenses.scan(docs(spark))).where("n_licenses > 0").count() == 0
 
 
+def scanned(text):
+    known = [(k, v, licenses.NAMING.get(k, "")) for k, v in licenses.TEMPLATES.items()] + [(k, v, "") for k, v in licenses.full_texts()]
+    return licenses.Scanner(known).scan(text)
+
+
+def test_op6_blocks_of_lines(spark):
+    full = dict(licenses.full_texts())
+    mit, bsd, isc = (full[k].split("\n\n")[0] for k in ("MIT", "BSD-3-Clause", "ISC"))
+    forms = {"MIT-text": mit, "BSD-3-Clause": bsd, "ISC": isc}
+    rows = [(name, form) for name, t in forms.items() for form in (t, " ".join(t.split()), "\n".join(" * " + x for x in t.split("\n")), "dnl " + t.replace("\n", "\ndnl "))]
+    got = licenses.summary(licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_op6_full_texts_and_tags():
+    for name, text in licenses.full_texts():
+        for form in (text, "word " * 30 + "\n" + " ".join(text.split()) + "\nmore words", "\n".join("# " + x for x in text.split("\n"))):
+            assert [(f[0], f[4]) for f in scanned(form)] == [(name, 0)], name
+    assert [f[0] for f in scanned("/* SPDX-License-Identifier: (MIT OR GPL-2.0-or-later WITH Linux-syscall-note) */\nint x;")] == ["GPL-2.0-or-later", "MIT"]
+    at = [(f[0], f[1], f[2], f[4]) for f in scanned("We ship it and it is licensed under the MIT License, see below; it was made in May.")]
+    assert at == [("MIT", 21, 51, 1)]
+    assert not scanned("Their code was released under the same license as before, and copyright is theirs.")
+
+
+def test_op6_alignment():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(1, n))] for n in (9, 12))
+        bits = licenses._bits(a)
+        assert list(licenses.distances(bits, len(a), b, False)) == [licenses.differences(a, b[:i], 99) for i in range(1, len(b) + 1)]
+        assert list(licenses.distances(bits, len(a), b, True)) == [min(licenses.differences(a, b[s:i], 99) for s in range(i + 1)) for i in range(1, len(b) + 1)]
+
+
 def test_differences():
     assert licenses.differences(list("abcd"), list("abxd"), 3) == 1 and licenses.differences(list("abcd"), list("wxyz"), 2) == 3
 
