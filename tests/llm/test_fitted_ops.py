@@ -94,6 +94,16 @@ def test_op6_full_texts_and_tags():
     assert not scanned("Their code was released under the same license as before, and copyright is theirs.")
 
 
+def test_op6_no_template_is_cut_before_comparison(spark):
+    own = "Version {} of this licence applies to the work and to all of its later forms."
+    family = {f"L-{v}": own.format(v) for v in range(1, 10)}
+    quoted = {k: v.replace("Version ", 'Version: "').replace(" of this", '", of this') for k, v in family.items()}  # all compress alike
+    got = licenses.scan(spark.createDataFrame(list(enumerate(quoted.values())), "doc_id long, text string"), family).collect()
+    assert {r.doc_id: [(f.license, f.differences) for f in r.found] for r in got} == {i: [(k, 0)] for i, k in enumerate(family)}
+    gnu = {k: v for k, v in licenses.full_texts() if k.endswith(("-only", "-or-later"))}
+    assert len(gnu) == 10 and all([(f[0], f[4]) for f in scanned(v)] == [(k, 0)] for k, v in gnu.items())
+
+
 def test_op6_alignment():
     rng = random.Random(1)
     for _ in range(300):
