@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,74 @@ def ledger(parts: DataFrame) -> DataFrame:
 def omissions(missing: DataFrame, reviews: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(missing values with their review, reviews that no missing value uses)."""
     return missing.join(reviews, key, "left"), reviews.join(missing.select(key), key, "left_anti")
+
+
+# The more specific names come first; a section is named by any of its texts or by its mark.
+SECTIONS = [
+    ("pma_holder", ["零部件制造人批准书", "PMA制造人", "PMA持证人"], None),
+    ("foreign_tso_recognition", ["获得国外当局认可的技术标准规定项目"], None),
+    ("foreign_product_recognition", ["获得国外认可的民用航空产品"], None),
+    ("ctsoa", ["技术标准规定项目批准书"], r"\bCTSOA\b"),
+    ("vstc", ["补充型号认可证"], r"\bVSTC\b"),
+    ("vtc", ["型号认可证"], r"(?<!VS)\bVTC\b"),
+    ("vda", ["设计批准认可证"], r"\bVDA\b"),
+    ("stc", ["补充型号合格证"], r"\bSTC\b"),
+    ("mda", ["改装设计批准书"], r"\bMDA\b"),
+    ("tda", ["型号设计批准书"], r"\bTDA\b"),
+    ("pc", ["生产许可证"], r"\bPC\b"),
+    ("tc", ["型号合格证"], r"(?<!V)\bTC\b"),
+]
+
+
+def first_line(page_text: Column) -> Column:
+    """The first line that is not empty, white space folded; empty if there is none."""
+    lines = F.transform(F.split(F.coalesce(page_text, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
+def section_of(header: Column) -> Column:
+    """The section that a page header names, else null."""
+    has = lambda s: F.contains(header, F.lit(s))
+    section = F.when(has("已获批准的") & has("PMA") & has("产品"), "pma_item")
+    for name, texts, mark in SECTIONS:
+        named = header.rlike(f"(?iU){mark}") if mark else F.lit(False)
+        for s in texts:
+            named = named | has(s)
+        section = section.when(named, name)
+    return section
+
+
+def furniture_word(text: Column, top: Column, page_height: Column) -> Column:
+    """Cutoff labels, and page labels such as TC-1 within 80 points of the page's bottom."""
+    label = F.coalesce((top >= page_height - 80.0) & text.rlike(r"^[A-Z]{2,8}-[0-9]{1,3}\z"), F.lit(False))
+    return F.contains(text, F.lit("截至")) | F.contains(text, F.lit("数据截止")) | label
+
+
+def cell_text(words: DataFrame, key: list[str], tolerance: float = 2.5) -> DataFrame:
+    """Text of each cell (``key``): visual lines, opened by a word more than ``tolerance`` from the line's first one, then by x0."""
+    w = words.select(*key, F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text").alias("w")).where("w.top is not null and w.x0 is not null")
+    g = w.groupBy(*key).agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    tops = F.aggregate("ws", F.array().cast("array<double>"), lambda s, x: F.when((F.size(s) > 0) & (x["top"] - F.element_at(s, -1) <= tolerance), s).otherwise(F.array_append(s, x["top"])))
+    g = g.withColumn("tops", tops)
+    line = lambda x: F.size(F.filter("tops", lambda t: t <= x["top"]))
+    placed = F.array_sort(F.transform("ws", lambda x: F.struct(line(x).alias("line"), x["x0"].alias("x0"), x["top"].alias("top"), x["text"].alias("text"))))
+    return g.select(*key, F.trim(F.array_join(F.transform(placed, lambda x: x["text"]), " ")).alias("text"))
+
+
+def row_bands(anchors: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
+    """The band [start, end) of each row anchor: the rules around it if they hold no other anchor and lie within 120 points,
+    else from and to the midpoints of neighbouring anchors, the last row down to its rule or the page's bottom.
+
+    Anchors: doc_id, page_number, row_number, top; rules: doc_id, page_number, top, bottom, width; pages: doc_id, page_number, header_bottom, page_bottom."""
+    page = ["doc_id", "page_number"]
+    w = Window.partitionBy(*page).orderBy("top", "row_number")
+    lines = rules.where("width >= 500 and bottom - top <= 3").groupBy(*page).agg(F.collect_set("top").alias("tops"))
+    a = anchors.withColumn("before", F.lag("top").over(w)).withColumn("after", F.lead("top").over(w)).withColumn("all", F.collect_list("top").over(Window.partitionBy(*page)))
+    a = a.join(pages, page).join(lines, page, "left")
+    a = a.withColumn("r0", F.array_max(F.filter("tops", lambda t: t <= F.col("top") + 0.5)) + 0.5).withColumn("r1", F.array_min(F.filter("tops", lambda t: t > F.col("top") + 0.5)) - 0.5)
+    held = F.size(F.filter("all", lambda t: (t >= F.col("r0")) & (t < F.col("r1"))))
+    sane = F.coalesce((F.col("r1") > F.col("r0")) & (F.col("r1") - F.col("r0") <= 120) & (held <= 1), F.lit(False))
+    start = F.coalesce((F.col("before") + F.col("top")) / 2, F.col("header_bottom") + 1.5)
+    last = F.coalesce(F.col("after").isNull() & F.col("r0").isNotNull() & (F.col("r1") > start), F.lit(False))
+    end = F.when(sane | last, F.col("r1")).otherwise(F.coalesce((F.col("top") + F.col("after")) / 2, F.col("page_bottom")))
+    return a.select(*page, "row_number", F.when(sane, F.col("r0")).otherwise(start).alias("start"), end.alias("end"))

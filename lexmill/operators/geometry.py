@@ -86,3 +86,129 @@ def order_confidence(columns: Column, applied: Column, strategy: Column, empty:
         F.when(empty, None).when(columns <= 1, 0.98).when(~applied, F.when(strategy == "mixed", 0.58).otherwise(0.64))
         .when(strategy == "gutter", 0.9).when(strategy == "bands", 0.84).when(strategy == "regions", 0.86).otherwise(0.8)
     )
+
+
+_PAGE = ["doc_id", "page_number"]
+_KEYWORD = r"(?iU)(?:流程图|流程|示意图|结构图|架构图|关系图|原理图|布置图|组织机构图|图示|图片|照片|Figure|Fig\.?|Illustration|Image|Photo|Chart|Diagram|Flow\s*Chart|Flowchart|Workflow|Process\s+Map|Architecture\s+Diagram)"
+_GENERIC = r"(?U)^\s*第\s*\d+\s*页图示区域\s*$"
+_KINDS = {
+    "flowchart": r"(?iU)(?:流程图|flow\s*chart|flowchart|workflow)",
+    "structure": r"(?iU)(?:结构图|组织机构图|组织架构|structure|organization(?:al)?\s+chart)",
+    "diagram": r"(?iU)(?:示意图|原理图|布置图|diagram|schematic|layout)",
+    "chart": r"(?iU)(?:Chart|Graph|曲线图|柱状图|折线图|图表)",
+    "illustration": r"(?iU)(?:Photo|Image|Illustration|图片|照片|插图)",
+}
+MOST_REGIONS, MOST_REGION_SHARE, LEAST_IMAGE_SHARE, MOST_IMAGE_SHARE = 4, 0.6, 0.03, 0.5
+
+
+def _boxes_meet(a: str, b: str) -> Column:
+    """Half-open separation: boxes that only touch do not meet."""
+    c = lambda s, k: F.col(f"{s}.{k}")
+    return ~((c(a, "x1") <= c(b, "x0")) | (c(a, "x0") >= c(b, "x1")) | (c(a, "bottom") <= c(b, "top")) | (c(a, "top") >= c(b, "bottom")))
+
+
+def _meeting_none(boxes: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of ``boxes`` that meet no box of ``others`` on their page."""
+    a, b = boxes.alias("a"), others.select(*_PAGE, "x0", "top", "x1", "bottom").alias("b")
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number"))
+    return a.join(b, same & _boxes_meet("a", "b"), "left_anti")
+
+
+def figure_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Words of a page, by (top, x0), into lines: a word within ``tolerance`` of its line's first word joins it."""
+    lo, hi = lambda a, b: F.least(F.col(a), F.col(b)), lambda a, b: F.greatest(F.col(a), F.col(b))
+    clean = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    w = words.select(*_PAGE, lo("top", "bottom").cast("double").alias("top"), lo("x0", "x1").cast("double").alias("x0"), hi("x0", "x1").cast("double").alias("x1"), hi("top", "bottom").cast("double").alias("bottom"), clean.alias("text")).dropna()
+    one = F.struct("top", "x0", "x1", "bottom", "text")
+    p = w.where("text != ''").groupBy(*_PAGE).agg(F.array_sort(F.collect_list(one)).alias("ws"))
+    tops = F.aggregate("ws", F.array().cast("array<double>"), lambda s, x: F.when((F.size(s) > 0) & (F.abs(x["top"] - F.element_at(s, -1)) <= tolerance), s).otherwise(F.array_append(s, x["top"])))
+    p = p.withColumn("tops", tops).select(*_PAGE, "tops", F.explode("ws").alias("w"))
+    p = p.withColumn("line", F.size(F.filter("tops", lambda x: x <= F.col("w.top"))))
+    parts = F.array_sort(F.collect_list("w"))
+    return p.groupBy(*_PAGE, "line").agg(F.min("w.x0").alias("x0"), F.min("w.top").alias("top"), F.max("w.x1").alias("x1"), F.max("w.bottom").alias("bottom"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+
+
+def caption_confidence(description: Column, is_label: Column, appended: Column) -> Column:
+    generic = description.rlike(_GENERIC)
+    return F.when(generic, 0.15).when(is_label & appended, 0.95).when(is_label | description.rlike(_KEYWORD), 0.9).otherwise(0.65)
+
+
+def figure_kind(description: Column) -> Column:
+    d = F.coalesce(description, F.lit(""))
+    kind = F.when((d == "") | d.rlike(_GENERIC), "generic")
+    for name, pattern in _KINDS.items():
+        kind = kind.when(d.rlike(pattern), name)
+    return kind.otherwise("figure")
+
+
+def keep_figures(figures: DataFrame, tables: DataFrame) -> DataFrame:
+    """Figures of 18 points and more, of .0015 to .8 of the page and outside its margins unless captioned (.8), not three quarters in a table."""
+    c, pw, ph = F.col, F.col("page_width"), F.col("page_height")
+    wide, high = c("x1") - c("x0"), c("bottom") - c("top")
+    share = F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0)) / F.greatest(pw * ph, F.lit(1.0))
+    edge = ((c("top") <= ph * 0.12) & (c("bottom") <= ph * 0.22)) | ((c("bottom") >= ph * 0.88) & (c("top") >= ph * 0.76))
+    side = (c("x0") <= pw * 0.08) | (c("x1") >= pw * 0.92)
+    noise = ((c("top") < 0) & (c("bottom") <= ph * 0.24)) | ((share <= 0.055) & edge) | ((share <= 0.018) & side & ((c("top") <= ph * 0.2) | (c("bottom") >= ph * 0.8)))
+    sure = F.coalesce(c("confidence"), F.lit(0.0)) >= 0.8
+    f = figures.where((wide >= 18) & (high >= 18) & (pw > 0) & (ph > 0) & (sure | ((share < 0.8) & (share >= 0.0015) & ~noise))).alias("a")
+    t = tables.select(*_PAGE, "x0", "top", "x1", "bottom").alias("b")
+    same = (c("a.doc_id") == c("b.doc_id")) & (c("a.page_number") == c("b.page_number"))
+    return f.join(t, same & (overlap_area("a", "b") >= 0.75 * area("a")), "left_anti")
+
+
+def ocr_coordinates(lines: DataFrame) -> DataFrame:
+    """Line boxes of a rendered region (rendered_width, rendered_height) on their page, by the region's origin and size.
+
+    Without a page size the rendered one counts, without a source size the page's; nothing for an empty rendering."""
+    r = lines.where("rendered_width > 0 and rendered_height > 0")
+    size = lambda k: F.coalesce(F.col(f"source_{k}"), F.when(F.col(f"page_{k}") > 0, F.col(f"page_{k}")).otherwise(F.col(f"rendered_{k}")))
+    on = lambda c, o, k: F.bround(F.coalesce(F.col(o), F.lit(0.0)) + F.col(c) * (size(k) / F.col(f"rendered_{k}")), 4)
+    moved = {"x0": on("x0", "origin_x", "width"), "top": on("top", "origin_top", "height"), "x1": on("x1", "origin_x", "width"), "bottom": on("bottom", "origin_top", "height")}
+    return r.withColumns(moved)
+
+
+def ocr_regions(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Bands of unusable lines of a page that meet no table; none where there are too many or they cover most of it.
+
+    Lines: doc_id, page_number, x0, top, x1, bottom, unusable, page_width, page_height."""
+    bad = lines.where("unusable").withColumn("bottom", F.when(F.coalesce("bottom", F.lit(0)) == 0, F.col("top")).otherwise(F.col("bottom")))
+    page = Window.partitionBy(*_PAGE)
+    heights = F.array_sort(F.collect_list(F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))).over(page))
+    bad = bad.withColumn("gap", F.greatest(F.lit(2.0), 1.5 * F.get(heights, F.floor(F.size(heights) / 2).cast("int"))))
+    sizes = bad.groupBy(*_PAGE).agg(F.greatest(F.lit(1.0), F.max("page_width").cast("double") * F.max("page_height")).alias("whole"))
+    r = _meeting_none(bands(bad, F.col("gap")), tables).join(sizes, _PAGE)
+    size = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("bottom") - F.col("top"))
+    r = r.withColumn("n", F.count("*").over(page)).withColumn("covered", F.sum(size).over(page))
+    return r.where((F.col("n") <= MOST_REGIONS) & (F.col("covered") / F.col("whole") <= MOST_REGION_SHARE)).select(*_PAGE, "x0", "top", "x1", "bottom")
+
+
+def image_regions(images: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """A page's largest pictures of .03 to .5 of it that meet neither a table nor a line of text."""
+    size = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("bottom") - F.col("top"))
+    share = size / F.greatest(F.lit(1.0), F.col("page_width") * F.col("page_height"))
+    own = lines.withColumn("bottom", F.when(F.coalesce("bottom", F.lit(0)) == 0, F.col("top")).otherwise(F.col("bottom")))
+    r = _meeting_none(_meeting_none(images.where((size > 0) & (share >= LEAST_IMAGE_SHARE) & (share <= MOST_IMAGE_SHARE)), tables), own)
+    w = Window.partitionBy(*_PAGE).orderBy(size.desc(), "top", "x0")
+    return r.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= MOST_REGIONS).drop("rn")
+
+
+def merge_ocr_lines(native: DataFrame, ocr: DataFrame) -> DataFrame:
+    """A page's own lines that are not ``replaced``, and the OCR lines (in order of ``line_index``) that do not repeat
+    a line kept so far: same text without white space, boxes that meet."""
+    box = "struct<top:double,x0:double,x1:double,bottom:double,at:long,text:string,source_kind:string>"
+    key = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "").alias("key")
+    bottom = F.when(F.coalesce("bottom", F.lit(0)) == 0, F.col("top")).otherwise(F.col("bottom"))
+    a = native.where(~F.col("replaced")).select(*_PAGE, key, F.struct("top", "x0", "x1", bottom, F.lit(-1), "text", F.lit("pdf_native_text")).cast(box).alias("x"))
+    b = ocr.select(*_PAGE, key, F.struct("top", "x0", "x1", "bottom", "line_index", "text", F.lit("pdf_ocr_fallback")).cast(box).alias("x")).where("key != ''")
+    by_at = F.array_sort(F.collect_list(F.struct("x.at", "x.top", "x.x0", "x")))
+    meets = lambda p, q: ~((p["x1"] <= q["x0"]) | (p["x0"] >= q["x1"]) | (p["bottom"] <= q["top"]) | (p["top"] >= q["bottom"]))
+    kept = F.aggregate("xs", F.array().cast(f"array<{box}>"), lambda s, e: F.when((e["x"]["at"] >= 0) & F.exists(s, lambda o: meets(e["x"], o)), s).otherwise(F.array_append(s, e["x"])))
+    g = a.unionByName(b).groupBy(*_PAGE, "key").agg(by_at.alias("xs")).select(*_PAGE, F.explode(kept).alias("x")).select(*_PAGE, "x.*")
+    w = Window.partitionBy(*_PAGE).orderBy("top", "x0", "at")
+    return g.withColumn("position", F.row_number().over(w)).drop("at")
+
+
+def box_union(lines: DataFrame, key: list[str]) -> DataFrame:
+    """The box around all boxes of some extent."""
+    g = lines.where("x1 > x0 and bottom > top").groupBy(*key)
+    return g.agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))

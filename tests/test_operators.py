@@ -202,3 +202,74 @@ def test_dispatch_and_delimited(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,"b,1"\nc,\n')
     assert sorted((r.table_id, r.row_index, r.col_index, r.text) for r in readers.read_delimited(spark, str(tmp_path)).collect()) == [("t", 0, 0, "a"), ("t", 0, 1, "b,1"), ("t", 1, 0, "c"), ("t", 1, 1, "")]
     assert io is not None
+
+
+BOX = "doc_id long, page_number int, x0 double, top double, x1 double, bottom double"
+
+
+def boxes(spark, rows, more=""):
+    return spark.createDataFrame([(1, 1, *map(float, r[:4]), *r[4:]) for r in rows], BOX + more)
+
+
+def corners(df):
+    return sorted((r.x0, r.top, r.x1, r.bottom) for r in df.collect())
+
+
+def test_figure_lines(spark):
+    words = boxes(spark, [(50, 13, 60, 20, "c"), (0, 10, 9, 18, "a"), (20, 12, 30, 19, " b  b "), (0, 13.5, 9, 20, "d"), (0, 30, 9, 38, "e"), (9, 30, 12, 38, " ")], ", text string")
+    got = [(r.text, r.x0, r.top, r.x1, r.bottom) for r in geometry.figure_lines(words).orderBy("top").collect()]
+    assert got == [("a b b c", 0, 10, 60, 20), ("d", 0, 13.5, 9, 20), ("e", 0, 30, 9, 38)]
+
+
+def test_figure_rules(spark):
+    page = ", page_width double, page_height double, confidence double"
+    rows = [(100, 300, 200, 400), (100, 300, 110, 400), (0, 0, 590, 790), (100, 300, 120, 320), (100, 10, 200, 50), (5, 100, 60, 140), (300, 500, 400, 600)]
+    figures = boxes(spark, [(*r, 600.0, 800.0, s) for r in rows for s in (0.15, 0.9)], page)
+    got = geometry.keep_figures(figures, boxes(spark, [(300, 500, 380, 600)]))
+    assert sorted((r.x0, r.top, r.confidence) for r in got.collect()) == [(0, 0, 0.9), (5, 100, 0.9), (100, 10, 0.9), (100, 300, 0.15), (100, 300, 0.9), (100, 300, 0.9)]
+    d = spark.createDataFrame([("第 3 页图示区域", False, False), ("Figure 1", True, True), ("Figure 1", True, False), ("A flow chart", False, False), ("Valve", False, True), ("图 2 组织机构图", False, False), ("", False, False), ("Layout", False, False), ("Photo", False, False), ("Graph", False, False)], "d string, l boolean, a boolean")
+    got = d.select(geometry.caption_confidence(F.col("d"), F.col("l"), F.col("a")).alias("c"), geometry.figure_kind(F.col("d")).alias("k")).collect()
+    assert [(r.c, r.k) for r in got] == [(0.15, "generic"), (0.95, "figure"), (0.9, "figure"), (0.9, "flowchart"), (0.65, "figure"), (0.9, "structure"), (0.65, "generic"), (0.65, "diagram"), (0.9, "illustration"), (0.65, "chart")]
+
+
+def test_ocr_regions_and_lines(spark):
+    page = ", unusable boolean, page_width double, page_height double"
+    lines = [(0, 100, 50, 110, True), (0, 120, 60, 130, True), (0, 160, 50, 170, True), (0, 300, 50, 310, True), (0, 200, 50, 210, False)]
+    at = boxes(spark, [(*r, 600.0, 800.0) for r in lines], page)
+    assert corners(geometry.ocr_regions(at, boxes(spark, [(40, 305, 90, 400)]))) == [(0, 100, 60, 130), (0, 160, 50, 170)]
+    many = boxes(spark, [(0, 100 * k, 50, 100 * k + 10, True, 600.0, 800.0) for k in range(5)], page)
+    assert geometry.ocr_regions(many, boxes(spark, [])).count() == 0
+    images = [(0, 0, 200, 200), (0, 300, 200, 500), (300, 0, 500, 300), (0, 0, 20, 20), (0, 0, 600, 700), (300, 400, 500, 600)]
+    got = geometry.image_regions(boxes(spark, [(*r, 600.0, 800.0) for r in images], ", page_width double, page_height double"), boxes(spark, [(10, 310, 90, 320)]), boxes(spark, [(490, 590, 600, 700)]))
+    assert corners(got) == [(0, 0, 200, 200), (300, 0, 500, 300)]
+    native = boxes(spark, [(0, 10, 50, 20, "good line", False), (0, 30, 50, 40, "b@d", True), (0, 90, 50, 99, "label", False)], ", text string, replaced boolean")
+    ocr = boxes(spark, [(1, 11, 49, 19, "goodline", 1), (0, 30, 50, 40, "bad", 2), (0, 35, 50, 45, "b ad", 3), (0, 41, 50, 49, "bad", 4), (0, 60, 50, 70, "label", 5), (0, 80, 9, 85, " ", 6)], ", text string, line_index int")
+    got = [(r.position, r.text, r.top) for r in geometry.merge_ocr_lines(native, ocr).orderBy("position").collect()]
+    assert got == [(1, "good line", 10), (2, "bad", 30), (3, "bad", 41), (4, "label", 60), (5, "label", 90)]
+    more = ", rendered_width double, rendered_height double, page_width double, page_height double, source_width double, source_height double, origin_x double, origin_top double"
+    r = boxes(spark, [(10, 20, 30, 40, 300.0, 400.0, 600.0, 800.0, None, None, None, None), (10, 20, 30, 40, 300.0, 400.0, 600.0, 800.0, 100.0, 100.0, 50.0, 60.0), (1, 1, 2, 2, 0.0, 1.0, 1.0, 1.0, None, None, None, None)], more)
+    assert corners(geometry.ocr_coordinates(r)) == [(20, 40, 60, 80), (53.3333, 65, 60, 70)]
+    assert corners(geometry.box_union(boxes(spark, [(5, 5, 9, 9), (1, 7, 3, 12), (0, 0, 0, 50)]), ["doc_id"])) == [(1, 5, 9, 12)]
+
+
+def test_sections(spark):
+    want = {
+        "已获批准的 PMA 产品": "pma_item", "PMA持证人": "pma_holder", "补充型号认可证 VSTC": "vstc", "型号认可证": "vtc", "list of VTC": "vtc", "VDA": "vda", "补充型号合格证": "stc", "MDA list": "mda", "tda": "tda",
+        "PC": "pc", "型号合格证": "tc", "TC-1": "tc", "获得国外认可的民用航空产品": "foreign_product_recognition", "获得国外当局认可的技术标准规定项目": "foreign_tso_recognition", "CTSOA": "ctsoa", "列TC": None, "else": None,
+    }
+    d = spark.createDataFrame([(h, f" \n\u3000\n {h}\nTC") for h in want], "h string, page string")
+    got = {r.h: r.s for r in d.select("h", catalog.section_of(catalog.first_line(F.col("page"))).alias("s")).collect()}
+    assert got == want
+    w = spark.createDataFrame([("截至2024", 1.0, 800.0), ("TC-1", 730.0, 800.0), ("B-1", 730.0, 800.0), ("TC-1", 700.0, 800.0), ("TC-1", 700.0, None)], "t string, top double, h double")
+    assert [r.f for r in w.select(catalog.furniture_word(F.col("t"), F.col("top"), F.col("h")).alias("f")).collect()] == [True, True, False, False, False]
+
+
+def test_cells_and_bands(spark):
+    words = spark.createDataFrame([(1, 30.0, 10.0, "b"), (1, 5.0, 12.4, "a"), (1, 9.0, 12.6, "c"), (1, 1.0, 15.2, "d"), (2, 1.0, 1.0, "e"), (2, None, 1.0, "f")], "cell int, x0 double, top double, text string")
+    assert {r.cell: r.text for r in catalog.cell_text(words, ["cell"]).collect()} == {1: "a b c d", 2: "e"}
+    page = "doc_id long, page_number int, "
+    anchors = spark.createDataFrame([(1, 1, 1, 100.0), (1, 1, 2, 140.0), (1, 1, 3, 180.0), (1, 1, 4, 300.0), (1, 2, 5, 50.0), (1, 2, 6, 90.0)], page + "row_number int, top double")
+    rules = spark.createDataFrame([(1, 1, t, t + 1, w) for t, w in ((90.0, 520.0), (130.0, 520.0), (190.0, 520.0), (160.0, 40.0), (450.0, 520.0))], page + "top double, bottom double, width double")
+    pages = spark.createDataFrame([(1, 1, 80.0, 800.0), (1, 2, 30.0, 700.0)], page + "header_bottom double, page_bottom double")
+    got = {r.row_number: (r.start, r.end) for r in catalog.row_bands(anchors, rules, pages).collect()}
+    assert got == {1: (90.5, 129.5), 2: (120.0, 160.0), 3: (160.0, 240.0), 4: (240.0, 449.5), 5: (31.5, 70.0), 6: (70.0, 700.0)}
