@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import roles, text
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
+QUERY_BLOCK, ROW_BLOCK = 2048, 1024  # vectors multiplied at a time: 16 MB of scores
 
 
 def tokens_of(query: str) -> list[str]:
@@ -70,6 +76,87 @@ def search(chunks: DataFrame, query: str, embedding: list[float] | None = None,
     return s.orderBy(F.desc("score"), "chunk_id").limit(limit).where("score > 0").drop("keyword", "vector")
 
 
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (id, embedding, keyword, weight) of a partition as matrices, a row of the result for each vector size; size 0 has no vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= 4 * ROW_BLOCK:
+                yield from pack(held)
+                held, count = [], 0
+        if count:
+            yield from pack(held)
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        size = np.array([0 if v is None else v for v in pa.compute.list_value_length(t["embedding"]).to_pylist()])
+        for d in np.unique(size):
+            part = t.take(np.flatnonzero(size == d)).combine_chunks()
+            m = part["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes() if d else b""
+            one = lambda c: [part[c].to_numpy().astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(d)], pa.int32()), pa.array([part["id"].to_pylist()], pa.list_(part.schema.field("id").type)), pa.array([m]), pa.array(one("keyword")), pa.array(one("weight"))],
+                names=["size", "ids", "vectors", "keyword", "weight"],
+            )
+
+    return rows.select("id", "embedding", F.col("keyword").cast("double").alias("keyword"), F.col("weight").cast("double").alias("weight")).mapInArrow(run, f"size int, ids array<{kind}>, vectors binary, keyword binary, weight binary")
+
+
+def search_all(rows: DataFrame, queries: DataFrame, limit: int, digits: int, vector_weight: float = 1.0, keyword_weight: float = 0.0) -> DataFrame:
+    """(query_id, id, score): for every query vector the best rows by (score, id), exactly; all pairs are scored, in blocks.
+
+    Rows: id, embedding, keyword, weight; queries: query_id long, embedding.  A row without a vector of the query's size
+    scores by keyword alone where keywords count, else not at all.  Packed rows meet packed queries as a product of
+    partitions, so nothing is broadcast; a task keeps ``limit`` rows a query."""
+    kind = rows.schema["id"].dataType.simpleString()
+    n = queries.count()
+    q = queries.where("embedding is not null").select(F.col("query_id").alias("id"), "embedding", F.lit(0.0).alias("keyword"), F.lit(1.0).alias("weight"))
+    q = _packed(q.repartition(max(1, -(-n // QUERY_BLOCK))), "bigint").select(F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    pairs = _packed(rows, kind).hint("shuffle_replicate_nl").crossJoin(q)
+
+    def unit(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+        m = np.frombuffer(raw, "<f4").reshape(-1, size).astype("f8")
+        return m, np.sqrt((m * m).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["q_size"] == 0 or r["size"] != r["q_size"] and not keyword_weight:
+                    continue
+                ids, keyword, weight = np.array(r["ids"]), np.frombuffer(r["keyword"]), np.frombuffer(r["weight"])
+                order = np.argsort(ids, kind="stable")
+                m, norms = unit(r["vectors"], r["size"]) if r["size"] == r["q_size"] else (None, None)
+                qs, q_norms = unit(r["q_vectors"], r["q_size"])
+                for at in range(0, len(order), ROW_BLOCK):
+                    own = order[at : at + ROW_BLOCK]
+                    for k in range(0, len(qs), QUERY_BLOCK):
+                        if m is None:
+                            s = np.broadcast_to(keyword[own], (len(qs[k : k + QUERY_BLOCK]), len(own)))
+                        else:
+                            norm = q_norms[k : k + QUERY_BLOCK, None] * norms[own]
+                            cos = np.divide(qs[k : k + QUERY_BLOCK] @ m[own].T, norm, out=np.zeros_like(norm), where=norm > 0)
+                            s = vector_weight * np.maximum(cos, 0) + keyword_weight * keyword[own] if keyword_weight else np.maximum(cos, 0)
+                        whole = np.floor(np.maximum(np.nan_to_num(s), 0) * weight[own] * 10**digits + 0.5).astype("i8")
+                        key = (whole << 11) + (ROW_BLOCK - np.arange(len(own)))  # no two equal: by score, then by id
+                        top = np.argpartition(-key, limit - 1, 1)[:, :limit] if len(own) > limit else np.broadcast_to(np.arange(len(own)), whole.shape)
+                        v, i = np.take_along_axis(whole, top, 1), ids[own][top]
+                        name = tuple(r["q_ids"][k : k + QUERY_BLOCK])
+                        if name in best:
+                            v, i = np.concatenate([best[name][0], v], 1), np.concatenate([best[name][1], i], 1)
+                        keep = np.lexsort((i, -v), axis=1)[:, :limit]
+                        best[name] = np.take_along_axis(v, keep, 1), np.take_along_axis(i, keep, 1)
+        for name, (v, i) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(name, "i8"), v.shape[1])), pa.array(i.ravel().tolist()), pa.array(v.ravel() / 10**digits)], names=["query_id", "id", "score"])
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = pairs.mapInArrow(run, f"query_id long, id {kind}, score double")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
+
+
 def retrieval_mode(chunks: DataFrame, dimension: int) -> DataFrame:
     return chunks.agg(F.when(F.coalesce(F.bool_or(F.size("embedding") == dimension), F.lit(False)), "hybrid").otherwise("keyword").alias("mode"))
 

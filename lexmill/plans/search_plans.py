@@ -66,6 +66,31 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.search(docs.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left"), QUERY, q, 20).select("chunk_id", "score")
 
 
+_PAIRS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ c AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0.0, list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e)))) AS cos FROM v, v AS q WHERE q.vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id, floor(cos * 1e6 + 0.5) / 1e6 AS similarity FROM c)"""
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_topk_all", f"WITH {_PAIRS} SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20")
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """``vector_topk`` for every hundredth vector."""
+    rows = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), "embedding", F.lit(0.0).alias("keyword"), F.lit(1.0).alias("weight"))
+    return S.search_all(rows, _queries(spark, d), 20, 6).select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("similarity"))
+
+
+@query("hybrid_topk_all")
+def hybrid_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """``hybrid_topk`` with every hundredth vector; the text is scored once."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), S.keyword_score(F.col("text"), QUERY).alias("keyword"), roles.role_weight(F.lit("paragraph")).alias("weight"))
+    rows = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    found = S.search_all(rows, _queries(spark, d), 20, 4, S.VECTOR_WEIGHT, S.KEYWORD_WEIGHT)
+    return found.where("score > 0").select("query_id", F.col("id").alias("chunk_id"), "score")
+
+
 @query("retrieval_mode", "SELECT CASE WHEN count(*) FILTER (len(embedding) = 64) > 0 THEN 'hybrid' ELSE 'keyword' END AS mode FROM embeddings")
 def retrieval_mode(spark: SparkSession, d: str) -> DataFrame:
     return S.retrieval_mode(table(spark, d, "embeddings"), 64)

@@ -264,6 +264,24 @@ def test_sections(spark):
     assert [r.f for r in w.select(catalog.furniture_word(F.col("t"), F.col("top"), F.col("h")).alias("f")).collect()] == [True, True, False, False, False]
 
 
+def test_search_all_is_the_search_of_each(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    vectors = [None if k % 11 == 3 else [1.0] if k % 13 == 5 else [0.0] * 3 if k % 17 == 4 else [float(rng.randrange(-2, 3)) for _ in range(3)] for k in range(120)]
+    texts = [rng.choice(["pump valve", "the valve", "other"]) for _ in vectors]
+    chunks = spark.createDataFrame([(f"c{k}", t, "paragraph", v) for k, (t, v) in enumerate(zip(texts, vectors, strict=True))], "chunk_id string, text string, semantic_role string, embedding array<float>").repartition(3)
+    asked = {k: v for k, v in enumerate(vectors) if k % 10 == 0 and v}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, embedding array<float>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    rows = chunks.select(F.col("chunk_id").alias("id"), "embedding", search.keyword_score(F.col("text"), "pump valve").alias("keyword"), roles.role_weight(F.lit("paragraph")).alias("weight"))
+    got = search.search_all(rows, queries, 20, 4, search.VECTOR_WEIGHT, search.KEYWORD_WEIGHT).where("score > 0").collect()
+    for k, v in asked.items():
+        want = [(r.chunk_id, r.score) for r in search.search(chunks, "pump valve", v, 20).collect()]
+        assert sorted((r.id, r.score) for r in got if r.query_id == k) == sorted(want), k
+    assert {r.query_id for r in got} == set(asked)
+
+
 def test_cells_and_bands(spark):
     words = spark.createDataFrame([(1, 30.0, 10.0, "b"), (1, 5.0, 12.4, "a"), (1, 9.0, 12.6, "c"), (1, 1.0, 15.2, "d"), (2, 1.0, 1.0, "e"), (2, None, 1.0, "f")], "cell int, x0 double, top double, text string")
     assert {r.cell: r.text for r in catalog.cell_text(words, ["cell"]).collect()} == {1: "a b c d", 2: "e"}
