@@ -1,18 +1,20 @@
 """Shared helpers of the training-data operators.
 
 Scratch tables go to the folder named by ``spark.checkpoint.dir`` (shared by
-driver and executors on a cluster); only where that setting is absent, as in
-tests, is a folder of our own used.
+driver and executors on a cluster); only where that setting is absent and the
+master is local, as in tests, is a folder of our own used.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
 
 
@@ -35,7 +39,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the folder's path in it."""
+    path = re.sub(r"^file:/*(?=/)", "", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def slim_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +64,6 @@ def slim_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-
 def give_back() -> None:
     """Return freed memory to the system: a reused Python worker would keep it while other operators run."""
     gc.collect()

@@ -1,6 +1,7 @@
 """Operators 5 and 9 against brute-force versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -99,10 +100,19 @@ def brute_removed(texts: dict[int, bytes], length: int) -> dict[int, np.ndarray]
     return out
 
 
-def check_removal(spark, texts: dict[int, str | None], length: int, most: int) -> None:
+def word_spans(raw: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)]
+
+
+def check_removal(spark, texts: dict[int, str | None], length: int, passage: int, most: int) -> None:
     frame = spark.createDataFrame([(k, t, "s", 1, 2) for k, t in texts.items()], SCHEMA).repartition(4)
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, length, most).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, length, passage, most).collect()}
     raw = {k: (t or "").encode() for k, t in texts.items()}
+    for k, again in brute_removed(raw, passage).items():
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], again.astype(int), [0]))))
+        # Words that lie wholly in a run: those of the text whose both ends do.
+        words = [sum(s >= a and e <= z for s, e in word_spans(raw[k])) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+        assert (got[k].n_passages, got[k].passage_words) == (sum(n > 50 for n in words), sum(n for n in words if n > 50)), (k, passage)
     for k, gone in brute_removed(raw, length).items():
         kept = bytes(np.frombuffer(raw[k], np.uint8)[~gone])
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
@@ -113,15 +123,25 @@ def check_removal(spark, texts: dict[int, str | None], length: int, most: int) -
 def test_op5_against_brute_force(spark, most):
     texts = dict(enumerate(copies(11, 120)))
     texts |= {1000: None, 1001: "", 1002: "ab" * 400, 1003: "x" * 700, 1004: "y" * 399, 1005: "é" * 300, 1006: texts[5] + texts[5]}
-    check_removal(spark, texts, 400, most)
-    check_removal(spark, texts, 100, most)
+    check_removal(spark, texts, 400, 240, most)
+    check_removal(spark, texts, 100, 100, most)
 
 
 def test_op5_edge_cases(spark):
-    check_removal(spark, by_id(), 400, 400)
+    check_removal(spark, by_id(), 400, 240, 400)
     assert suffix_dedup.remove_repeats(docs(spark).limit(0)).count() == 0
 
 
+def test_op5_short_passages_and_repeated_ids(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"{rng.randrange(100, 999)}" for _ in range(60))  # 239 bytes with 60 words
+    passage += " abcdef"
+    rows = [(1, f"first {passage} tail one"), (2, f"quite another begin {passage}"), (3, "alone " * 3), (4, passage), (4, "x" * 500), (None, "x" * 500), (None, None)]
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_passages, r.passage_words) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    n = len(passage)
+    assert got == [(0, 0, 0, 0, 0), (0, 500, 500, 0, 0), (1, n + 15, 0, 1, 61), (2, n + 20, 0, 1, 61), (3, 18, 0, 0, 0), (4, n, 0, 1, 61), (4, 500, 500, 0, 0)]
+
+
 def test_deep_shallow_sort():
     rng = random.Random(2)
     for trial in range(300):
