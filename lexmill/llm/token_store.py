@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import give_back, shared_dir, slim_docs, written
+from lexmill.llm.common import dropped, file_system, give_back, shared_dir, slim_docs, written
 
 MAGIC, VERSION = b"LXMLTOK1", 1
 CACHE_PIECES = 1_000_000
@@ -131,17 +131,19 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def frequencies(ids: DataFrame, vocab: int, kind: type) -> np.ndarray:
-    """Counts of each id over all documents: one row per id and task is summed."""
+    """Counts of each id over all documents: each task counts its rows, the tasks' counts are summed by id;
+    at most a row for each id of the vocabulary comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in b["ids"]), kind), minlength=vocab)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
     got = np.zeros(vocab, np.int64)
-    for r in ids.mapInArrow(count, "counts binary").toLocalIterator():
-        got += np.frombuffer(r["counts"], np.int64)
+    sums = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got[sums["id"].to_numpy()] = sums["n"].to_numpy()
     return got
 
 
@@ -172,19 +174,25 @@ def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, sizes, unpack(blob[at : at + groups], blob[at + groups :], n)
 
 
-def write_shards(ids: DataFrame, path: str, counts: np.ndarray, kind: type, shard_ids: int = 4_000_000) -> list[tuple[str, int]]:
-    """Write the shards in ascending order of document; returns (file name, its number of ids) in that order."""
+def _name(part: int, serial: int) -> str:
+    return f"tokens-{part:06d}-{serial:06d}.bin"
+
+
+def write_shards(ids: DataFrame, path: str, counts: np.ndarray, kind: type, shard_ids: int = 4_000_000) -> dict[str, int]:
+    """Write the shards in ascending order of document, each task its own; returns how many ids stand before each shard.
+
+    What comes to the driver, and goes to the readers, is one number for a shard, that is for ``shard_ids`` ids."""
     order = np.argsort(-counts, kind="stable").astype(np.uint32)
     rank_of = np.empty(len(order), np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    where, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    where, root = file_system(path)
     where.create_dir(root, recursive=True)
     _write(where, f"{root}/ranks.bin", order.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        there, folder = file_system(path)
         part = TaskContext.get().partitionId()
-        names, totals = [], []
+        totals: list[int] = []
         held_ids: list[int] = []
         held: list[np.ndarray] = []
         size = 0
@@ -192,9 +200,7 @@ def write_shards(ids: DataFrame, path: str, counts: np.ndarray, kind: type, shar
         def flush() -> None:
             nonlocal held_ids, held, size
             if held_ids:
-                name = f"tokens-{part:06d}-{len(names):06d}.bin"
-                _write(there, f"{folder}/{name}", shard(held_ids, [len(x) for x in held], rank_of[np.concatenate(held)]))
-                names.append(name)
+                _write(there, f"{folder}/{_name(part, len(totals))}", shard(held_ids, [len(x) for x in held], rank_of[np.concatenate(held)]))
                 totals.append(size)
             held_ids, held, size = [], [], 0
 
@@ -207,19 +213,19 @@ def write_shards(ids: DataFrame, path: str, counts: np.ndarray, kind: type, shar
                 held.append(one.copy())
                 size += len(one)
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(totals, pa.int64())], names=["name", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(totals), pa.int32()), pa.array(range(len(totals)), pa.int32()), pa.array(totals, pa.int64())], names=["part", "serial", "total"])
+        give_back()
 
     ranged = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return sorted((r["name"], r["total"]) for r in ranged.mapInArrow(run, "name string, total long").toLocalIterator())
+    listed = written(ranged.mapInArrow(run, "part int, serial int, total long"), "token-shards").toArrow().sort_by([("part", "ascending"), ("serial", "ascending")])
+    total = listed["total"].to_numpy()
+    starts = (np.cumsum(total) - total).tolist()
+    return {_name(k, n): at for k, n, at in zip(listed["part"].to_pylist(), listed["serial"].to_pylist(), starts, strict=True)}
 
 
-def read_store(spark: SparkSession, path: str, shards: list[tuple[str, int]]) -> DataFrame:
+def read_store(spark: SparkSession, path: str, starts: dict[str, int]) -> DataFrame:
     """(doc_id, start, ids) from the files: ids as little-endian unsigned 32-bit integers."""
-    starts, at = {}, 0
-    for name, total in shards:
-        starts[name] = at
-        at += total
-    where, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    where, root = file_system(path)
     with where.open_input_stream(f"{root}/ranks.bin") as f:
         order = np.frombuffer(f.read(), np.uint32)
 
@@ -237,7 +243,7 @@ def read_store(spark: SparkSession, path: str, shards: list[tuple[str, int]]) ->
     return files.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = 4_000_000) -> DataFrame:
     """Write the documents' ids to the shared folder and read them back: (doc_id, start, ids)."""
     spark = docs.sparkSession
     coder = PieceEncoder(path)
@@ -245,5 +251,7 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     ids = written(encode(docs, path, end_id), "token-ids")
     counts = frequencies(ids, vocab, kind)
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    return read_store(spark, folder, write_shards(ids, folder, counts, kind))
+    starts = write_shards(ids, folder, counts, kind, shard_ids)
+    dropped(ids)
+    return read_store(spark, folder, starts)
 
