@@ -5,7 +5,8 @@ whole corpus is encoded once, by Spark higher-order functions: a fold over the
 array of the word's byte tokens merges, step by step, the leftmost adjacent
 pair of lowest rank, looked up in a literal rank map.  The map is an array of
 buckets (two parallel literals: pair keys, merged ranks), because a lookup in a
-plain map literal would scan all its entries.
+plain map literal would scan all its entries; within a bucket the left id names
+the pair, since the bucket and the left id give the right one.
 
 Plan: documents become blocks of about ``BLOCK_BYTES`` of text, written once to
 the shared folder: the words' places in each document, and the block's distinct
@@ -14,8 +15,9 @@ The documents stay in the written files and are read there when a block is put
 together.
 A part's words come together in one task, packed (a frequent word costs a few
 bytes per block, not a row per use), each distinct word is folded once, and the
-ids go back to the blocks, packed again.  No task holds more than a part's
-distinct words or a block.  Decoding concatenates the tokens' byte strings.
+ids go back to the blocks, packed again.  A task holds a block, or a run: the
+words that a part gathers from blocks until their places take ``RUN_BYTES`` (a
+word is folded once a run); the number of parts grows with the input.  Decoding concatenates the tokens' byte strings.
 
 Words longer than ``LONG_WORD`` bytes, where a fold over arrays is quadratic,
 are merged by a heap in Python (same rule, n log n).
@@ -31,8 +33,9 @@ import heapq
 import json
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +43,14 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import regex
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import give_back, shared_dir, slim_docs
+from lexmill.llm.common import file_system, give_back, shared_dir, slim_docs
 
 BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 8 << 20, 150_000, 256
+RUN_BYTES, PART_BYTES = 32 << 20, 1 << 30
 _PAIR_BUCKETS = 1 << 16
 _ODD = r"  |^ | $|^$|[\s\x0b\x{85}\p{Z}] [\s\x0b\x{85}\p{Z}]"
 _MULTIPLIER = 40503
@@ -96,23 +99,23 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _pair_lookup(ranks: dict[bytes, int]) -> object:
     """A function of two id columns: the rank of their concatenation, or null."""
-    keys: list[list[int]] = [[] for _ in range(_PAIR_BUCKETS)]
-    merged: list[list[int]] = [[] for _ in range(_PAIR_BUCKETS)]
+    # The bucket of (a, b) is a * odd + b modulo the buckets; with as many buckets as ids at least, (bucket, a) gives b.
+    buckets = max(_PAIR_BUCKETS, 1 << (max(ranks.values())).bit_length())
+    lefts: list[list[int]] = [[] for _ in range(buckets)]
+    joined: list[list[int]] = [[] for _ in range(buckets)]
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                at = (a * _MULTIPLIER + b) % _PAIR_BUCKETS
-                keys[at].append((a << 32) + b)
-                merged[at].append(rank)
-    # A literal: Spark folds the constant once, when it plans.
-    key_map = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<array<bigint>>")
-    rank_map = F.from_json(F.lit(json.dumps(merged, separators=(",", ":"))), "array<array<int>>")
+                at = (a * _MULTIPLIER + b) % buckets
+                lefts[at].append(a)
+                joined[at].append(rank)
+    # Literals: Spark folds the constants once, when it plans.
+    left_map, rank_map = (F.from_json(F.lit(json.dumps(m, separators=(",", ":"))), "array<array<int>>") for m in (lefts, joined))
 
     def rank(a: Column, b: Column) -> Column:
-        a = a.cast("bigint")
-        at = ((a * _MULTIPLIER + b) % _PAIR_BUCKETS).cast("int")
-        place = F.array_position(F.get(key_map, at), a * (1 << 32) + b)
+        at = ((a.cast("bigint") * _MULTIPLIER + b) % buckets).cast("int")
+        place = F.array_position(F.get(left_map, at), a)
         return F.get(F.get(rank_map, at), (place - 1).cast("int"))
 
     return rank
@@ -217,7 +220,7 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _blocks(docs: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
+def _blocks(docs: DataFrame, path: str, pattern: str, parts: int, block_bytes: int) -> DataFrame:
     """Rows of blocks: part -1 holds the documents, parts 0, 1, ... the distinct words to encode."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,7 @@ def _blocks(docs: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
                 held += cutter.cut(b["text"])
                 doc_ids += b["doc_id"].to_pylist()
                 size += b["text"].nbytes
-                if size >= BLOCK_BYTES or len(cutter.index) >= BLOCK_WORDS:
+                if size >= block_bytes or len(cutter.index) >= BLOCK_WORDS:
                     yield block()
         if held:
             yield block()
@@ -271,13 +274,13 @@ def _blocks(docs: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
     return docs.mapInArrow(run, _BLOCK)
 
 
-def _distinct_words(path: str) -> object:
-    """Rows come by part: emit the part's distinct words, as arrays of byte ids, then each block's places among them."""
+def _distinct_words(path: str, run_bytes: int) -> object:
+    """Rows come by part: emit a run's distinct words, as arrays of byte ids, then each of its blocks' places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        part, index, uses = None, {}, []
+        part, index, uses, held = None, {}, [], 0
 
         def row(block: int, words: list[bytes], data: bytes) -> pa.RecordBatch:
             inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
@@ -285,13 +288,13 @@ def _distinct_words(path: str) -> object:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([data], pa.binary()), outer], names=["block", "part", "data", "words"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal index, uses
+            nonlocal index, uses, held
             words = list(index)
             for at in range(0, len(words), 2000):
                 yield row(-1, words[at : at + 2000], b"")
             for block, places in uses:
                 yield row(block, [], places.tobytes())
-            index, uses = {}, []
+            index, uses, held = {}, [], 0
 
         for b in batches:
             for block, k, blob in zip(b["block"].to_pylist(), b["part"].to_pylist(), b["data"], strict=True):
@@ -303,6 +306,9 @@ def _distinct_words(path: str) -> object:
                 ends = np.cumsum(sizes, dtype=np.int64)
                 data = raw.tobytes()
                 uses.append((block, np.array([index.setdefault(data[s:e], len(index)) for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int32)))
+                held += uses[-1][1].nbytes + 200
+                if held > run_bytes:
+                    yield from flush()
         if part is not None:
             yield from flush()
         give_back()
@@ -311,14 +317,14 @@ def _distinct_words(path: str) -> object:
 
 
 def _dealt_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by part: its words' ids, then each block's places; emit each block's ids, packed."""
+    """Rows come by part and run: its words' ids, then its blocks' places; emit each block's ids, packed."""
     part, sizes, flats = None, [], []
     size = flat = start = None
     for b in batches:
         out: list[tuple[int, int, bytes]] = []
         for i in range(b.num_rows):
             k, block = b["part"][i].as_py(), b["block"][i].as_py()
-            if k != part:
+            if k != part or block < 0 and size is not None:
                 part, sizes, flats, size = k, [], [], None
             if block < 0:
                 ids = b["ids"][i].values
@@ -340,61 +346,57 @@ def _dealt_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def _parts(docs: DataFrame) -> int:
+    """As many as shuffle partitions, more for a large input (by Catalyst's estimate of its size)."""
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate >= 1 << 62:  # Spark's word for unknown
+        estimate = 0
+    return min(_KNOWN - 1, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimate // PART_BYTES))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(doc_id, ids): each document's ids as little-endian unsigned 32-bit integers."""
-    parts = min(_KNOWN - 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(slim_docs(docs))
     folder = f"{shared_dir(docs.sparkSession)}/bpe-blocks-{uuid.uuid4().hex}"
     # Small row groups: a reader of one block touches little else.
-    _blocks(slim_docs(docs), path, pattern, parts).write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
+    _blocks(slim_docs(docs), path, pattern, parts, block_bytes).write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
     blocks = docs.sparkSession.read.schema(_BLOCK).parquet(folder)
     by_part = blocks.where("part >= 0").repartition("part").sortWithinPartitions("part", "block")
-    words = by_part.mapInArrow(_distinct_words(path), "block long, part int, data binary, words array<array<int>>")
+    words = by_part.mapInArrow(_distinct_words(path, run_bytes), "block long, part int, data binary, words array<array<int>>")
     ranks = load_ranks(path)
     folded = words.select("block", "part", "data", F.transform("words", lambda w: fold(w, ranks)).alias("ids"))
     back = folded.mapInArrow(_dealt_back, _BLOCK)
-    heads = blocks.where("part < 0").select("block", "part", F.lit(None).cast("binary").alias("data"))
+    # A head carries the file that holds its block's documents: they are read there, no task lists the folder.
+    heads = blocks.where("part < 0").select("block", "part", F.encode(F.col("_metadata.file_path"), "utf-8").alias("data"))
     rows = heads.unionByName(back).repartition("block").sortWithinPartitions("block", "part")
-    return rows.mapInArrow(_assemble(folder), "doc_id long, ids binary")
-
+    return rows.mapInArrow(_assembled, "doc_id long, ids binary")
 
-def _documents_of(folder: str) -> object:
-    """A function of a block: its packed documents, read from where they were written; they are not shuffled."""
-    where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
-    files: dict[int, list[str]] = {}
-    for f in where.get_file_info(fs.FileSelector(root)):
-        if f.base_name.startswith("part-"):
-            files.setdefault(int(f.base_name.split("-")[1]), []).append(f.path)
 
-    def read(block: int) -> bytes:
-        for name in files[block >> 24]:
-            with where.open_input_file(name) as source:
-                table = pq.ParquetFile(source)
-                for g in range(table.num_row_groups):
-                    at = table.read_row_group(g, columns=["block", "part"])
-                    hit = np.flatnonzero((at["block"].to_numpy() == block) & (at["part"].to_numpy() < 0))
-                    if len(hit):
-                        return table.read_row_group(g, columns=["data"])["data"][int(hit[0])].as_py()
-        raise LookupError(f"block {block} is not in {folder}")
-
-    return read
+def _documents(name: str, block: int) -> bytes:
+    """A block's packed documents, from the file where they were written; its statistics tell the row group."""
+    where, path = file_system(unquote(name))
+    with where.open_input_file(path) as source:
+        table = pq.ParquetFile(source)
+        for g in range(table.num_row_groups):
+            told = table.metadata.row_group(g).column(0).statistics
+            if told is not None and told.has_min_max and not told.min <= block <= told.max:
+                continue
+            at = table.read_row_group(g, columns=["block", "part"])
+            hit = np.flatnonzero((at["block"].to_numpy() == block) & (at["part"].to_numpy() < 0))
+            if len(hit):
+                return table.read_row_group(g, columns=["data"])["data"][int(hit[0])].as_py()
+    raise LookupError(f"block {block} is not in {name}")
 
 
-def _assemble(folder: str) -> object:
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by block: its head first, then its words' ids part by part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _assembled(batches, _documents_of(folder))
-
-    return run
-
-
-def _assembled(batches: Iterator[pa.RecordBatch], documents: Callable[[int], bytes]) -> Iterator[pa.RecordBatch]:
     held: int | None = None
+    file = ""
     sizes: list[np.ndarray] = []
     flats: list[np.ndarray] = []
 
     def finish() -> Iterator[pa.RecordBatch]:
-        doc_ids, n_words, words, part, known_sizes, known = _unpacked(documents(held))
+        doc_ids, n_words, words, part, known_sizes, known = _unpacked(_documents(file, held))
         order = np.argsort(part, kind="stable")
         ordered = np.concatenate([*sizes, known_sizes]).astype(np.int64)
         flat = np.concatenate([*flats, known]).astype("<u4")
@@ -415,7 +417,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], documents: Callable[[int], byt
             if k < 0:
                 if held is not None:
                     yield from finish()
-                held, sizes, flats = block, [], []
+                held, file, sizes, flats = block, data.as_py().decode(), [], []
             else:
                 n, ids = _unpacked(data.as_py())
                 sizes.append(n)
