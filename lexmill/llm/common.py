@@ -41,9 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    stage_ended(df.sparkSession)
     return table
 
 
+def stage_ended(spark: SparkSession) -> None:
+    """Spark removes shuffle files and broadcasts once the driver's collector finds that no plan needs them.  Asking for a
+    collection where a stage ends keeps a long job's disk, and the driver's heap, at one stage's share."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove tables made by ``written`` that nothing will read again."""
     for t in tables:

@@ -360,9 +360,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     (passage false) and of ``passage`` bytes (true), passage <= length; they may overlap."""
     keyed = _with_key(docs)
     every = written(keyed.mapInArrow(_segment_rows(length, passage), _SEGMENTS), "suffix-segments")
-    grams = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first, so that both sides of the join are plain exchanges, which Spark can split where a hash is hot.
+    grams = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
     rows = written(every.join(grams, "gram"), "suffix-repeated")
-    dropped(every)
+    dropped(every, grams)
     place = F.struct("row", "doc_id", "anchor", "low", "high", "stop")  # of one holder of each content
     contents = written(rows.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(place).alias("holder")), "suffix-contents")
     mixed = contents.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
