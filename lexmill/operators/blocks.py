@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import roles, text
@@ -43,8 +43,10 @@ def page_quality(blocks: DataFrame) -> DataFrame:
 
 
 def noisy_pages(pages: DataFrame, n: int = 10) -> DataFrame:
-    """The n pages with most very short blocks, then most furniture."""
-    return pages.orderBy(F.desc("very_short"), F.desc("furniture"), "doc_id", "page_number").limit(n)
+    """The n pages with the greatest share of very short blocks, then most furniture and numeric-heavy ones together; ties by page."""
+    ratio = F.when(F.col("blocks") > 0, F.col("very_short") / F.col("blocks")).otherwise(0.0)
+    ranked = pages.withColumns({"very_short_ratio": ratio, "noise": F.col("furniture") + F.col("numeric_heavy")})
+    return ranked.orderBy(F.desc("very_short_ratio"), F.desc("noise"), "doc_id", "page_number").limit(n)
 
 
 def page_projection(blocks: DataFrame) -> DataFrame:
@@ -82,9 +84,24 @@ def document_quality(docs: DataFrame) -> DataFrame:
     )
 
 
+def contract_text(c: Column) -> Column:
+    """NFKC, white space folded, ends stripped: the text that fingerprints are taken of."""
+    nfkc = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.trim(F.regexp_replace(nfkc, r"(?U)[\s\x1c-\x1f\x85]+", " "))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """An object with its keys in order and without spaces; strings are escaped as JSON asks, numbers stand as they are."""
+    row = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
 def fingerprints(blocks: DataFrame) -> DataFrame:
-    """Content, structure and unit fingerprints of blocks, and a stable id from them."""
-    content = F.sha2(text.record_text(F.lower("content")), 256)
-    structure = F.sha2(F.concat_ws("|", "type", "semantic_role", F.col("page_number").cast("string")), 256)
-    unit = F.sha2(F.concat_ws("|", content, structure), 256)
-    return blocks.select("doc_id", "position", content.alias("content_fingerprint"), structure.alias("structure_fingerprint"), unit.alias("unit_fingerprint"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("kuf"), F.substring(unit, 1, 20)).alias("stable_id"))
+    """Content, structure and unit fingerprints: SHA-256 of canonical JSON, and a stable id from the unit's.
+
+    Content is the contract text alone; structure is type, role and page; the unit holds document and both."""
+    content = F.sha2(canonical_json(text=contract_text(F.col("content"))), 256)
+    structure = F.sha2(canonical_json(page=F.col("page_number"), role=F.col("semantic_role"), type=F.col("type")), 256)
+    b = blocks.select("doc_id", "position", content.alias("content_fingerprint"), structure.alias("structure_fingerprint"))
+    unit = F.sha2(canonical_json(content=F.col("content_fingerprint"), doc_id=F.col("doc_id").cast("string"), structure=F.col("structure_fingerprint")), 256)
+    return b.withColumn("unit_fingerprint", unit).withColumn("stable_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("kuf"), F.substring("unit_fingerprint", 1, 20)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,42 +17,46 @@ def section_spans(headers: DataFrame) -> DataFrame:
 
 
 def row_anchors(words: DataFrame) -> DataFrame:
-    """Buckets of 3 points in the first column that hold a single number."""
-    b = words.where("column_index = 0").withColumn("bucket", F.floor(F.col("top") / 3))
+    """Words of the first column that stand alone on their line (tops rounded to 2.5 points) and are a number of up to five digits."""
+    b = words.where("column_index = 0").withColumn("bucket", F.bround(F.col("top") / 2.5))
     g = b.groupBy("doc_id", "page_number", "bucket").agg(F.count("*").alias("n"), F.min("text").alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
     return g.where("n = 1").where(F.col("text").rlike(r"^\d{1,5}$")).select("doc_id", "page_number", F.col("text").cast("int").alias("row_number"), ((F.col("top") + F.col("bottom")) / 2).alias("centre"))
 
 
-def best_partition(anchors: list[float], centres: list[float]) -> list[int]:
-    """Contiguous non-empty runs of lines for the anchors, in order, with the least sum of distances
-    between a run's mean centre and its anchor; fewer lines than anchors give one line each."""
+def best_partition(anchors: list[float], centres: list[float]) -> list[int] | None:
+    """The anchor of each line: contiguous non-empty runs of lines, in order, whose mean centres lie nearest to their
+    anchors (squares of the distance over .6 of the usual gap, 4 points at least). None where the lines do not tell: fewer
+    lines than anchors, or an anchor without a line within three quarters of the usual gap (5 to 18 points)."""
     m, n = len(anchors), len(centres)
-    if not m:
-        return []
-    if n <= m:
-        return list(range(n))
-    total = [0.0]
-    for c in centres:
-        total.append(total[-1] + c)
-    inf = float("inf")
-    cost = [[inf] * (n + 1) for _ in range(m + 1)]
-    back = [[0] * (n + 1) for _ in range(m + 1)]
-    cost[0][0] = 0.0
-    for i in range(1, m + 1):
-        for e in range(i, n - (m - i) + 1):
-            for s in range(i - 1, e):
-                if cost[i - 1][s] < inf and (c := cost[i - 1][s] + abs((total[e] - total[s]) / (e - s) - anchors[i - 1])) < cost[i][e] - 1e-12:
-                    cost[i][e], back[i][e] = c, s
-    owner, e = [0] * n, n
-    for i in range(m, 0, -1):
-        s = back[i][e]
-        owner[s:e] = [i - 1] * (e - s)
-        e = s
+    if not m or not n:
+        return None
+    steps = sorted(b - a for a, b in zip(anchors, anchors[1:], strict=False) if b > a)
+    gap = steps[len(steps) // 2] if steps else 12.0
+    near = max(5.0, min(18.0, 0.75 * gap))
+    if n < m or any(min(abs(c - a) for c in centres) > near for a in anchors):
+        return None
+    sums = np.concatenate(([0.0], np.cumsum(centres)))
+    # best[e]: least cost of the first e lines for the anchors so far; one anchor more at each step.
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    begins = []
+    for a in anchors:
+        at, end = np.arange(n + 1)[:, None], np.arange(n + 1)[None, :]
+        size = np.maximum(end - at, 1)
+        cost = np.where(end > at, (((sums[None, :] - sums[:, None]) / size - a) / max(0.6 * gap, 4.0)) ** 2 + best[:, None], np.inf)
+        begins.append(cost.argmin(axis=0))
+        best = cost.min(axis=0)
+    owner, end = [0] * n, n
+    for i in range(m - 1, -1, -1):
+        begin = int(begins[i][end])
+        owner[begin:end] = [i] * (end - begin)
+        end = begin
     return owner
 
 
 def assign_rows(anchors: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines to row anchors per page. A page's rows are few; the dynamic program is sequential, so pandas per page."""
+    """Lines to row anchors per page; a page whose lines do not tell gives none. A page's rows are few; the dynamic program is
+    sequential, so pandas per page."""
     a = anchors.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("centre", "row_number"))).alias("anchors"))
     b = lines.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("centre", "text"))).alias("lines"))
 
@@ -60,7 +65,7 @@ def assign_rows(anchors: DataFrame, lines: DataFrame) -> DataFrame:
             rows = []
             for r in f.itertuples():
                 owner = best_partition([x["centre"] for x in r.anchors], [x["centre"] for x in r.lines])
-                rows += [(r.doc_id, r.page_number, r.anchors[o]["row_number"], k, x["text"]) for k, (o, x) in enumerate(zip(owner, r.lines, strict=False))]
+                rows += [(r.doc_id, r.page_number, r.anchors[o]["row_number"], k, x["text"]) for k, (o, x) in enumerate(zip(owner, r.lines, strict=True))] if owner else []
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "row_number", "line_no", "text"])
 
     return a.join(b, ["doc_id", "page_number"]).mapInPandas(run, "doc_id long, page_number int, row_number int, line_no int, text string")
@@ -81,11 +86,21 @@ def audit(records: DataFrame, key: str, row: str, date: str, evidence: str) -> D
 
 
 def ledger(parts: DataFrame) -> DataFrame:
-    """Part states of a run to the run's state."""
+    """A run's state from its parts' states (a null or empty one is pending), how many parts each state has, and the counts
+    (a map, or null) of the done parts summed by name."""
+    state = F.when(F.coalesce("state", F.lit("")) == "", "pending").otherwise(F.col("state"))
+    p = parts.withColumn("state", state)
     c = lambda s: F.count_if(F.col("state") == s)
-    g = parts.groupBy("run_id").agg(F.count("*").alias("parts"), c("done").alias("done"), c("failed").alias("failed"), c("running").alias("running"))
-    state = F.when(F.col("done") == F.col("parts"), "done").when(F.col("running") > 0, "running").when(F.col("failed") > 0, "partial").otherwise("pending")
-    return g.withColumn("state", state)
+    by_state = p.groupBy("run_id", "state").agg(F.count("*").alias("n"))
+    states = by_state.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("part_states"))
+    g = p.groupBy("run_id").agg(F.count("*").alias("parts"), c("done").alias("done"), c("failed").alias("failed"), c("running").alias("running"))
+    run = F.when(F.col("done") == F.col("parts"), "completed").when(F.col("running") > 0, "running").when((F.col("done") > 0) | (F.col("failed") > 0), "partial").otherwise("planned")
+    out = g.withColumn("state", run).join(states, "run_id")
+    if "counts" in parts.columns:
+        done = p.where("state = 'done'").select("run_id", F.explode("counts").alias("name", "n")).groupBy("run_id", "name").agg(F.sum("n").alias("n"))
+        sums = done.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("completed_counts"))
+        out = out.join(sums, "run_id", "left")
+    return out
 
 
 def omissions(missing: DataFrame, reviews: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

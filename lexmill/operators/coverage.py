@@ -63,18 +63,38 @@ def summary(pages: DataFrame) -> DataFrame:
     return g.select("*", share(F.col("pages") - F.col("pages_with_gaps"), F.col("pages")).alias("page_ratio"), share(F.col("chunked"), F.col("indexable")).alias("chunk_ratio"), share(F.col("embedded"), F.col("indexable")).alias("embedded_ratio"))
 
 
-def quality_gate(summaries: DataFrame) -> DataFrame:
-    """Gate and action from the ratios; fixed thresholds .98 (pages), .95 (tables), .98 (chunks), .75 (order)."""
-    flags = F.filter(F.array(
-        F.when(F.col("page_ratio") < 0.98, "text_page_coverage_below_threshold"), F.when(F.col("table_ratio") < 0.95, "table_unit_coverage_below_threshold"),
-        F.when(F.col("chunk_ratio") < 0.98, "unit_chunk_coverage_below_threshold"), F.when(F.col("order_confidence") < 0.75, "reading_order_confidence_below_threshold"),
-    ), lambda f: f.isNotNull())
-    s = summaries.withColumn("flags", flags)
+# The least ratios and confidence that pass, and the flag of each.
+GATE_LIMITS = [
+    ("text_ratio", 0.98, "text_page_coverage_below_threshold"), ("table_ratio", 0.95, "table_unit_coverage_below_threshold"),
+    ("chunk_ratio", 0.98, "unit_chunk_coverage_below_threshold"), ("order_confidence", 0.75, "reading_order_confidence_below_threshold"),
+]
+
+
+def quality_gate(rag: DataFrame, allow_review: bool = True, allow_rerun: bool = True) -> DataFrame:
+    """Gate, action and flags of each document from its ratios and its coverage quality (``rag.quality``).
+
+    Input: doc_id, text_ratio, table_ratio, chunk_ratio, order_confidence (or null), rag_flags, rag_gate, rag_action (or null).
+    A review or rerun that the configuration does not allow becomes a warning. An unknown ratio counts as 1."""
+    low = [F.when(F.coalesce(F.col(c) < least, F.lit(False)), F.lit(flag)) for c, least, flag in GATE_LIMITS]
+    flags = F.array_distinct(F.concat(F.filter(F.array(*low), lambda f: f.isNotNull()), F.coalesce("rag_flags", F.array().cast("array<string>"))))
+    s = rag.withColumn("flags", flags)
     has = lambda f: F.array_contains("flags", f)
-    rerun = has("reading_order_confidence_below_threshold") | has("text_page_coverage_below_threshold") | has("table_unit_coverage_below_threshold")
-    gate = F.when(F.col("empty_text_pages") > 0, "manual_review").when(rerun, "local_rerun").when(has("unit_chunk_coverage_below_threshold"), "accept_with_warning").otherwise("accept")
-    action = F.when(F.col("empty_text_pages") > 0, "review_parse_ir").when(rerun, "local_provider_rerun").when(has("unit_chunk_coverage_below_threshold"), "rechunk_document")
-    return s.select("doc_id", gate.alias("gate"), action.alias("action"), F.array_join("flags", ",").alias("flags"), gate.isin("accept", "accept_with_warning").alias("passed"))
+    review, rerun, warn = ("manual_review" if allow_review else "accept_with_warning"), ("local_rerun" if allow_rerun else "accept_with_warning"), "accept_with_warning"
+    rules = [  # condition, gate, the action if coverage quality has none
+        (has("rag_empty_text_page") | (F.col("rag_gate") == "manual_review"), review, "review_parse_ir"),
+        (has("rag_table_without_unit"), rerun, "local_provider_rerun"),
+        (has("reading_order_confidence_below_threshold"), rerun, "local_provider_rerun"),
+        (has("text_page_coverage_below_threshold") | has("table_unit_coverage_below_threshold"), rerun, "local_provider_rerun"),
+        (has("rag_figure_caption_missing"), warn, "review_parse_ir"),
+        (has("unit_chunk_coverage_below_threshold") | has("rag_units_without_chunks"), warn, "rechunk_document"),
+        (has("rag_chunks_not_embedded"), warn, "reembed_document"),
+        ((F.size("flags") > 0) | (F.col("rag_gate") == "accept_with_warning"), warn, None),
+    ]
+    gate, action = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for holds, g, a in rules:
+        gate, action = gate.when(holds, g), action.when(holds, F.coalesce("rag_action", F.lit(a)))
+    gate = gate.otherwise("accept")
+    return s.select("doc_id", gate.alias("gate"), action.alias("action"), "flags", gate.isin("accept", "accept_with_warning").alias("passed"))
 
 
 def traceability(chunks_: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -9,15 +9,23 @@ from lexmill.functions.text import round_half_up
 
 
 def ocr_trace(blocks: DataFrame) -> DataFrame:
-    """Per document from per-page decisions: attempted, used, rejected (attempted, not used), tokens (page maximum), reasons.
-
-    Input: doc_id, page_number, ocr_attempted, ocr_used, ocr_tokens, ocr_reason."""
+    """Per document from its pages' decisions: pages attempted, fallen back to OCR, rejected (attempted without fallback), failed
+    (an error is named); the distinct reasons of each kind in order; tokens before and after (a page's greatest, summed).
+
+    A page's reason of a kind is that of its first block which has one (blocks by position). Nulls count as no and 0.
+    Input: doc_id, page_number, position, attempted, fallback, attempt_reason, acceptance_reason, rejection_reason, error_reason, native_tokens, final_tokens."""
+    kinds = ("attempt", "acceptance", "rejection", "error")
+    named = lambda k: F.when(F.col(f"{k}_reason") != "", F.col(f"{k}_reason"))
+    first = [F.min(F.when(named(k).isNotNull(), F.struct("position", named(k).alias("reason"))))["reason"].alias(k) for k in kinds]
+    yes = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
     page = blocks.groupBy("doc_id", "page_number").agg(
-        F.bool_or("ocr_attempted").alias("attempted"), F.bool_or("ocr_used").alias("used"), F.max("ocr_tokens").alias("tokens"), F.collect_set("ocr_reason").alias("reasons")
-    )
+        yes("attempted").alias("attempted"), yes("fallback").alias("fallback"), *first,
+        F.max(F.coalesce("native_tokens", F.lit(0))).alias("native"), F.max(F.coalesce("final_tokens", F.lit(0))).alias("final"),
+    )
     return page.groupBy("doc_id").agg(
-        F.count_if("attempted").alias("attempted"), F.count_if("used").alias("used"), F.count_if(F.col("attempted") & ~F.col("used")).alias("rejected"), F.sum("tokens").alias("tokens"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))), ",").alias("reasons"),
+        F.count_if("attempted").alias("attempted_pages"), F.count_if("fallback").alias("fallback_pages"), F.count_if(F.col("attempted") & ~F.col("fallback")).alias("rejected_pages"),
+        F.count(F.col("error")).alias("failed_pages"), *[F.array_sort(F.collect_set(k)).alias(f"{k}_reasons") for k in kinds],
+        F.sum("native").alias("native_tokens"), F.sum("final").alias("final_tokens"),
     )
 
 
@@ -60,13 +68,31 @@ def expired(artifacts: DataFrame, as_of: str, retention_days: int) -> DataFrame:
     return artifacts.where(F.col("created_at").cast("timestamp") < F.to_timestamp(F.lit(as_of)) - F.make_interval(days=F.lit(retention_days)))
 
 
+# Actions on the whole document, and what a part may need that is not settled by looking at its quality.
+DOCUMENT_ACTIONS = ("rechunk_document", "reembed_document")
+DIRECT_FOCUSES = ("local_provider_rerun", "provider_route_plan", "parse_ir", "coverage_gaps")
+
+
 def attention(documents: DataFrame) -> DataFrame:
-    """What to look at first. Input: doc_id, gate, failed_parts, gaps, provider_failures."""
+    """Where to look first: focus is quality_gate, parts, providers or null; the entry point of it; whether anything asks for a look.
+
+    Input: doc_id, gate, action (the gate's, or null), gate_actions (array of action ids), part_focuses (array: one of each part
+    that asks for attention, "" for a part without), provider_attention, provider_mismatch (the best provider is not the primary)."""
+    none = F.array().cast("array<string>")
+    focuses, offered = F.coalesce("part_focuses", none), F.coalesce("gate_actions", none)
+    parts = F.size(focuses)
+    gate = F.lower(F.trim(F.coalesce("gate", F.lit(""))))
+    by_gate = ~gate.isin("", "accept", "disabled")
+    direct = F.arrays_overlap(focuses, F.array(*map(F.lit, DIRECT_FOCUSES)))
+    rerun = F.coalesce(F.col("action") == "local_provider_rerun", F.lit(False))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     focus = (
-        F.when(F.col("gate") == "manual_review", "review").when(F.col("failed_parts") > 0, "failed_parts").when(F.col("gate") == "local_rerun", "rerun")
-        .when(F.col("provider_failures") > 0, "provider").when(F.col("gaps") > 0, "coverage").otherwise("none")
+        F.when(F.coalesce(F.col("action").isin(*DOCUMENT_ACTIONS), F.lit(False)), "quality_gate").when(rerun & F.array_contains(offered, "rerun_warning_parts"), "parts").when(yes("provider_mismatch"), "providers")
+        .when(rerun & direct, "parts").when((parts > 0) & (direct | ~yes("provider_attention")), "parts").when(yes("provider_attention"), "providers").when(by_gate, "quality_gate")
     )
-    return documents.withColumn("focus", focus)
+    page = F.element_at(F.create_map(*map(F.lit, ("providers", "providers", "parts", "parts", "quality_gate", "quality"))), focus)
+    entry = F.when(focus.isNotNull(), F.concat(F.lit("/v1/parse/documents/"), F.col("doc_id").cast("string"), F.lit("/"), page))
+    return documents.select("*", focus.alias("focus"), entry.alias("entrypoint"), (by_gate | yes("provider_attention") | (parts > 0)).alias("needs_attention"), parts.alias("attention_parts"))
 
 
 def reading_confidence(pages: DataFrame) -> DataFrame:
@@ -76,16 +102,28 @@ def reading_confidence(pages: DataFrame) -> DataFrame:
 
 
 def continuity(units: DataFrame) -> DataFrame:
-    """The unit that each continues: a named one, else the last of its group, else the one before it of the same table.
+    """The unit that each continues, why, and how sure that is; units that continue none are left out.
 
-    Input: doc_id, unit_id, position, continues (or null), group_id (or null), table_id (or null)."""
-    by = Window.partitionBy("doc_id", "group_id").orderBy("position")
+    Tried in this order: the unit that the source names (an earlier one or itself by its id), the last unit of its group, the unit
+    before it if it says that it goes on (same type, next page at most), the unit before it if they share a table and its
+    pages begin right after. Input: doc_id, unit_id, position, unit_type, page_start, page_end, continues_from, group_id,
+    is_continuation, table_ids (array); the last four may be null."""
     at = Window.partitionBy("doc_id").orderBy("position")
-    u = units.withColumn("in_group", F.when(F.col("group_id").isNotNull(), F.lag("unit_id").over(by)))
-    same = F.col("table_id") == F.lag("table_id").over(at)
-    u = u.withColumn("adjacent", F.when(same, F.lag("unit_id").over(at)))
-    kind = F.when(F.col("continues").isNotNull(), "explicit").when(F.col("in_group").isNotNull(), "group").when(F.col("adjacent").isNotNull(), "table")
-    return u.select("doc_id", "unit_id", F.coalesce("continues", "in_group", "adjacent").alias("previous"), kind.alias("kind")).where("kind is not null")
+    by = Window.partitionBy("doc_id", "group_id").orderBy("position")
+    grouped = F.coalesce("group_id", F.lit("")) != ""
+    u = units.withColumn("in_group", F.when(grouped, F.lag("unit_id").over(by)))
+    for c in ("unit_id", "unit_type", "page_end", "table_ids"):
+        u = u.withColumn(f"last_{c}", F.lag(c).over(at))
+    names = units.select(F.col("doc_id").alias("named_doc"), F.col("unit_id").alias("named"), F.col("position").alias("named_at"))
+    u = u.join(names, (F.col("doc_id") == F.col("named_doc")) & (F.col("continues_from") == F.col("named")) & (F.col("named_at") < F.col("position")), "left")
+    goes_on = F.coalesce("is_continuation", F.lit(False)) & (F.col("unit_type") == F.col("last_unit_type")) & (F.col("page_start") <= F.col("last_page_end") + 1)
+    table = F.arrays_overlap("table_ids", "last_table_ids") & (F.col("page_start") == F.col("last_page_end") + 1)
+    ways = [
+        (F.col("named"), F.lit(True), "explicit_source_relation", 1.0), (F.col("in_group"), F.lit(True), "continuation_group", 1.0),
+        (F.col("last_unit_id"), goes_on, "adjacent_explicit_continuation", 0.9), (F.col("last_unit_id"), table, "same_table_across_adjacent_pages", 0.95),
+    ]
+    found = F.filter(F.array(*[F.when(unit.isNotNull() & ok, F.struct(unit.alias("previous"), F.lit(why).alias("reason"), F.lit(sure).alias("confidence"))) for unit, ok, why, sure in ways]), lambda w: w.isNotNull())
+    return u.select("doc_id", "unit_id", F.get(found, F.lit(0)).alias("w")).where("w is not null").select("doc_id", "unit_id", "w.*")
 
 
 def column_letters(n: Column) -> Column:

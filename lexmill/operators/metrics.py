@@ -121,24 +121,50 @@ def redact(fields: Column) -> Column:
     return F.transform_values(fields, lambda k, v: F.when(k.rlike(SECRET), "[redacted]").otherwise(v))
 
 
-def retry_delay(attempt: Column, base: float = 0.05, most: float = 0.5) -> Column:
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0))), F.lit(most))
-
-
-# Failure categories by the tokens that name them, in order.
-FAILURES = [
-    ("timeout", r"timeout|timed out|deadline"), ("rate_limit", r"429|rate.?limit|too many requests"), ("auth", r"401|403|unauthori|forbidden|invalid api key"),
-    ("quota", r"quota|insufficient"), ("network", r"connection|dns|unreachable|refused|reset"), ("invalid_request", r"400|422|invalid|bad request"),
-    ("not_found", r"404|not found"), ("server", r"50\d|internal server|unavailable"),
-]
-
-
-def failure_class(message: Column) -> Column:
-    low = F.lower(F.coalesce(message, F.lit("")))
-    out = F.when(low == "", "unknown")
-    for name, pattern in FAILURES:
-        out = out.when(low.rlike(pattern), name)
-    return out.otherwise("unknown")
+def retry_delay(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
+    """base * 2^(attempt - 1) seconds, at most ``most`` (or base, if that is more), to three places; no base, no delay."""
+    base = max(0.0, base)
+    raw = F.lit(base) * F.pow(F.lit(2.0), F.greatest(F.coalesce(attempt, F.lit(0)) - 1, F.lit(0)))
+    return round_half_up(F.least(raw, F.lit(max(base, most))), 3)
+
+
+# The categories of provider failures in the order they are tried, with what a message of each contains,
+# and the kinds of errors that belong to a category whatever the message says.
+FAILURE_TOKENS = {
+    "timeout": ["timed out", "timeout", "time-out"],
+    "permission_denied": ["{401}", "{403}", "unauthorized", "forbidden", "permission denied", "access is denied", "invalid api key"],
+    "rate_limited": ["{429}", "rate limit", "rate-limit", "too many requests"],
+    "missing_file": [],
+    "invalid_input": ["{400}", "{404}", "{409}", "{413}", "{422}", "bad request", "does not exist", "invalid input", "invalid request", "invalid file", "page_range"],
+    "unsupported": ["unsupported", "not supported", "media type", "extension"],
+    "invalid_response": ["invalid response", "empty response", "malformed response", "missing vector", "missing embedding", "embedding_provider_mismatch", "empty_or_invalid_response"],
+    "configuration_error": ["missing configuration", "configuration error", "not configured", "api_key_env", "environment variable", "provider disabled"],
+    "provider_unavailable": [
+        "{500}", "{502}", "{503}", "{504}", "no module named", "is required", "not installed", "missing dependency", "connection refused", "connection reset", "name or service not known",
+        "temporary failure in name resolution", "gateway unavailable", "provider unavailable", "embedding unavailable", "service unavailable", "network is unreachable",
+    ],
+}
+FAILURE_KINDS = {
+    "timeout": ["TimeoutError"], "permission_denied": ["PermissionError"], "missing_file": ["FileNotFoundError", "NotADirectoryError"],
+    "invalid_response": ["JSONDecodeError", "UnicodeDecodeError"], "provider_unavailable": ["ImportError", "ConnectionError", "URLError"],
+}
+
+
+def failure_class(message: Column, kind: Column | None = None, status: Column | None = None) -> Column:
+    """The category of a provider's failure: by the kind of error or HTTP status if known, and by its message.
+    A token such as {429} stands for "http error 429" and "status code 429". Null or empty messages: provider_failed."""
+    low = F.lower(F.trim(F.coalesce(message, F.lit(""))))
+    kind = F.lit(None).cast("string") if kind is None else kind
+    status = F.lit(None).cast("int") if status is None else status
+    statuses = {"rate_limited": status == 429, "provider_unavailable": status.between(500, 599)}
+    out = F.when(F.lit(False), "")
+    for name, tokens in FAILURE_TOKENS.items():
+        texts = [t for token in tokens for t in ([f"{p} {token[1:-1]}" for p in ("http error", "status code")] if token[0] == "{" else [token])]
+        hit = F.coalesce(kind.isin(*FAILURE_KINDS.get(name, [""])), F.lit(False)) | F.coalesce(statuses.get(name, F.lit(False)), F.lit(False))
+        for t in texts:
+            hit = hit | F.contains(low, F.lit(t))
+        out = out.when(hit, "invalid_input" if name == "missing_file" else name)
+    return out.otherwise("provider_failed")
 
 
 def trend(reports: DataFrame, value: str) -> DataFrame:

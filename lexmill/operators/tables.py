@@ -63,18 +63,62 @@ def page_of(df: DataFrame, order: list[str], offset: int = 0, limit: int | None
     return df.count(), page.limit(limit) if limit else page
 
 
-def column_counts(cells: DataFrame) -> DataFrame:
-    """Per table: rows, the commonest number of columns (the smaller of a tie), empty cells, ragged rows."""
-    rows = cells.groupBy("table_id", "row_index").agg(F.count("*").alias("width"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"))
-    widths = rows.groupBy("table_id", "width").agg(F.count("*").alias("n"), F.sum("empty").alias("empty"))
-    best = F.max_by("width", F.struct("n", -F.col("width")))
-    out = widths.groupBy("table_id").agg(F.sum("n").alias("rows"), best.alias("common_width"), F.sum(F.col("n") * F.col("width")).alias("cells"), F.sum("empty").alias("empty_cells"), F.max("n").alias("most"))
-    return out.select("table_id", "rows", "common_width", "cells", "empty_cells", (F.col("rows") - F.col("most")).alias("ragged_rows"))
-
-
-def warnings(counts: DataFrame) -> DataFrame:
-    codes = F.filter(F.array(F.when(F.col("cells") == 0, "empty_table"), F.when(F.col("ragged_rows") > 0, "ragged_rows"), F.when(F.col("empty_cells") > 0.5 * F.col("cells"), "mostly_empty")), lambda c: c.isNotNull())
-    return counts.select("table_id", F.explode(codes).alias("code"))
+def shapes(cells: DataFrame) -> DataFrame:
+    """Per table (doc_id, table_id): rows, cols (of the widest row), the widths of its non-empty rows, cells, empty cells,
+    and whether the first row has no text. A null text is empty."""
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    rows = cells.groupBy("doc_id", "table_id", "row_index").agg(F.count("*").alias("width"), F.count_if(blank).alias("empty"))
+    return rows.groupBy("doc_id", "table_id").agg(
+        F.count("*").alias("rows"), F.max("width").alias("cols"), F.array_sort(F.collect_set("width")).alias("widths"), F.sum("width").alias("cells"), F.sum("empty").alias("empty_cells"),
+        F.min_by(F.col("width") == F.col("empty"), "row_index").alias("header_blank"),
+    )
+
+
+def warnings(tables: DataFrame) -> DataFrame:
+    """``tables`` (as of ``shapes``) with the array ``warnings``. A column ``declared`` (array of widths that the source
+    declares, or null) goes before the grid's own widths; a width of 0 disagrees with none."""
+    own = F.col("widths")
+    widths = F.when(F.size(F.coalesce("declared", F.array().cast("array<int>"))) > 0, F.col("declared").cast("array<bigint>")).otherwise(own) if "declared" in tables.columns else own
+    kinds = F.size(F.array_distinct(F.filter(widths, lambda w: w > 0)))
+    codes = F.array(
+        F.when((F.col("rows") == 0) | (F.col("cols") == 0), "table_empty"), F.when((F.col("rows") > 0) & F.col("header_blank"), "table_header_missing"),
+        F.when(kinds > 1, "table_ragged_rows"), F.when((F.col("cells") > 0) & (F.col("empty_cells") / F.col("cells") > 0.5), "table_empty_ratio_high"),
+    )
+    return tables.withColumn("warnings", F.filter(codes, lambda c: c.isNotNull()))
+
+
+def common_columns(tables: DataFrame) -> DataFrame:
+    """Per document the commonest number of columns of its tables (the smaller of a tie); tables without columns do not count."""
+    n = tables.where("cols > 0").groupBy("doc_id", "cols").agg(F.count("*").alias("n"))
+    return n.groupBy("doc_id").agg(F.max_by("cols", F.struct("n", -F.col("cols"))).alias("common_cols"))
+
+
+def signals(tables: DataFrame) -> DataFrame:
+    """A row for each thing to note of a table: its warnings (an empty table is an error), a width other than the document's
+    common one, and what optional columns tell: truncated cells or source, hidden sheets, merged or formula cells,
+    blank or repeated header names (``header``, an array; all blank is the warning above).
+
+    Input: as of ``warnings``, and optionally cells_truncated, truncated, hidden_sheet, merged_cells (array), has_formula, header."""
+    t = tables.join(common_columns(tables), "doc_id", "left")
+
+    def flag(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in tables.columns else F.lit(False)
+
+    found = F.transform("warnings", lambda w: F.struct(w.alias("code"), F.when(w == "table_empty", "error").otherwise("warning").alias("severity")))
+    rules = [
+        ("table_col_count_changed", "warning", F.coalesce((F.col("cols") > 0) & (F.col("cols") != F.col("common_cols")), F.lit(False))), ("table_cells_truncated", "warning", flag("cells_truncated")),
+        ("table_source_truncated", "warning", flag("truncated")), ("table_hidden_sheet", "info", flag("hidden_sheet")),
+        ("table_merged_cells", "info", F.size(F.coalesce("merged_cells", F.array().cast("array<string>"))) > 0 if "merged_cells" in tables.columns else F.lit(False)), ("table_formula_cells", "info", flag("has_formula")),
+    ]
+    if "header" in tables.columns:
+        names = F.transform(F.coalesce("header", F.array().cast("array<string>")), lambda h: F.trim(F.coalesce(h, F.lit(""))))
+        filled = F.filter(names, lambda h: h != "")
+        rules += [
+            ("table_header_blank_cells", "warning", (F.size(filled) > 0) & (F.size(filled) < F.size(names))),
+            ("table_header_duplicate_values", "warning", F.size(F.array_distinct(F.transform(filled, lambda h: F.lower(h)))) < F.size(filled)),
+        ]
+    rest = F.filter(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, c in rules]), lambda r: r.isNotNull())
+    return t.select("doc_id", "table_id", F.inline(F.concat(found, rest)))
 
 
 def expand_spans(cells: DataFrame) -> DataFrame:

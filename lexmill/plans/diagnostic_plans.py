@@ -10,14 +10,6 @@ from lexmill.plans import sqltext as Q
 from lexmill.registry import query, table
 
 
-@query("ocr_trace", """WITH p AS (SELECT l_suppkey AS doc_id, l_orderkey AS page, bool_or(l_quantity > 25) AS a, bool_or(l_quantity > 45) AS u, max(l_partkey % 90) AS t FROM lineitem GROUP BY ALL)
- SELECT doc_id, count(*) FILTER (a) AS attempted, count(*) FILTER (u) AS used, count(*) FILTER (a AND NOT u) AS rejected, CAST(sum(t) AS BIGINT) AS tokens, r AS reasons FROM p JOIN (SELECT l_suppkey AS doc_id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS r FROM lineitem GROUP BY ALL) USING (doc_id) GROUP BY doc_id, r""")
-def ocr_trace(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    b = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("page_number"), (F.col("l_quantity") > 25).alias("ocr_attempted"), (F.col("l_quantity") > 45).alias("ocr_used"), (F.col("l_partkey") % 90).alias("ocr_tokens"), F.col("l_returnflag").alias("ocr_reason"))
-    return D.ocr_trace(b)
-
-
 @query("stability_gate", """SELECT o_custkey AS sample, count(*) AS runs, min(o_totalprice) AS least, max(o_totalprice) AS most, count(*) >= 3 AND count(DISTINCT o_orderpriority) = 1 AND bool_and(o_orderstatus <> 'P') AS stable FROM orders GROUP BY ALL""")
 def stability_gate(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderpriority").alias("signature"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("done").alias("state"), F.col("o_totalprice").alias("elapsed"))
@@ -60,22 +52,6 @@ def expired_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return D.expired(e, "2024-01-20 00:00:00", 7).groupBy("event_type").agg(F.count("*").alias("expired"))
 
 
-@query("attention_focus", """SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'review' WHEN o_orderstatus = 'P' THEN 'failed_parts' WHEN o_orderpriority LIKE '2%' THEN 'rerun' WHEN o_custkey % 3 = 0 THEN 'provider' WHEN o_orderkey % 2 = 0 THEN 'coverage' ELSE 'none' END AS focus, count(*) AS documents FROM orders GROUP BY ALL""")
-def attention_focus(spark: SparkSession, d: str) -> DataFrame:
-    gate = F.when(F.col("o_orderpriority").startswith("1"), "manual_review").when(F.col("o_orderpriority").startswith("2"), "local_rerun").otherwise("accept")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), gate.alias("gate"), (F.col("o_orderstatus") == "P").cast("int").alias("failed_parts"), (1 - F.col("o_orderkey") % 2).alias("gaps"), (F.col("o_custkey") % 3 == 0).cast("int").alias("provider_failures"))
-    return D.attention(o).groupBy("focus").agg(F.count("*").alias("documents"))
-
-
-@query("continuity_links", """WITH u AS (SELECT o_custkey AS doc_id, o_orderkey AS unit, CASE WHEN o_orderkey % 10 = 0 THEN 'x' END AS c, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS g, o_orderpriority AS t FROM orders),
- w AS (SELECT *, CASE WHEN g IS NOT NULL THEN lag(unit) OVER (PARTITION BY doc_id, g ORDER BY unit) END AS ig, CASE WHEN t = lag(t) OVER (PARTITION BY doc_id ORDER BY unit) THEN lag(unit) OVER (PARTITION BY doc_id ORDER BY unit) END AS adj FROM u)
- SELECT doc_id, CAST(unit AS VARCHAR) AS unit_id, coalesce(c, CAST(ig AS VARCHAR), CAST(adj AS VARCHAR)) AS previous, CASE WHEN c IS NOT NULL THEN 'explicit' WHEN ig IS NOT NULL THEN 'group' ELSE 'table' END AS kind FROM w WHERE c IS NOT NULL OR ig IS NOT NULL OR adj IS NOT NULL""")
-def continuity_links(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    u = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("unit_id"), F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 10 == 0, "x").alias("continues"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("group_id"), F.col("o_orderpriority").alias("table_id"))
-    return D.continuity(u)
-
-
 @query("merged_ranges", """WITH r AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey % 300 AS s, l_partkey % 300 + l_linenumber AS e FROM lineitem), w AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS op FROM r),
  k AS (SELECT *, sum(op) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM w) SELECT doc_id, min(s) AS page_start, max(e) AS page_end FROM k GROUP BY doc_id, k""")
 def merged_ranges(spark: SparkSession, d: str) -> DataFrame:

@@ -82,12 +82,6 @@ def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
     return M.prometheus(M.event_counters(e))
 
 
-@query("failure_classes", """SELECT CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'rate_limit' WHEN 'view' THEN 'server' ELSE 'unknown' END AS class, count(*) AS n FROM events GROUP BY ALL""")
-def failure_classes(spark: SparkSession, d: str) -> DataFrame:
-    m = F.when(F.col("event_type") == "error", "Read Timed Out").when(F.col("event_type") == "click", "HTTP 429").when(F.col("event_type") == "view", "503 Service").otherwise("odd")
-    return table(spark, d, "events").groupBy(M.failure_class(m).alias("class")).agg(F.count("*").alias("n"))
-
-
 @query("metric_trend", "SELECT event_type AS series, CAST(day AS BIGINT) AS seq, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT event_type, day(ts) AS day, count(*) AS n FROM events GROUP BY ALL)")
 def metric_trend(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "events").groupBy(F.col("event_type").alias("series"), F.dayofmonth("ts").cast("long").alias("seq")).agg(F.count("*").alias("n"))
@@ -152,14 +146,6 @@ def validation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return K.verdicts(K.validate_runs(runs)).groupBy("verdict").agg(F.count("*").alias("runs"))
 
 
-@query("publication_transitions", """WITH c AS (SELECT 'execution' AS axis, CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'queued' ELSE 'failed' END AS o, CASE WHEN o_custkey % 2 = 0 THEN 'succeeded' ELSE 'running' END AS n FROM orders)
- SELECT o AS "old", n AS "new", (o = n) OR (o = 'running' AND n = 'succeeded') OR (o = 'queued' AND n = 'running') AS legal, count(*) AS changes FROM c GROUP BY ALL""")
-def publication_transitions(spark: SparkSession, d: str) -> DataFrame:
-    old = F.when(F.col("o_orderstatus") == "F", "running").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
-    c = table(spark, d, "orders").select(F.lit("execution").alias("axis"), old.alias("old"), F.when(F.col("o_custkey") % 2 == 0, "succeeded").otherwise("running").alias("new"))
-    return K.check_transitions(c).groupBy("old", "new", "legal").agg(F.count("*").alias("changes"))
-
-
 @query("active_runs", "SELECT o_custkey AS doc_id, arg_max(o_orderkey, o_orderkey) AS run_id FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL")
 def active_runs(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
@@ -167,25 +153,8 @@ def active_runs(spark: SparkSession, d: str) -> DataFrame:
     return K.may_publish(r).where("active").select("doc_id", "run_id")
 
 
-@query("provider_ranking", f"""WITH p AS (SELECT l_returnflag AS provider, l_orderkey AS doc_id, l_linenumber AS page, max(CAST(l_quantity AS BIGINT)) / 16.0::DOUBLE AS el, CAST(max((l_discount > 0.05)::INT) AS BIGINT) AS gap, count(*) AS b FROM lineitem GROUP BY ALL),
- g AS (SELECT provider, count(*) AS pages, sum(el) AS elapsed, CAST(sum(gap) AS BIGINT) AS gaps, CAST(sum(b) AS BIGINT) AS blocks FROM p GROUP BY ALL), s AS (SELECT *, {Q.r4('100.0::DOUBLE - 50.0::DOUBLE * gaps / pages - least(20.0::DOUBLE, elapsed / pages)')} AS score FROM g)
- SELECT provider, pages, gaps, blocks, score, row_number() OVER (ORDER BY score DESC, gaps, blocks DESC, provider) AS rank FROM s""")
-def provider_ranking(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("provider"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), (F.col("l_quantity").cast("long") / 16.0).alias("elapsed"), (F.col("l_discount") > 0.05).cast("int").alias("gap"))
-    return K.provider_ranking(li).select("provider", "pages", "gaps", "blocks", "score", F.col("rank").cast("long").alias("rank"))
-
-
 @query("routed_requests", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS \"primary\", CASE WHEN o_orderkey % 3 = 0 THEN 'b' END AS fallback, count(*) AS requests FROM orders GROUP BY ALL")
 def routed_requests(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("pdf").alias("media_type"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("text"))).otherwise(F.array(F.lit("text"), F.lit("table"))).alias("needs"))
     providers = spark.createDataFrame([("a", ["pdf"], ["text"], 9, True, False), ("b", ["pdf", "docx"], ["text", "table"], 5, True, False), ("c", ["pdf"], ["text", "table"], 99, False, False), ("d", ["docx"], ["text"], 99, True, False)], "provider string, media_types array<string>, capabilities array<string>, priority int, enabled boolean, evaluation_only boolean")
     return K.route(requests, providers).groupBy("primary", "fallback").agg(F.count("*").alias("requests"))
-
-
-@query("rerun_comparison", """WITH p AS (SELECT l_partkey AS part_id, CAST(sum((l_returnflag = 'A')::INT) AS BIGINT) AS g0, CAST(sum((l_returnflag = 'R')::INT) AS BIGINT) AS g1, CAST(count(*) AS BIGINT) AS n, CAST(sum((l_linestatus = 'O')::INT) AS BIGINT) AS n1 FROM lineitem GROUP BY ALL)
- SELECT verdict, count(*) AS parts FROM (SELECT CASE WHEN (g1 < g0 OR n1 > g0) AND (g1 > g0 OR n1 < g0) THEN 'mixed' WHEN g1 < g0 OR n1 > g0 THEN 'improved' WHEN g1 > g0 OR n1 < g0 THEN 'regressed' ELSE 'unchanged' END AS verdict FROM p) GROUP BY ALL""")
-def rerun_comparison(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part_id")).agg(F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
-    before = g.select("part_id", F.lit("x").alias("provider"), F.col("a").alias("gaps"), F.col("a").alias("units"))
-    after = g.select("part_id", F.lit("x").alias("provider"), F.col("r").alias("gaps"), F.col("o").alias("units"))
-    return K.compare_reruns(before, after, ["gaps"], ["units"]).groupBy("verdict").agg(F.count("*").alias("parts"))

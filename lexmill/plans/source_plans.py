@@ -116,14 +116,6 @@ def catalog_audit(spark: SparkSession, d: str) -> DataFrame:
     return C.audit(li, "k", "r", "date", "e").drop("with_evidence")
 
 
-@query("ledger_states", """WITH p AS (SELECT o_custkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'running' END AS s FROM orders)
- SELECT state, count(*) AS runs FROM (SELECT CASE WHEN count(*) FILTER (s = 'done') = count(*) THEN 'done' WHEN count(*) FILTER (s = 'running') > 0 THEN 'running' WHEN count(*) FILTER (s = 'failed') > 0 THEN 'partial' ELSE 'pending' END AS state FROM p GROUP BY run_id) GROUP BY ALL""")
-def ledger_states(spark: SparkSession, d: str) -> DataFrame:
-    s = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed").otherwise("running")
-    p = table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), s.alias("state"))
-    return C.ledger(p).groupBy("state").agg(F.count("*").alias("runs"))
-
-
 @query("assigned_rows")
 def assigned_rows(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)

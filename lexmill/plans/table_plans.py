@@ -84,19 +84,6 @@ def records_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("column_counts", """WITH c AS (SELECT l_orderkey AS table_id, l_suppkey AS r, count(*) AS w FROM lineitem GROUP BY ALL), g AS (SELECT table_id, w, count(*) AS n FROM c GROUP BY ALL)
- SELECT table_id, CAST(sum(n) AS BIGINT) AS "rows", arg_max(w, n * 1000 - w) AS common_width, CAST(sum(n * w) AS BIGINT) AS cells, CAST(sum(n) - max(n) AS BIGINT) AS ragged_rows FROM g GROUP BY ALL""")
-def column_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_suppkey").alias("row_index"), F.col("l_returnflag").alias("text"))
-    return T.column_counts(c).drop("empty_cells")
-
-
-@query("table_warnings", """WITH c AS (SELECT l_orderkey AS table_id, l_suppkey AS r, count(*) AS w FROM lineitem GROUP BY ALL) SELECT table_id, 'ragged_rows' AS code FROM c GROUP BY ALL HAVING count(DISTINCT w) > 1""")
-def table_warnings(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_suppkey").alias("row_index"), F.col("l_returnflag").alias("text"))
-    return T.warnings(T.column_counts(c))
-
-
 @query("expand_spans", """SELECT l_orderkey AS table_id, CAST(count(*) AS BIGINT) AS places, CAST(sum((r > 0 OR c > 0)::INT) AS BIGINT) AS continued FROM
  (SELECT l_orderkey, l_linenumber, unnest(range(1 + l_linenumber % 2)) AS r, l_suppkey FROM lineitem), unnest(range(CAST(1 + l_suppkey % 3 AS BIGINT))) AS u(c) GROUP BY ALL""")
 def expand_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -168,12 +155,6 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return C.summary(C.page_coverage(C.unit_coverage(*_covered(spark, d))))
 
 
-@query("quality_gate", f"""WITH {_SUMMARY} SELECT doc_id, CASE WHEN page_ratio < 0.98 THEN 'local_rerun' WHEN chunk_ratio < 0.98 THEN 'accept_with_warning' ELSE 'accept' END AS gate, page_ratio >= 0.98 AS passed FROM q""")
-def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    s = C.summary(C.page_coverage(C.unit_coverage(*_covered(spark, d)))).withColumns({"table_ratio": F.lit(1.0), "order_confidence": F.lit(0.98), "empty_text_pages": F.lit(0)})
-    return C.quality_gate(s).select("doc_id", "gate", "passed")
-
-
 @query("traceability", f"""WITH {_UNITS} SELECT count(*) AS chunks, count(*) FILTER (position % 5 <> 0) AS traceable FROM c WHERE made""")
 def traceability(spark: SparkSession, d: str) -> DataFrame:
     _, chunks = _covered(spark, d)

@@ -75,13 +75,6 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
     return B.page_quality(B.line_blocks(docs(spark, d))).withColumns({c: F.col(c).cast("long") for c in ("page_number", "max_length")})
 
 
-@query("noisy_pages", f"""WITH {Q.BLOCKS} SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, count(*) FILTER (length(content) < 10) AS very_short, count(*) FILTER ({Q.FURNITURE}) AS furniture
- FROM blocks GROUP BY ALL ORDER BY very_short DESC, furniture DESC, doc_id, page_number LIMIT 10""")
-def noisy_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = B.page_quality(B.line_blocks(docs(spark, d))).withColumn("page_number", F.col("page_number").cast("long"))
-    return B.noisy_pages(pages).select("doc_id", "page_number", "very_short", "furniture")
-
-
 @query("page_projection", f"""WITH {Q.BLOCKS}, r AS (SELECT *, {Q.role('content')} AS role FROM blocks),
  g AS (SELECT doc_id, page_number, count(*) AS blocks, list_sort(list(DISTINCT role)) AS roles, string_agg(content, chr(10) || chr(10) ORDER BY position) AS t FROM r GROUP BY ALL)
  SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, blocks, array_to_string(roles, ',') AS roles, CAST(length(t) AS BIGINT) AS text_chars,
@@ -96,11 +89,6 @@ def document_summary(spark: SparkSession, d: str) -> DataFrame:
     return B.document_summary(B.line_blocks(docs(spark, d)))
 
 
-@query("fingerprint_hashes", f"""WITH {Q.BLOCKS} SELECT doc_id, CAST(position AS BIGINT) AS position, sha256(trim(regexp_replace(lower(content), '[\\s\\p{{Z}}]+', ' ', 'g'))) AS content_fingerprint FROM blocks""")
-def fingerprint_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return B.fingerprints(B.line_blocks(docs(spark, d))).select("doc_id", F.col("position").cast("long").alias("position"), "content_fingerprint")
-
-
 @query("strip_repeated_lines", f"""WITH {Q.LINES}, filled AS (SELECT doc_id, page_number, line_no, trim(line) AS s FROM paged WHERE trim(line) <> ''),
  np AS (SELECT doc_id, count(DISTINCT page_number) AS pages FROM filled GROUP BY ALL HAVING count(DISTINCT page_number) >= 3),
  rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS a, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no DESC) AS z FROM filled),

@@ -94,12 +94,30 @@ def test_percentiles(spark):
 def test_redaction_and_delay(spark):
     df = spark.createDataFrame([({"api_key": "x", "name": "y"}, 4)], "m map<string,string>, n int")
     r = df.select(metrics.redact(F.col("m")), metrics.retry_delay(F.col("n"))).first()
-    assert r[0] == {"api_key": "[redacted]", "name": "y"} and r[1] == 0.4
+    assert r[0] == {"api_key": "[redacted]", "name": "y"} and r[1] == 8.0
 
 
 def test_partition_of_lines():
+    import itertools
+    import random
+
+    rng = random.Random(3)
     assert catalog.best_partition([10, 30], [9, 11, 29, 31]) == [0, 0, 1, 1]
-    assert catalog.best_partition([10, 30], [10]) == [0] and catalog.best_partition([], [1]) == []
+    assert catalog.best_partition([10, 30], [10]) is None and catalog.best_partition([], [1]) is None and catalog.best_partition([10], []) is None
+    assert catalog.best_partition([10, 60], [9, 11, 30]) is None  # no line near the second anchor
+    for _ in range(60):
+        anchors = sorted(rng.sample(range(0, 200, 12), rng.randrange(1, 5)))
+        lines = sorted([a + rng.uniform(-3, 3) for a in anchors] + [rng.uniform(0, 200) for _ in range(rng.randrange(0, 5))])
+        steps = sorted(b - a for a, b in zip(anchors, anchors[1:], strict=False))
+        scale = max(0.6 * (steps[len(steps) // 2] if steps else 12.0), 4.0)
+
+        def cost(cuts):
+            edges = [0, *cuts, len(lines)]
+            return sum(((sum(lines[s:e]) / (e - s) - a) / scale) ** 2 for a, s, e in zip(anchors, edges, edges[1:], strict=False))
+
+        best = min(cost(c) for c in itertools.combinations(range(1, len(lines)), len(anchors) - 1))
+        got = catalog.best_partition(anchors, lines)
+        assert abs(cost([i for i in range(1, len(got)) if got[i] != got[i - 1]]) - best) < 1e-9
 
 
 def test_diff_cascade(spark):
