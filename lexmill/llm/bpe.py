@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import file_system, give_back, shared_dir, slim_docs
+from lexmill.llm.common import file_system, give_back, shared_dir, slim_docs, written
 
 BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 8 << 20, 150_000, 256
 RUN_BYTES, PART_BYTES = 32 << 20, 1 << 30
@@ -365,7 +365,8 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BY
     words = by_part.mapInArrow(_distinct_words(path, run_bytes), "block long, part int, data binary, words array<array<int>>")
     ranks = load_ranks(path)
     folded = words.select("block", "part", "data", F.transform("words", lambda w: fold(w, ranks)).alias("ids"))
-    back = folded.mapInArrow(_dealt_back, _BLOCK)
+    # Written, so that the plan after it, and what Spark notes of that, does not hold the rank literals.
+    back = written(folded.mapInArrow(_dealt_back, _BLOCK), "bpe-ids")
     # A head carries the file that holds its block's documents: they are read there, no task lists the folder.
     heads = blocks.where("part < 0").select("block", "part", F.encode(F.col("_metadata.file_path"), "utf-8").alias("data"))
     rows = heads.unionByName(back).repartition("block").sortWithinPartitions("block", "part")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import slim_docs, written
+from lexmill.llm.common import dropped, slim_docs, written
 from lexmill.llm.decontaminate import words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -317,13 +317,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b")
     both = written(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).distinct(), "component-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "component-labels")
+    last = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         new = written(hooked.join(up, "label", "left").select("node", "old", F.coalesce(F.least("label", "above"), "label").alias("label")), "component-labels")
-        labels = new.select("node", "label")
+        dropped(last)
+        last, labels = new, new.select("node", "label")
         if new.where("label <> old").isEmpty():
+            dropped(both)
             return labels
 
 
@@ -333,10 +336,12 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT, bloc
     slim = slim_docs(docs)
     sets = written(slim.mapInArrow(_describe, _SETS), "jaccard-sets")
     some = sets.where("n > 0")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
+    # Written step by step: the driver plans, and adapts, a few exchanges at a time.
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "jaccard-classes")
     members = some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep", "mult")
     reps = some.join(classes.select(F.col("rep").alias("doc_id"), "mult"), "doc_id").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    nodes = _nodes(reps.select("rep", "l1", "l2", "l3"), limit)
+    reps = written(reps.drop("digest"), "jaccard-reps")
+    nodes = written(_nodes(reps.select("rep", "l1", "l2", "l3"), limit), "jaccard-nodes")
     info = reps.select("rep", "n", "sketch", "mult").join(nodes.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep")
     rows = nodes.withColumnRenamed("n", "sets").join(info, "rep")
     blocks = F.ceil(F.col("sets") / block).cast("int")
@@ -347,11 +352,13 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT, bloc
     rows = rows.select(
         "rep", F.xxhash64("key", low, high).alias("sub"), "key", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "n", "mult", "keys", "sketch"
     )
-    opened = rows.repartition("sub").sortWithinPartitions("sub").mapInArrow(_candidates(threshold), _OPEN)
+    opened = written(rows.repartition("sub").sortWithinPartitions("sub").mapInArrow(_candidates(threshold), _OPEN), "jaccard-open")
+    dropped(reps, nodes)
     places = opened.groupBy("rep").agg(F.collect_list(F.struct("rep", "sub", "key", "side", "n", "mult", "keys")).alias("places"))
     texts = slim.join(places, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("text", "places")
     sent = texts.mapInArrow(_with_sets, _SENT)
     found = written(sent.repartition("sub").sortWithinPartitions("sub").mapInArrow(_verified(threshold), _FOUND), "jaccard-links")
+    dropped(opened)
     degrees = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     labels = components(found).withColumnRenamed("node", "rep")
     by_rep = degrees.join(labels, "rep", "left")
