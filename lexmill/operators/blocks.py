@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("page_number", (F.floor(F.col("line_no") / LINES_PER_PAGE) + 1).cast("int"))
 
 
-def line_blocks(docs: DataFrame) -> DataFrame:
-    """Non-empty lines as paragraph blocks with deterministic ids, roles and positions."""
+def line_blocks(docs: DataFrame, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Non-empty lines as paragraph blocks with deterministic ids, roles and positions; ``only`` those whose content it
+    accepts, so that roles are worked out for no others."""
     rows = lines(docs).withColumn("content", text.inline_space(F.col("line"))).where("content <> ''")
+    if only is not None:
+        rows = rows.where(only(F.col("content")))
     return rows.select(
         "doc_id", F.col("line_no").alias("position"), F.concat_ws("-", F.col("doc_id").cast("string"), F.lit("p"), F.col("line_no").cast("string")).alias("block_id"),
         F.lit("paragraph").alias("type"), "content", "page_number", roles.semantic_role(F.col("content")).alias("semantic_role"),

@@ -14,7 +14,7 @@ def units(blocks: DataFrame) -> DataFrame:
     empty = F.trim(F.coalesce("content", F.lit(""))) == ""
     reason = F.when(empty, "empty_text").when(F.col("semantic_role").isin(*roles.NOT_INDEXED), F.concat(F.lit("semantic_role:"), F.col("semantic_role")))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("position"))
-    kind = F.when(F.col("type").isin("table", "figure"), F.col("type")).when(F.col("semantic_role").isin("title", "heading"), "title").when(F.col("semantic_role") != "paragraph", "structured").otherwise("paragraph")
+    kind = F.when(F.col("type").isin("table", "figure"), F.col("type")).when(F.col("semantic_role") == "title", "title").when(F.col("semantic_role") != "paragraph", "structured").otherwise("paragraph")
     page_end = F.col("page_end") if "page_end" in blocks.columns else F.col("page_number")
     return blocks.select(
         "doc_id", "position", F.format_string("%s:ku:%06d", F.col("doc_id").cast("string"), n).alias("unit_id"), F.array("block_id").alias("block_ids"), kind.alias("unit_type"), "semantic_role",

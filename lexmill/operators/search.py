@@ -51,6 +51,14 @@ def keyword_score(body: Column, query: str) -> Column:
     return _let(text.search_tokens(body), scored)
 
 
+def may_match(body: Column, query: str) -> Column:
+    """Whether a text holds any token of the query at all: cheaper than its score, and never false where that is above 0."""
+    low, hit = F.lower(body), F.lit(False)
+    for token in dict.fromkeys(tokens_of(query)):
+        hit = hit | F.contains(low, F.lit(token))
+    return F.coalesce(hit, F.lit(False))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -70,6 +78,8 @@ def search(chunks: DataFrame, query: str, embedding: list[float] | None = None,
     Zeros are dropped after the limit, where they can only be last: a filter below it would score twice."""
     k = keyword_score(F.col("text"), query)
     v = vector_score(F.col("embedding"), embedding) if "embedding" in chunks.columns else F.lit(None).cast("double")
+    if "embedding" not in chunks.columns or embedding is None:  # without vectors only the keywords score
+        chunks = chunks.where(may_match(F.col("text"), query))
     s = chunks.select("*", k.alias("keyword"), v.alias("vector"))
     both = F.when(F.col("vector").isNotNull(), VECTOR_WEIGHT * F.col("vector") + KEYWORD_WEIGHT * F.col("keyword")).otherwise(F.col("keyword"))
     s = s.withColumn("score", text.round_half_up(F.greatest(both, F.lit(0.0)) * roles.role_weight(F.coalesce("semantic_role", F.lit("paragraph")))))

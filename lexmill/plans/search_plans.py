@@ -15,9 +15,9 @@ from lexmill.registry import query, table
 QUERY = "the thing of the station"
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Document lines as chunks, artifacts left out."""
-    b = B.line_blocks(table(spark, d, "documents"))
+def chunks(spark: SparkSession, d: str, query_text: str | None = None) -> DataFrame:
+    """Document lines as chunks, artifacts left out; those that a query may match."""
+    b = B.line_blocks(table(spark, d, "documents"), None if query_text is None else lambda c: S.may_match(c, query_text))
     b = b.where(roles.indexable(F.col("semantic_role"), F.col("content")))
     return b.select("doc_id", F.col("block_id").alias("chunk_id"), F.col("content").alias("text"), "semantic_role")
 
@@ -35,12 +35,12 @@ def _keyword(query_text: str) -> str:
 
 @query("search_topk", f"WITH {_keyword(QUERY)} SELECT chunk_id, doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 10")
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
-    return S.search(chunks(spark, d), QUERY, limit=10).select("chunk_id", "doc_id", "score")
+    return S.search(chunks(spark, d, QUERY), QUERY, limit=10).select("chunk_id", "doc_id", "score")
 
 
 @query("keyword_scores", f"WITH {_keyword('with their own')} SELECT doc_id, count(*) AS hits, max(score) AS best FROM s WHERE score > 0 GROUP BY ALL")
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = chunks(spark, d).select("doc_id", round_half_up(F.greatest(S.keyword_score(F.col("text"), "with their own"), F.lit(0.0))).alias("score"))
+    s = chunks(spark, d, "with their own").select("doc_id", round_half_up(F.greatest(S.keyword_score(F.col("text"), "with their own"), F.lit(0.0))).alias("score"))
     return s.where("score > 0").groupBy("doc_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
 
 

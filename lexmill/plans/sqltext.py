@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from lexmill.functions import roles
-
 LINES = """lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
@@ -26,33 +24,19 @@ def count(c: str, pattern: str) -> str:
     return f"len(regexp_extract_all({c}, {quoted(pattern)}))"
 
 
-def title_like(c: str) -> str:
-    words = f"regexp_extract_all({c}, {quoted(r'[A-Za-z][A-Za-z0-9' + chr(39) + r'/-]*')})"
-    capital = f"len(list_filter({words}, lambda w: regexp_matches(w, '^[A-Z]')))"
-    return f"(len({words}) > 0 AND NOT {matches(c, r'[.?!;]\s*$')} AND ({count(c, r'\p{Lu}')} >= 0.7 * greatest({count(c, r'\p{L}')}, 1) OR {capital} >= 0.7 * len({words}) OR len({words}) <= 3))"
-
-
-def heading_role(c: str) -> str:
-    """The role of a structural heading or NULL; c is a stripped one-line text."""
-    en, app, num = (
-        r"(?i)^(chapter|section)\s+([A-Z0-9IVXLCDM.-]+)(?:\s*[-:：.]?\s*)([^\n]*)",
-        r"(?i)^(附录|附件|appendix|annex)\s*([A-Z0-9一二三四五六七八九十]*)(?:\s*[-:：.]?\s*)([^\n]*)",
-        r"^(\d+(?:\.\d+)*)(?:[.)、]|\s+)\s*([^\n]+)",
-    )
-    part = lambda p, i: f"trim(regexp_extract({c}, {quoted(p)}, {i}))"
-    cn = r"^第\s*(\d+(?:[.\-]\d+)*|[一二三四五六七八九十百千]+)\s*([章节条款])(?:\s+|$)([^\n]*)"
-    return f"""CASE WHEN length({c}) > 80 THEN NULL
-      WHEN {matches(c, cn)} AND {part(cn, 2)} IN ('条', '款') THEN 'clause' WHEN {matches(c, cn)} THEN 'heading'
-      WHEN {matches(c, r'^([一二三四五六七八九十百千]+)[、.]\s*([^\n]+)')} THEN 'heading'
-      WHEN {matches(c, en)} AND ({part(en, 3)} = '' OR {title_like(part(en, 3))}) THEN 'heading'
-      WHEN {matches(c, app)} AND ({part(app, 3)} = '' OR {title_like(part(app, 3))}) THEN 'heading'
-      WHEN {matches(c, num)} AND {title_like(part(num, 2))} THEN 'heading' END"""
-
-
 def role(c: str) -> str:
-    first = "\n".join(f"WHEN {matches(c, p)} THEN '{n}'" for n, p in roles.LABEL_RULES)
-    last = "\n".join(f"WHEN {matches(c, p)} THEN '{n}'" for n, p in roles.AFTER_HEADINGS)
-    return f"CASE WHEN {c} = '' THEN 'paragraph' {first} WHEN ({heading_role(c)}) IS NOT NULL THEN {heading_role(c)} {last} ELSE 'paragraph' END"
+    """The role of a line of the documents, written for their alphabets: labels, steps, marks, numbered and worded headings."""
+    number, rest = f"regexp_extract({c}, '^([0-9]+(?:[.][0-9]+)*)[.)、 ]', 1)", f"trim(regexp_extract({c}, '^[0-9]+(?:[.][0-9]+)*(?:[.)、]|\\s)\\s*(.+)$', 1))"
+    words = f"regexp_extract_all({rest}, '[A-Za-z][A-Za-z0-9''/-]*')"
+    title = f"(len({words}) > 0 AND NOT regexp_matches({rest}, '[.?!;]\\s*$') AND (len(list_filter({words}, lambda w: regexp_matches(w, '^[A-Z]'))) >= 0.7 * len({words}) OR len({words}) <= 3 OR len(regexp_extract_all({rest}, '\\p{{Lu}}')) >= 0.7 * greatest(len(regexp_extract_all({rest}, '\\p{{L}}')), 1)))"
+    toc = f"regexp_matches({c}, '(?i)([.]\\s*){{2,}}\\s*([0-9]+|[A-Z]-?[0-9]+([-./][A-Z0-9]+)*|[IVXLCDM]{{1,7}}|not\\s+applicable|n/a|tbd)\\b')"
+    short = f"(length({c}) <= 120 AND NOT {toc})"
+    return f"""CASE WHEN {c} = '' THEN 'paragraph' WHEN regexp_matches({c}, '(?i)^note\\s*:') THEN 'note' WHEN regexp_matches({c}, '(?i)^warning\\s*:') THEN 'warning' WHEN regexp_matches({c}, '(?i)^caution\\s*:') THEN 'caution'
+      WHEN regexp_matches({c}, '(?i)^definition\\s*:') OR regexp_matches({c}, '(?i)^["“'']?[^。；;:：]{{1,48}}["”'']?\\s+(means|refers\\s+to)\\b') THEN 'definition' WHEN regexp_matches({c}, '(?i)^procedure\\s*:') THEN 'procedure' WHEN regexp_matches({c}, '(?i)^step\\s+[0-9]+\\b') THEN 'procedure_step'
+      WHEN regexp_matches({c}, '^([-•·▪◦]\\s+|[(][0-9]+[)]|[0-9]+[)])') THEN 'list_item' WHEN {short} AND regexp_matches({c}, '(?i)^(appendix|annex)') THEN 'appendix' WHEN {short} AND regexp_matches({c}, '(?i)^(chapter|section)\\s+[A-Z0-9.-]+') THEN 'body_section'
+      WHEN {short} AND {rest} <> '' AND NOT regexp_matches({rest}, '[。；;]') AND contains({number}, '.') THEN 'clause'
+      WHEN {short} AND {rest} <> '' AND NOT regexp_matches({rest}, '[。；;]') AND regexp_matches({c}, '^[0-9]+[.)、]') AND NOT (regexp_matches({c}, '^[0-9]+[.]') AND regexp_matches({rest}, '(?i)^[A-Z0-9]+[.][0-9]+\\s+\\S')) AND {title} THEN 'body_section'
+      WHEN regexp_matches({c}, '(?i)^(([A-Z0-9]+[.])+[A-Z0-9]+|[0-9]+([.][0-9]+){{1,5}})[.、)]?\\s+\\S') THEN 'clause' WHEN {toc} THEN 'toc_entry' WHEN regexp_matches({c}, '(?i)list of effective pages|\\bpage\\s+[A-Z0-9./-]+') THEN 'lep_entry' ELSE 'paragraph' END"""
 
 
 NUMERIC = "(length(content) > 0 AND len(regexp_extract_all(content, '[0-9]')) >= 0.6 * length(content))"

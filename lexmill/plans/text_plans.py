@@ -75,11 +75,28 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
     return B.page_quality(B.line_blocks(docs(spark, d))).withColumns({c: F.col(c).cast("long") for c in ("page_number", "max_length")})
 
 
+_CASES = [  # a line, its role, and the number, title and level of the heading that it is
+    ("NOTE: mind {k}", "note"), ("警告：热 {k}", "warning"), ("Caution : {k}", "caution"), ("A valve means a part {k}", "definition"), ("流程: {k}", "procedure"), ("Step 3 of {k}", "procedure_step"), ("步骤 三 拆下", "procedure_step"),
+    ("• item {k}", "list_item"), ("（二）部件 {k}", "list_item"), ("4) bolts {k}", "list_item", "4", "4 bolts {k}", 1), ("Chapter 2 - General {k}", "body_section", "CHAPTER 2", "CHAPTER 2 General {k}", 1), ("section IV: Tools {k}", "body_section", "SECTION IV", "SECTION IV Tools {k}", 2),
+    ("第 三 章 总则 {k}", "body_section", "第 三 章", "第 三 章 总则 {k}", 1), ("第5条 内容 {k}", "clause", "第5条", "第5条 内容 {k}", 2), ("第2款", "clause", "第2款", "第2款", 3), ("Appendix A Tables {k}", "appendix", "Appendix A", "Appendix A Tables {k}", 1), ("附录 {k}", "appendix", "附录 {k}", "附录 {k}", 1),
+    ("三、目的 {k}", "body_section", "三", "三、目的 {k}", 1), ("1. Scope {k}", "body_section", "1", "1 Scope {k}", 1), ("2.3 this is a long line of words that no title would be {k}", "clause", "2.3", "2.3 this is a long line of words that no title would be {k}", 2), ("４．１ 概述", "clause", "4.1", "4.1 概述", 2),
+    ("7 apples and some more pears than those {k}", "paragraph"), ("2024 年 {k}", "paragraph"), ("145.A.30 Personnel {k}", "clause"), ("Intro {k} ..... 12", "toc_entry"), ("Tools . . . N/A", "toc_entry"), ("see Page 3-1 {k}", "lep_entry"), ("plain words {k}.", "paragraph"), (" ", "paragraph"), ("1. ends with a stop so no title {k}.", "paragraph"),
+]
+_HEADED = ", ".join("(" + ", ".join([str(i), *["NULL" if x is None else str(x) if isinstance(x, int) else Q.quoted(x) for x in (*c, *[None] * (5 - len(c)))]]) + ")" for i, c in enumerate(_CASES))
+
+
+@query("line_headings", f"""WITH v(n, line, role, section_no, title, "level") AS (VALUES {_HEADED}) SELECT o_orderkey, role, replace(section_no, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS section_no, replace(title, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS title, "level" FROM orders JOIN v ON n = o_orderkey % {len(_CASES)}""")
+def line_headings(spark: SparkSession, d: str) -> DataFrame:
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    line = F.replace(F.get(F.array(*[F.lit(c[0]) for c in _CASES]), (k % len(_CASES)).cast("int")), F.lit("{k}"), k.cast("string"))
+    return o.select("o_orderkey", line.alias("line")).select("o_orderkey", roles.semantic_role(F.col("line")).alias("role"), roles.heading(F.col("line")).alias("h")).select("o_orderkey", "role", "h.section_no", "h.title", "h.level")
+
+
 @query("page_projection", f"""WITH {Q.BLOCKS}, r AS (SELECT *, {Q.role('content')} AS role FROM blocks),
  g AS (SELECT doc_id, page_number, count(*) AS blocks, list_sort(list(DISTINCT role)) AS roles, string_agg(content, chr(10) || chr(10) ORDER BY position) AS t FROM r GROUP BY ALL)
  SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, blocks, array_to_string(roles, ',') AS roles, CAST(length(t) AS BIGINT) AS text_chars,
- CASE WHEN list_has_any(roles, ['toc_entry', 'lep_entry']) OR {Q.matches('t', roles.TOC_HEADING)} THEN 'toc' WHEN {Q.matches('lower(t)', roles.PAGE_TOKENS[0][1])} THEN 'signature'
- WHEN {Q.matches('lower(t)', roles.PAGE_TOKENS[1][1])} THEN 'appendix' ELSE 'body' END AS page_type FROM g""")
+ CASE WHEN list_has_any(roles, ['toc_entry', 'lep_entry']) OR regexp_matches(t, '(?i)^\\s*(contents?|table\\s+of\\s+contents)(\\s|$)') OR regexp_matches(t, '(?im)^\\s*(contents?|table\\s+of\\s+contents)\\s*$') THEN 'toc'
+ WHEN regexp_matches(lower(t), 'signature|signed by|approved by') THEN 'signature' WHEN regexp_matches(lower(t), 'appendix|annex') THEN 'appendix' ELSE 'body' END AS page_type FROM g""")
 def page_projection(spark: SparkSession, d: str) -> DataFrame:
     return B.page_projection(B.line_blocks(docs(spark, d))).withColumns({c: F.col(c).cast("long") for c in ("page_number", "text_chars")})
 
@@ -127,7 +144,7 @@ def structural_splits(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.char_length("c")).alias("chars"))
 
 
-@query("section_chunks", f"""WITH {Q.BLOCKS}, r AS (SELECT *, CASE WHEN {Q.role('content')} IN ('heading', 'title', 'clause') THEN 1 ELSE 0 END AS anchor FROM blocks),
+@query("section_chunks", f"""WITH {Q.BLOCKS}, r AS (SELECT *, CASE WHEN {Q.role('content')} IN ('body_section', 'appendix', 'title', 'clause') THEN 1 ELSE 0 END AS anchor FROM blocks),
  s AS (SELECT *, sum(anchor) OVER (PARTITION BY doc_id ORDER BY position) AS section FROM r)
  SELECT doc_id, sha256(doc_id || '|' || string_agg(doc_id || '-p-' || position, ',' ORDER BY position)) AS chunk_id, count(*) AS blocks, CAST(length(string_agg(content, chr(10) ORDER BY position)) AS BIGINT) AS chars FROM s GROUP BY doc_id, section""")
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:

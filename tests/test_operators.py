@@ -35,8 +35,8 @@ def test_garble(spark):
 
 def test_roles(spark):
     cases = {
-        "NOTE: mind": "note", "警告：热": "warning", "Caution : x": "caution", "A term means nothing": "definition", "Step 3 go": "procedure_step", "• item": "list_item", "CHAPTER 2 GENERAL": "heading",
-        "第3章 总则": "heading", "第5条 内容": "clause", "Appendix A Tables": "heading", "1.2.3 the long sentence that ends here.": "clause", "Intro ..... 12": "toc_entry", "see Page 3-1": "lep_entry", "": "paragraph", "plain words.": "paragraph",
+        "NOTE: mind": "note", "警告：热": "warning", "Caution : x": "caution", "A term means nothing": "definition", "Step 3 go": "procedure_step", "• item": "list_item", "CHAPTER 2 GENERAL": "body_section",
+        "第3章 总则": "body_section", "第5条 内容": "clause", "Appendix A Tables": "appendix", "1.2.3 the long sentence that ends here.": "clause", "Intro ..... 12": "toc_entry", "see Page 3-1": "lep_entry", "": "paragraph", "plain words.": "paragraph",
     }
     assert one(spark, roles.semantic_role, *cases) == list(cases.values())
 
@@ -49,7 +49,7 @@ def test_dates_and_joins(spark):
 
 
 def test_splits(spark):
-    assert one(spark, segment.split_toc, "A .... 1 B .... 2 C .... 3 tail", "A .... 1") == [["A .... 1", "B .... 2", "C .... 3 tail"], ["A .... 1"]]
+    assert one(spark, segment.split_toc, "A .... 1 B .... 2 C .... 3 tail", "A .... 1") == [["A .... 1", "B .... 2", "C .... 3\ntail"], ["A .... 1"]]
     lines = "\n".join(["intro"] + [f"({i}) item\nmore" for i in range(5)])
     assert len(one(spark, segment.split_structural, lines)[0]) == 6
     long = "x" * 120 + " (1) first (2) second"
