@@ -177,3 +177,81 @@ def row_bands(anchors: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFra
     last = F.coalesce(F.col("after").isNull() & F.col("r0").isNotNull() & (F.col("r1") > start), F.lit(False))
     end = F.when(sane | last, F.col("r1")).otherwise(F.coalesce((F.col("top") + F.col("after")) / 2, F.col("page_bottom")))
     return a.select(*page, "row_number", F.when(sane, F.col("r0")).otherwise(start).alias("start"), end.alias("end"))
+
+
+def header_columns(words: DataFrame, aliases: DataFrame, tolerance: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """(columns, fields without a header) of each page: the words level with the serial-number header (tops within ``tolerance``), each the
+    first from the left of those that an alias of the section's field names; a word serves one field, fields in their order.
+
+    Words: doc_id, page_number, section, text, x0, x1, top, bottom.  Aliases: section, field_no, field, alias (a fixed few)."""
+    page = ["doc_id", "page_number", "section"]
+    label = lambda c: F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s　]+", ""))
+    w = words.where("x0 is not null and top is not null").withColumn("label", label(F.col("text")))
+    serial = w.where(F.col("label") == "序号").groupBy(*page).agg(F.min(F.struct("top", "x0", "x1", "bottom")).alias("s"))
+    level = w.join(serial, page).where((F.abs(F.col("top") - F.col("s.top")) <= tolerance) & (F.col("label") != "序号"))
+    known = aliases.select("section", "field_no", "field", label(F.col("alias")).alias("label")).distinct()
+    fits = level.join(F.broadcast(known), ["section", "label"])
+    # Two fields of one section share no alias in one table, so the leftmost fitting word is each field's own.
+    best = fits.groupBy(*page, "field_no", "field").agg(F.min(F.struct("x0", "x1", "top", "bottom", "text")).alias("w"))
+    first = serial.select(*page, F.lit("rowNumber").alias("field"), F.lit("序号").alias("text"), F.col("s.x0").alias("x0"), F.col("s.x1").alias("x1"), F.col("s.top").alias("top"), F.col("s.bottom").alias("bottom"))
+    columns = first.unionByName(best.select(*page, "field", "w.text", "w.x0", "w.x1", "w.top", "w.bottom"))
+    asked = serial.select(*page).join(F.broadcast(aliases.select("section", "field_no", "field").distinct()), "section")
+    return columns, asked.join(best.select(*page, "field"), [*page, "field"], "left_anti").select(*page, "field")
+
+
+# Per section, the field whose words go back to another one when they begin left of their header; and the sections
+# in which words of any field go back to the column before it.
+OVERFLOWS = [
+    ("stc", "attributes.originalApprovalNumber", "attributes.originalModel"), ("vtc", "item.productTypeOriginal", "holder.nameOriginal"), ("tda", "item.modelOriginal", "holder.nameOriginal"),
+]
+TO_THE_LEFT = ("mda", "vstc", "vda")
+REQUIRED = ("approval.numberOriginal", "holder.nameOriginal")
+
+
+def overflow(placed: DataFrame, columns: DataFrame, margin: float = 1.0, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Words with the field that they belong to: one that begins more than ``margin`` points left of its header's left edge returns to
+    the field that the section's rule names, or to the column before it; fields without a rule or a header keep their words.
+
+    Placed: doc_id, page_number, section, field, text, x0, ...; columns: as of ``header_columns``."""
+    page = ["doc_id", "page_number", "section"]
+    spark = placed.sparkSession
+    moves = F.broadcast(spark.createDataFrame(rules or OVERFLOWS, "section string, field string, back string"))
+    heads = columns.select(*page, "field", F.col("x0").alias("edge")).dropDuplicates([*page, "field"])
+    edges = heads.withColumn("before", F.lag("field").over(Window.partitionBy(*page).orderBy("edge")))
+    j = placed.join(moves, ["section", "field"], "left").join(edges, [*page, "field"], "left")
+    j = j.withColumn("back", F.coalesce("back", F.when(F.col("section").isin(*TO_THE_LEFT), F.col("before")))).drop("before")
+    back = F.col("back").isNotNull() & F.coalesce(F.col("x0") < F.col("edge") - margin, F.lit(False))
+    return j.withColumn("field", F.when(back, F.col("back")).otherwise(F.col("field"))).drop("back", "edge").select(*placed.columns)
+
+
+def candidate_rows(words: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells of each row by field, words that no band holds).  A word belongs to the band that holds its top, half open.
+
+    Words: doc_id, page_number, field, text, x0, top; bands: as of ``row_bands``."""
+    page = ["doc_id", "page_number"]
+    w = words.withColumn("word_id", F.xxhash64(*page, "field", "text", "x0", "top"))
+    held = w.join(bands, page).where((F.col("top") >= F.col("start")) & (F.col("top") < F.col("end")))
+    cells = cell_text(held, [*page, "row_number", "field"])
+    rows = cells.groupBy(*page, "row_number").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "text")))).alias("fields"))
+    return rows, w.join(held.select(*page, "word_id").distinct(), [*page, "word_id"], "left_anti").drop("word_id")
+
+
+def build_records(rows: DataFrame, source: str, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Rows as records: the fields that are missing reject a row; a record's identity is the SHA-256 of its canonical fields, its id holds the
+    source's first sixteen digits, section, page and row.  Of rows with one id the first by page and position stays.
+
+    Rows: section, page_number, row_number, fields (map)."""
+    value = lambda f: F.trim(F.coalesce(F.element_at("fields", f), F.lit("")))
+    lacks = F.filter(F.array(*[F.when(value(f) == "", F.lit(f)) for f in required]), lambda f: f.isNotNull())
+    canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("fields", lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != "")))))
+    digest = F.sha2(F.concat_ws("|", "section", canonical), 256)
+    rid = F.concat_ws(":", F.lit(source[:16]), "section", F.concat(F.lit("p"), F.col("page_number").cast("string")), F.concat(F.lit("r"), F.col("row_number").cast("string")))
+    out = rows.select("section", "page_number", "row_number", "fields", lacks.alias("missing"), digest.alias("identity"), rid.alias("record_id")).withColumn("rejected", F.size("missing") > 0)
+    w = Window.partitionBy("section", "identity", "rejected").orderBy("page_number", "row_number")
+    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rejected") | (F.col("rn") == 1)).drop("rn")
+
+
+def owned_records(records: DataFrame, parts: DataFrame) -> DataFrame:
+    """Records of the pages that each part owns; its context pages give none.  Parts: part_id, first, last (owned pages)."""
+    pages = parts.select("part_id", F.explode(F.sequence("first", "last")).alias("page_number"))
+    return records.join(pages, "page_number")
