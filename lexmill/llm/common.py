@@ -12,6 +12,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -72,6 +73,16 @@ def slim_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def returning(run: Callable) -> Callable:
+    """``run`` of a task's batches, giving freed memory back when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def give_back() -> None:
     """Return freed memory to the system: a reused Python worker would keep it while other operators run."""
     gc.collect()

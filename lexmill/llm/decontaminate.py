@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import slim_docs, written
+from lexmill.llm.common import returning, slim_docs, written
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20) for c in range(256))
@@ -240,7 +240,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk
     for serial, group in enumerate(_groups(benchmark, window, chunk_bytes, group_bytes)):
         if serial:
             state = written(state, "benchmark-hits")  # done with the group before this one
-        state = state.mapInArrow(scan([sc.broadcast(c) for c in group], serial == 0), schema)
+        state = state.mapInArrow(returning(scan([sc.broadcast(c) for c in group], serial == 0)), schema)
     return state
 
 

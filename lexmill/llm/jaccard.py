@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import dropped, slim_docs, written
+from lexmill.llm.common import dropped, returning, slim_docs, written
 from lexmill.llm.decontaminate import words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -334,7 +334,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT, bloc
     """(doc_id, class_id, n_links): class_id is the least id of the document's component of
     links; n_links counts the other documents of similarity ``threshold`` or more."""
     slim = slim_docs(docs)
-    sets = written(slim.mapInArrow(_describe, _SETS), "jaccard-sets")
+    sets = written(slim.mapInArrow(returning(_describe), _SETS), "jaccard-sets")
     some = sets.where("n > 0")
     # Written step by step: the driver plans, and adapts, a few exchanges at a time.
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "jaccard-classes")
@@ -352,12 +352,12 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT, bloc
     rows = rows.select(
         "rep", F.xxhash64("key", low, high).alias("sub"), "key", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "n", "mult", "keys", "sketch"
     )
-    opened = written(rows.repartition("sub").sortWithinPartitions("sub").mapInArrow(_candidates(threshold), _OPEN), "jaccard-open")
+    opened = written(rows.repartition("sub").sortWithinPartitions("sub").mapInArrow(returning(_candidates(threshold)), _OPEN), "jaccard-open")
     dropped(reps, nodes)
     places = opened.groupBy("rep").agg(F.collect_list(F.struct("rep", "sub", "key", "side", "n", "mult", "keys")).alias("places"))
     texts = slim.join(places, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("text", "places")
-    sent = texts.mapInArrow(_with_sets, _SENT)
-    found = written(sent.repartition("sub").sortWithinPartitions("sub").mapInArrow(_verified(threshold), _FOUND), "jaccard-links")
+    sent = texts.mapInArrow(returning(_with_sets), _SENT)
+    found = written(sent.repartition("sub").sortWithinPartitions("sub").mapInArrow(returning(_verified(threshold)), _FOUND), "jaccard-links")
     dropped(opened)
     degrees = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     labels = components(found).withColumnRenamed("node", "rep")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import give_back, slim_docs
+from lexmill.llm.common import give_back, returning, slim_docs
 
 BUCKETS = 1 << 18
 MAX_PER_CLASS = 3000
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
             rows = [features(t, cache).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array(rows, pa.binary())], names=["doc_id", "quality", "buckets"])
 
-    got = picked.mapInArrow(hashed, "doc_id long, quality int, buckets binary").collect()
+    got = picked.mapInArrow(returning(hashed), "doc_id long, quality int, buckets binary").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["buckets"]))
     return fit_rows([(np.frombuffer(r["buckets"], np.int32), r["quality"]) for r in got])
 
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             out = pa.array([m.score(features(t, cache)) for t in b["text"].to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), out], names=["doc_id", "score"])
 
-    got = slim_docs(docs).mapInArrow(scored, "doc_id long, score double")
+    got = slim_docs(docs).mapInArrow(returning(scored), "doc_id long, score double")
     return got.select("doc_id", _fold().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

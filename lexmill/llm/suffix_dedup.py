@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import dropped, slim_docs, written
+from lexmill.llm.common import dropped, returning, slim_docs, written
 
 LENGTH, PASSAGE, K, SHALLOW, MOST = 400, 240, 32, 32, 20_000
 PASSAGE_WORDS = 50
@@ -359,7 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     """(row, doc_id, passage, s, e): byte spans that cover exactly the repeated strings of ``length`` bytes
     (passage false) and of ``passage`` bytes (true), passage <= length; they may overlap."""
     keyed = _with_key(docs)
-    every = written(keyed.mapInArrow(_segment_rows(length, passage), _SEGMENTS), "suffix-segments")
+    every = written(keyed.mapInArrow(returning(_segment_rows(length, passage)), _SEGMENTS), "suffix-segments")
     # Written first, so that both sides of the join are plain exchanges, which Spark can split where a hash is hot.
     grams = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
     rows = written(every.join(grams, "gram"), "suffix-repeated")
@@ -378,10 +378,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     spans = written(whole.select("row", "doc_id", F.inline(forms)), "suffix-whole")
     places = contents.join(mixed, "gram").select("gram", "holder.*")
     by_row = places.groupBy("row", "doc_id").agg(F.collect_list(F.struct("gram", "anchor", "low", "high", "stop")).alias("places"))
-    sent = written(_joined(keyed.dropDuplicates(["row", "doc_id"]), by_row).select("row", "doc_id", "text", "places").mapInArrow(_bytes_of, _BYTES), "suffix-bytes")
+    sent = written(_joined(keyed.dropDuplicates(["row", "doc_id"]), by_row).select("row", "doc_id", "text", "places").mapInArrow(returning(_bytes_of), _BYTES), "suffix-bytes")
     large = mixed.where(F.col("kinds") > most).select("gram")
     few = sent.join(large, "gram", "left_anti").select(*(c.split()[0] for c in _BYTES.split(", "))).repartition("gram").sortWithinPartitions("gram", "row", "low")
-    found = [spans, written(few.mapInArrow(_sorted_spans(length, passage), _SPANS), "suffix-sorted")]
+    found = [spans, written(few.mapInArrow(returning(_sorted_spans(length, passage)), _SPANS), "suffix-sorted")]
     if not large.isEmpty():
         windows = written(sent.join(large, "gram").mapInArrow(_window_digests(length, passage), _WINDOWS), "suffix-windows")
         twice = windows.groupBy("passage", "window").agg(F.count("*").alias("n")).where("n > 1").select("passage", "window")
@@ -431,5 +431,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     """(doc_id, n_bytes, n_removed, n_spans, kept, n_passages, passage_words): each text without its repeated
     strings; the passages of over PASSAGE_WORDS words in it that repeat, and their words."""
     spans = repeated_spans(docs, length, passage, most).groupBy("row", "doc_id").agg(F.collect_set(F.struct("passage", "s", "e")).alias("spans"))
-    return _joined(_with_key(docs), spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut, _KEPT)
+    return _joined(_with_key(docs), spans, "left").select("doc_id", "text", "spans").mapInArrow(returning(_cut), _KEPT)
 
