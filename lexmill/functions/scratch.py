@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,20 @@ _LOCAL: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; one of our own serves only where the setting is absent, as in tests."""
+    """The shared folder; one of our own serves only where the setting is absent and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
+
+
+def status(spark: SparkSession, path: str) -> str:
+    """"folder", "file" or "none": what a path of any of Hadoop's file systems is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return ("folder" if fs.getFileStatus(p).isDirectory() else "file") if fs.exists(p) else "none"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

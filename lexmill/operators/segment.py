@@ -44,7 +44,7 @@ def merge_short(blocks: DataFrame, least: int = 10) -> DataFrame:
 def split_toc(c: Column, least: int = 3) -> Column:
     """A paragraph with ``least`` or more dot-leader entries, cut after each; what is left stays with the last, on a line of its own."""
     whole = lambda p: p.rlike(roles.TOC_TERMINATOR + "$")
-    cut = F.filter(F.transform(F.split(F.regexp_replace(c, f"({roles.TOC_TERMINATOR})", "$1\u0000"), "\u0000"), lambda x: F.trim(x)), lambda p: p != "")
+    cut = F.filter(F.transform(F.split(F.regexp_replace(c, f"({roles.TOC_TERMINATOR})", "$1\u0000"), "\u0000"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
 
     def glued(parts: Column) -> Column:
         n = F.size(parts)

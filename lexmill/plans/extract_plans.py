@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import extract as E
 from lexmill.functions import text as X
 from lexmill.operators import anatomy as A
+from lexmill.operators import segment as S
 from lexmill.plans import sqltext as Q
 from lexmill.plans.rule_plans import pick
 from lexmill.registry import query, table
@@ -57,6 +58,12 @@ cases("sheet_columns", [("1", "A"), ("26", "Z"), ("27", "AA"), ("702", "ZZ"), ("
 cases("sheet_values", [("3.0", "3"), ("2.5", "2.5"), (None, ""), ("-0.25", "-0.25"), ("100", "100")], lambda c: E.sheet_value(c.cast("double")))
 
 
+_MANY = "intro\n(1) first\nmore\n" + "\n".join("plain" for _ in range(7)) + "\nNOTE: {k}\nend"
+cases("toc_splits", [("A .... 1 B ... 2 C . . 3 tail {k}", "A .... 1|B ... 2|C . . 3\ntail {k}"), ("A .... 1 B .... 2", "A .... 1 B .... 2"), ("x ... IV\ny ... N/A\nz ... B-2", "x ... IV|y ... N/A|z ... B-2"), ("", "")], lambda c: F.array_join(S.split_toc(c), "|"))
+cases("item_splits", [(_MANY, "intro|(1) first\nmore\n" + "\n".join("plain" for _ in range(7)) + "|NOTE: {k}\nend"), ("(1) a\n(2) b", "(1) a\n(2) b"), ("\n".join("x" for _ in range(12)), "\n".join("x" for _ in range(12)))], lambda c: F.array_join(S.split_structural(c), "|"))
+cases("inline_splits", [("y" * 120 + " (1) one (b) two {k}", "y" * 120 + "|(1) one|(b) two {k}"), ("short (1) a (2) b", "short (1) a (2) b"), ("z" * 130 + " (1) only", "z" * 130 + " (1) only")], lambda c: F.array_join(S.split_inline(c), "|"))
+
+
 @query("sheet_ranges", """WITH r AS (SELECT o_orderkey AS k, 1 + o_orderkey % 9 AS r0, 1 + o_custkey % 5 AS c0, 1 + o_orderkey % 9 + o_custkey % 4 AS r1, 1 + o_custkey % 5 + o_orderkey % 3 AS c1 FROM orders)
  SELECT k, chr(CAST(64 + c0 AS INT)) || r0 || ':' || chr(CAST(64 + c1 AS INT)) || r1 AS ref, greatest(r0, 4) <= least(r1, 6) AND greatest(c0, 2) <= least(c1, 3) AS meets FROM r""")
 def sheet_ranges(spark: SparkSession, d: str) -> DataFrame:

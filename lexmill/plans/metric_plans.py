@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import round_half_up
 from lexmill.operators import control as K
 from lexmill.operators import metrics as M
 from lexmill.plans import sqltext as Q
@@ -54,9 +53,10 @@ def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return M.nearest_rank_by(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9})
 
 
-@query("linear_percentiles", "SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS p50, min(value) AS least, max(value) AS most FROM events GROUP BY ALL")
+@query("linear_percentiles", f"""SELECT event_type, count(value) AS n, {Q.r4('avg(value)')} AS mean, {Q.r4('quantile_cont(value, 0.5)')} AS p50, {Q.r4('quantile_cont(value, 0.95)')} AS p95, min(value) AS least, max(value) AS most, {Q.r4('max(value) - min(value)')} AS range, {Q.r4('stddev_pop(value)')} AS deviation, {Q.r4('100 * stddev_pop(value) / avg(value)')} AS cv_percent FROM events GROUP BY ALL""")
 def linear_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return M.distribution(table(spark, d, "events"), ["event_type"], "value").select("event_type", "n", "p50", "least", "most")
+    got = M.distribution(table(spark, d, "events"), ["event_type"], "value")
+    return got.withColumns({c: round_half_up(F.col(c)) for c in ("mean", "p50", "p95", "range", "deviation", "cv_percent")})
 
 
 @query("search_effectiveness", f"""WITH e AS (SELECT event_type AS layer, event_id % 4 AS hit_count, ts FROM events), w AS (SELECT layer, hit_count, h AS window_hours FROM e, (SELECT unnest([1, 6, 24, 240]) AS h) WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND ts >= TIMESTAMP '2024-01-20 00:00:00' - to_hours(h))
@@ -95,32 +95,29 @@ def index_metrics(spark: SparkSession, d: str) -> DataFrame:
     return M.index_metrics(m)
 
 
-def _drained(spark: SparkSession, d: str, build: object, mode: str = "append") -> DataFrame:
-    """Run a stream over the events to its end; the result goes to a table in the shared folder."""
+def _drained(spark: SparkSession, d: str, build: object, key: list[str]) -> DataFrame:
+    """Run a stream over the events to its end, in update mode: the watermark bounds the state, changed windows are written again."""
     import uuid
 
     from lexmill.functions import scratch
 
     path = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if os.path.isdir(f"{d}/events.parquet") else f"{d}/events.parquet*")
+    source = f"{d}/events.parquet"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(source if scratch.status(spark, source) == "folder" else f"{source}*")
     out = build(stream.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
-
-    J.drain(out, f"{path}/checkpoint", sink, mode)
-    return spark.read.schema(out.schema).parquet(f"{path}/out")
+    schema = out.schema
+    J.drain(out, f"{path}/checkpoint", J.upserts(f"{path}/out"), "update")
+    return J.upserted(spark, f"{path}/out", schema, key)
 
 
 @query("stream_hourly", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, d, J.tumbling, "complete").select("window_start", "event_type", "n")
+    return _drained(spark, d, J.tumbling, ["window_start", "event_type"]).select("window_start", "event_type", "n")
 
 
 @query("stream_sliding", "SELECT window_start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) - to_hours(k) AS window_start FROM events, (SELECT unnest(range(6)) AS k)) GROUP BY ALL")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, d, J.sliding, "complete")
+    return _drained(spark, d, J.sliding, ["window_start"])
 
 
 @query("session_counts", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)),

@@ -59,7 +59,17 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", round_half_up(S.vector_score(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(20)
 
 
-@query("hybrid_topk")
+def _documents_scored() -> str:
+    """Documents with their keyword score; a document's vector is that of its id."""
+    own = S.tokens_of(QUERY)
+    c = [f"len(list_filter(toks, lambda t: t = {Q.quoted(q)}))" for q in own]
+    overlap = " + ".join(f"(CASE WHEN {x} > 0 THEN 1.0::DOUBLE + least({x} - 1, 2) * 0.25::DOUBLE ELSE 0.0::DOUBLE END)" for x in c)
+    return f"""t AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, {Q.quoted(Q.WORD)}), lambda x: lower(x)) AS toks FROM documents), o AS (SELECT *, 0.0::DOUBLE + {overlap} AS ov FROM t),
+ k AS (SELECT doc_id, CASE WHEN len(toks) > 0 AND ov > 0 THEN least(ov / {len(own)} + CASE WHEN contains(lower(text), {Q.quoted(QUERY.lower())}) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + least(ov / greatest(len(toks), 1), 0.25::DOUBLE), 1.0::DOUBLE) ELSE 0.0 END AS kw FROM o)"""
+
+
+@query("hybrid_topk", f"""WITH {_documents_scored()}, {_COS}, s AS (SELECT 'd' || k.doc_id AS chunk_id, {Q.r4('greatest(CASE WHEN cos IS NOT NULL THEN 0.7::DOUBLE * cos + 0.3::DOUBLE * kw ELSE kw END, 0.0)')} AS score FROM k LEFT JOIN c ON c.vec_id = k.doc_id)
+ SELECT chunk_id, score FROM s WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 20""")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     e, q = _vectors(spark, d)
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.lit("paragraph").alias("semantic_role"))
@@ -82,7 +92,9 @@ def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
     return S.search_all(rows, _queries(spark, d), 20, 6).select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("similarity"))
 
 
-@query("hybrid_topk_all")
+@query("hybrid_topk_all", f"""WITH {_documents_scored()}, {_PAIRS.replace('s AS (SELECT query_id', 'unused AS (SELECT query_id')}, q AS (SELECT DISTINCT query_id FROM c),
+ h AS (SELECT q.query_id, 'd' || k.doc_id AS chunk_id, {Q.r4('greatest(CASE WHEN cos IS NOT NULL THEN 0.7::DOUBLE * cos + 0.3::DOUBLE * kw ELSE kw END, 0.0)')} AS score FROM k, q LEFT JOIN c ON c.vec_id = k.doc_id AND c.query_id = q.query_id)
+ SELECT query_id, chunk_id, score FROM h WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20""")
 def hybrid_topk_all(spark: SparkSession, d: str) -> DataFrame:
     """``hybrid_topk`` with every hundredth vector; the text is scored once."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), S.keyword_score(F.col("text"), QUERY).alias("keyword"), roles.role_weight(F.lit("paragraph")).alias("weight"))
@@ -96,9 +108,9 @@ def retrieval_mode(spark: SparkSession, d: str) -> DataFrame:
     return S.retrieval_mode(table(spark, d, "embeddings"), 64)
 
 
-@query("embedding_quality", "SELECT count(*) AS total, count(embedding) AS embedded FROM embeddings")
+@query("embedding_quality", f"SELECT count(*) AS total, count(embedding) AS embedded, {Q.r4('avg(sqrt(list_dot_product(e, e)))')} AS mean_norm FROM (SELECT embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)")
 def embedding_quality(spark: SparkSession, d: str) -> DataFrame:
-    return S.embedding_quality(table(spark, d, "embeddings")).drop("mean_norm")
+    return S.embedding_quality(table(spark, d, "embeddings")).withColumn("mean_norm", round_half_up(F.col("mean_norm")))
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:

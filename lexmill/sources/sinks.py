@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from lexmill.functions import scratch
 from pyspark.sql import types as T
 
 FORMATS = ("jsonl", "csv", "tsv", "parquet", "sqlite")
@@ -79,9 +81,23 @@ def export_package(frames: dict[str, DataFrame], path: str, fmt: str = "jsonl")
     return manifest
 
 
-def save_by_document(df: DataFrame, path: str) -> None:
-    """Delete-then-insert per (tenant_id, doc_id): only the partitions that ``df`` holds are overwritten."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "doc_id").parquet(path)
+BUCKETS = 256
+
+
+def bucketed(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.hash("tenant_id", "doc_id"), F.lit(buckets)))
+
+
+def save_by_document(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Delete-then-insert per (tenant_id, doc_id).  Documents lie in folders by a hash of their key, so their number does not make
+    folders; only the folders of the documents in ``df`` are written anew, with the other documents that they hold.  Keep ``buckets`` for a path."""
+    spark, key = df.sparkSession, ["tenant_id", "doc_id"]
+    new = bucketed(df, buckets)
+    if scratch.status(spark, path) == "folder":
+        new = scratch.written(new, "saved")  # read twice, and not again while its folders are replaced
+        old = spark.read.parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select(*key).distinct(), key, "left_anti")
+        new = scratch.written(new.unionByName(old.select(new.columns)), "saved")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from lexmill.functions import scratch
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
@@ -44,18 +47,29 @@ def merge_into(path: str, key: list[str], order: str) -> Callable[[DataFrame, in
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         from lexmill.operators.metrics import latest_by
-        from lexmill.sources.sinks import save_by_document
-
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = None
-        touched = batch.select("tenant_id", "doc_id").distinct()
-        rows = batch if old is None else batch.unionByName(old.join(touched, ["tenant_id", "doc_id"], "left_semi").select(batch.columns))
-        # Old rows come from the folder being overwritten: cut the lineage first.
-        save_by_document(latest_by(rows, key, [order]).checkpoint() if old is not None else latest_by(rows, key, [order]), path)
+        from lexmill.sources.sinks import bucketed, save_by_document
+
+        spark, rows = batch.sparkSession, batch
+        if scratch.status(spark, path) == "folder":
+            touched = bucketed(batch.select("tenant_id", "doc_id").distinct())
+            rows = batch.unionByName(spark.read.parquet(path).join(touched, ["bucket", "tenant_id", "doc_id"], "left_semi").select(batch.columns))
+        # Old rows come from the folders being replaced: cut the lineage first.
+        save_by_document(scratch.written(latest_by(rows, key, [order]), "merged"), path)
+
+    return sink
+
+
+def upserts(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink for the update mode: each batch's changed rows in a folder of its number; a replayed batch replaces its own."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return sink
+
+
+def upserted(spark: SparkSession, path: str, schema: StructType, key: list[str]) -> DataFrame:
+    """The last state of each key that ``upserts`` wrote."""
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+    values = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*key, "r.*")
