@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import roles, scratch
+from lexmill.functions import roles
 from lexmill.functions.text import round_half_up
 
 
@@ -110,56 +110,47 @@ def signals_in_range(signals: DataFrame, parts: DataFrame) -> DataFrame:
     return signals.join(pages, ["doc_id", "page_number"])
 
 
+# The cascade's stages: key parts, status, reason, confidence; the last two pair what is ambiguous by place.
+DIFF_STAGES = [
+    (["unit"], "unchanged", "unit_fingerprint_equal", 1.0), (["content", "structure"], "unchanged", "content_and_structure_equal_across_source_version", 0.99),
+    (["content"], "relocated", "content_equal_structure_changed", 0.95), (["structure"], "changed", "structure_equal_content_changed", 0.9),
+    (["content"], "unknown", "ambiguous_duplicate_content_fingerprint", 0.4), (["structure"], "unknown", "ambiguous_duplicate_structure_fingerprint", 0.4),
+]
+
+
 def diff_units(previous: DataFrame, current: DataFrame) -> DataFrame:
     """One-to-one mapping of two versions' units of each document, by a cascade of unique keys.
 
-    Each stage counts its key among the rows left by the stages before, on both sides, and pairs the
-    keys that are single on both.  What stays ambiguous is paired in order but marked unknown.
+    Each stage counts its key among the rows that the stages before left open, on both sides, and pairs the keys that are
+    single on both; a key with an empty part pairs nothing.  What stays ambiguous is paired in order but marked unknown,
+    the rest is added or removed.  Both versions' slim rows are dealt by document once; every stage is a window there.
     Input of both: doc_id, unit_id, position, unit_fingerprint, content_fingerprint, structure_fingerprint."""
-    cols = ["unit_id", "position", "unit_fingerprint", "content_fingerprint", "structure_fingerprint"]
-    prev = previous.select("doc_id", *[F.col(c).alias(f"p_{c}") for c in cols])
-    cur = current.select("doc_id", *[F.col(c).alias(f"c_{c}") for c in cols])
-    stages = [  # fixed values: key columns, status, reason, confidence
-        (["unit"], "unchanged", "unit_fingerprint_equal", 1.0), (["content", "structure"], "unchanged", "content_and_structure_equal_across_source_version", 0.99),
-        (["content"], "relocated", "content_equal_structure_changed", 0.95), (["structure"], "changed", "structure_equal_content_changed", 0.9),
-    ]
-    found: list[DataFrame] = []
-
-    def keyed(df: DataFrame, side: str, parts: list[str]) -> DataFrame:
-        names = [f"{side}_{k}_fingerprint" for k in parts]
-        ok = F.lit(True)
-        for n in names:
-            ok &= F.coalesce(n, F.lit("")) != ""
-        return df.withColumn("key", F.when(ok, F.concat_ws("|", *names)))
-
-    def paired(a: DataFrame, b: DataFrame, on: list[str], status: str, reason: str, confidence: float) -> DataFrame:
-        return a.join(b, on).select("doc_id", "p_unit_id", "c_unit_id", F.lit(status).alias("status"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"))
-
-    def without(df: DataFrame, pairs: DataFrame, col: str) -> DataFrame:
-        return df.join(pairs.select("doc_id", col), ["doc_id", col], "left_anti")
-
-    for parts, status, reason, confidence in stages:
-        one = Window.partitionBy("doc_id", "key")
-        a = keyed(prev, "p", parts).where("key is not null").withColumn("n", F.count("*").over(one)).where("n = 1").select("doc_id", "key", "p_unit_id")
-        b = keyed(cur, "c", parts).where("key is not null").withColumn("n", F.count("*").over(one)).where("n = 1").select("doc_id", "key", "c_unit_id")
-        pairs = paired(a, b, ["doc_id", "key"], status, reason, confidence)
-        pairs = scratch.written(pairs, "unit-pairs")  # each stage reads the ones before it: cut the lineage
-        found.append(pairs)
-        prev, cur = without(prev, pairs, "p_unit_id"), without(cur, pairs, "c_unit_id")
-    for part in ("content", "structure"):
-        a = keyed(prev, "p", [part]).where("key is not null").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("p_position"))).select("doc_id", "key", "n", "p_unit_id")
-        b = keyed(cur, "c", [part]).where("key is not null").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("c_position"))).select("doc_id", "key", "n", "c_unit_id")
-        pairs = paired(a, b, ["doc_id", "key", "n"], "unknown", f"ambiguous_duplicate_{part}_fingerprint", 0.4)
-        pairs = scratch.written(pairs, "unit-pairs")  # each stage reads the ones before it: cut the lineage
-        found.append(pairs)
-        prev, cur = without(prev, pairs, "p_unit_id"), without(cur, pairs, "c_unit_id")
+    cols = ["doc_id", "unit_id", "position", "unit_fingerprint", "content_fingerprint", "structure_fingerprint"]
+    rows = previous.select(*cols).withColumn("old", F.lit(True)).unionByName(current.select(*cols).withColumn("old", F.lit(False))).repartition("doc_id")
     null = F.lit(None).cast("string")
-    found.append(cur.select("doc_id", null.alias("p_unit_id"), "c_unit_id", F.lit("added").alias("status"), F.lit("no_previous_match").alias("reason"), F.lit(1.0).alias("confidence")))
-    found.append(prev.select("doc_id", "p_unit_id", null.alias("c_unit_id"), F.lit("removed").alias("status"), F.lit("no_current_match").alias("reason"), F.lit(1.0).alias("confidence")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    rows = rows.withColumns({"mate": null, "stage": F.lit(None).cast("int")})
+    for k, (parts, status, _, _) in enumerate(DIFF_STAGES):
+        open_ = F.col("stage").isNull()
+        for p in parts:
+            open_ = open_ & (F.coalesce(f"{p}_fingerprint", F.lit("")) != "")
+        rows = rows.withColumn("key", F.when(open_, F.concat_ws("|", *[f"{p}_fingerprint" for p in parts])))
+        if status == "unknown":
+            nth = F.row_number().over(Window.partitionBy("doc_id", "key", "old").orderBy("position", "unit_id"))
+            rows = rows.withColumn("nth", nth)
+            w = Window.partitionBy("doc_id", "key", "nth")
+        else:
+            w = Window.partitionBy("doc_id", "key")
+        of = lambda old: F.when(F.col("old") if old else ~F.col("old"), F.col("unit_id"))
+        rows = rows.withColumns({"n0": F.count(of(True)).over(w), "n1": F.count(of(False)).over(w), "id0": F.max(of(True)).over(w), "id1": F.max(of(False)).over(w)})
+        hit = F.col("key").isNotNull() & (F.col("n0") == 1) & (F.col("n1") == 1)
+        mate = F.when(F.col("old"), F.col("id1")).otherwise(F.col("id0"))
+        rows = rows.withColumns({"mate": F.when(hit, mate).otherwise(F.col("mate")), "stage": F.when(hit, k).otherwise(F.col("stage"))}).select(*cols, "old", "mate", "stage")
+    told = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"), F.lit(c).alias("confidence")) for _, s, r, c in DIFF_STAGES])
+    alone = F.when(F.col("old"), F.struct(F.lit("removed").alias("status"), F.lit("no_current_match").alias("reason"), F.lit(1.0).alias("confidence"))).otherwise(
+        F.struct(F.lit("added").alias("status"), F.lit("no_previous_match").alias("reason"), F.lit(1.0).alias("confidence"))
+    )
+    out = rows.where(F.col("old") | F.col("mate").isNull())  # a pair is told by its old row
+    return out.select("doc_id", F.when(F.col("old"), F.col("unit_id")).alias("p_unit_id"), F.when(F.col("old"), F.col("mate")).otherwise(F.col("unit_id")).alias("c_unit_id"), F.coalesce(F.get(told, F.col("stage")), alone).alias("r")).select("doc_id", "p_unit_id", "c_unit_id", "r.*")
 
 
 def compare_records(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
