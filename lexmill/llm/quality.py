@@ -12,8 +12,9 @@ keeps the driver's share constant); scoring covers every row in one pass
 without a shuffle.  Labels, language, source and id are not inputs of a score.
 
 Defined results: null and empty texts get the score of a text without n-grams;
-labels that are null or belong to no document are not used; without rows of
-both classes every score is 0.5.
+labels that are null, belong to no document or contradict each other are not
+used; of rows that repeat an id the one with the least text hash is learned
+from; without rows of both classes every score is 0.5.
 """
 
 from __future__ import annotations
@@ -144,13 +145,13 @@ def _fold(id_col: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """Learn from labelled rows outside the held-out fold, at most ``max_per_class`` of each class."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~_fold())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).where("quality = least").drop("least")
     chosen = None
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * max_per_class slim rows: a proven bound for the broadcast.
-    picked = slim_docs(docs).join(F.broadcast(chosen), "doc_id")
+    picked = slim_docs(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}

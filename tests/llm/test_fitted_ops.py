@@ -55,6 +55,61 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(loss(w) <= loss(w + 0.01 * rng.normal(size=5)) + 1e-6 for _ in range(200))
 
 
+def plain_features(text):
+    """The indicators as tuples, by a rule written for the test."""
+    import re
+
+    toks = re.findall(r"\w+|[^\w\s]+", text)
+    shape = []
+    for t in toks:
+        c = t[0]
+        shape.append(t[:3] if not c.isalnum() else "U" if len(t) > 1 and t.isupper() else "T" if c.isupper() else "9" if c.isdigit() else "a")
+    return {("w", t.lower()) for t in toks} | {("2", *p) for p in zip(shape, shape[1:], strict=False)} | {("3", *p) for p in zip(shape, shape[1:], shape[2:], strict=False)}
+
+
+def test_op2_against_plain_numpy(spark):
+    d, labels = labelled(spark, 150)
+    model = quality.fit(d, labels)
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(y)
+    names = sorted({f for i in ids for f in plain_features(texts[i])})
+    at = {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(ids), len(names)))
+    for r, i in enumerate(ids):
+        x[r, [at[f] for f in plain_features(texts[i])]] = 1
+    sign = np.array([1.0 if y[i] else -1.0 for i in ids])
+    pos, neg = x[sign > 0], x[sign < 0]
+    ratio = np.log((pos.sum(0) + 1) / (len(pos) + 1)) - np.log((neg.sum(0) + 1) / (len(neg) + 1))
+    scaled = np.hstack([x * ratio / np.sqrt(x.sum(1, keepdims=True)), np.ones((len(ids), 1))])
+    cost = np.where(sign > 0, len(ids) / (2 * len(pos)), len(ids) / (2 * len(neg)))
+
+    def loss(w):
+        return w @ w / 2 + (cost * np.maximum(0, 1 - sign * (scaled @ w))).sum()
+
+    alpha, w = np.zeros(len(ids)), np.zeros(len(names) + 1)  # the dual optimum by plain sweeps
+    for _ in range(3000):
+        for i in range(len(ids)):
+            new = min(max(alpha[i] - (sign[i] * (scaled[i] @ w) - 1) / (scaled[i] @ scaled[i]), 0), cost[i])
+            w += (new - alpha[i]) * sign[i] * scaled[i]
+            alpha[i] = new
+    own = np.array([model.margin(quality.features(texts[i])) for i in ids])
+    assert abs(loss(w) - (alpha.sum() - w @ w / 2)) < 1e-6  # no duality gap: the optimum
+    assert np.abs(own - scaled @ w).max() < 0.05
+    got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
+    for i, m in zip(ids, own, strict=True):
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * m + model.offset)))) < 1e-4
+
+
+def test_op2_repeated_rows_and_contradictions(spark):
+    d, labels = labelled(spark, 150)
+    model = quality.fit(d, labels)
+    twice = quality.fit(d.unionByName(d).repartition(5), labels.unionByName(labels))
+    assert np.abs(model.weights - twice.weights).max() < 1e-9
+    against = labels.where("quality is not null").selectExpr("doc_id", "1 - quality as quality", "toxic")
+    assert {r.score for r in quality.score(d, quality.fit(d, labels.unionByName(against))).collect()} == {0.5}
+
+
 def test_op6_against_plain_comparison(spark):
     every = {i: t for i, t in enumerate([*licenses.TEMPLATES.values(), "Before it. Released under the MIT License. After.\nnext", "Licensed under the Apache License Version 2.0", "The licence plate of a car is new.", None, "", "license " * 500, "This work is licenced under the GNU General Public License, version 3."])}
     got = {r.doc_id: r.found for r in licenses.scan(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()}
@@ -117,6 +172,29 @@ def test_differences():
     assert licenses.differences(list("abcd"), list("abxd"), 3) == 1 and licenses.differences(list("abcd"), list("wxyz"), 2) == 3
 
 
+def test_pipeline_stages_on_edges(spark, tmp_path):
+    """Empty tables, repeated rows and extra columns with clashing names, stage by stage."""
+    import corpus_pipeline as p
+
+    d, labels = labelled(spark, 60)
+    wide = d.selectExpr("*", "'x' as ids", "'y' as words", "1 as rep", "2 as n", "cast(null as string) as quality", "3L as n_chars", "'z' as digest").unionByName(d.selectExpr("*", "'x' as ids", "'y' as words", "1 as rep", "2 as n", "cast(null as string) as quality", "3L as n_chars", "'z' as digest"))
+    bench = spark.createDataFrame([(1, "never " * 20), (2, None), (None, "the of"), (4, "")], "item_id long, text string")
+    for name, frame in (("labels", labels), ("benchmark", bench)):
+        frame.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        frame.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    for sf in ("full", "none"):
+        for rows in (wide, wide.limit(0)):
+            docs_ = rows
+            for name, stage in p.STAGES[:-1]:
+                before, docs_ = docs_.count(), stage(spark, docs_, f"{tmp_path}/{sf}")
+                assert docs_.schema.names == wide.schema.names, name
+                after = docs_.count()
+                assert after <= before and (before == 0 or after > 0), (sf, name)
+            assert p.STAGES[-1][1](spark, docs_, f"{tmp_path}/{sf}").count() == docs_.count()
+    none = f"{tmp_path}/none"
+    assert p.STAGES[0][1](spark, wide, none).count() == wide.count() and p.STAGES[2][1](spark, wide, none).count() == wide.count()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
