@@ -97,6 +97,25 @@ def quality_gate(rag: DataFrame, allow_review: bool = True, allow_rerun: bool =
     return s.select("doc_id", gate.alias("gate"), action.alias("action"), "flags", gate.isin("accept", "accept_with_warning").alias("passed"))
 
 
+# What an action on a document offers, and how it is asked for.
+OFFERS = {
+    "rechunk_document": ["rechunk_document"], "reembed_document": ["reembed_document"], "review_parse_ir": ["review_parse_ir"],
+    "local_provider_rerun": ["inspect_provider_route_plan", "reparse_document"],
+}
+
+
+def offers(doc_id: Column, gate: Column, action: Column, flags: Column, eligible_parts: Column) -> Column:
+    """The ordered ids of the actions to offer: none for an accepted or disabled gate; what the action means, first the rerun of warning
+    parts if there are any that allow it; a review of the quality wherever there are flags.  Null arrays are empty."""
+    none = F.array().cast("array<string>")
+    known = F.create_map(*[x for k, v in OFFERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    act = F.trim(F.coalesce(action, F.lit("")))
+    parts = F.when((act == "local_provider_rerun") & (F.size(F.coalesce(eligible_parts, none)) > 0), F.array(F.lit("rerun_warning_parts"))).otherwise(none)
+    meant = F.when(act == "", none).otherwise(F.coalesce(F.element_at(known, act), F.array(act)))
+    review = F.when(F.size(F.coalesce(flags, none)) > 0, F.array(F.lit("review_quality"))).otherwise(none)
+    return F.when(gate.isin("accept", "disabled") | doc_id.isNull(), none).otherwise(F.array_distinct(F.concat(parts, meant, review)))
+
+
 def traceability(chunks_: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per chunk: traceable iff it names blocks and all of them exist and have a page."""
     e = chunks_.select("chunk_id", F.explode_outer("block_ids").alias("block_id"))

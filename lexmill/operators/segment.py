@@ -170,3 +170,70 @@ def section_chunks(blocks: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("position", "block_id", "content")))
     out = runs.groupBy("doc_id", "section").agg(parts.alias("parts"), F.count("*").alias("blocks"))
     return out.select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.array_join("parts.block_id", ",")), 256).alias("chunk_id"), F.col("parts.block_id").alias("block_ids"), F.array_join("parts.content", "\n").alias("text"), "blocks")
+
+
+# The header of a page's tool table, a note under it, the header and first words of a page of changes, and the words
+# that make a long paragraph worth a closer look.
+TOOL_HEADER = r"(?iU)^\s*Index\s+Name\s+P/N\s+or\s+Type\s+Manufacturer\s*$"
+TOOL_NOTE = r"(?iU)^\s*NOTE\s*[:：]"
+CHANGE_HEADER = r"(?iU)CHAPTER/Section/Page\s+Description of Change(?:\s+Check)?"
+CHANGE_START = rf"(?iU)^\s*{roles.any_of(roles.CHANGES)}\b"
+CHANGE_PAGE = r"(?iU)\bPages?\s+\d"
+REFINE_WORDS = r"(?iU)\b(?:NOTE|WARNING|CAUTION|SB|Service\s+Bulletin|Step|Procedure)\b"
+
+
+def _folded(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+
+
+def merge_table_rows(blocks: DataFrame) -> DataFrame:
+    """On pages with a tool table's header, and more than four paragraphs, what follows a row's begin joins it; rows, notes and what follows a
+    note begin anew.  Other pages stay as they are.  Empty paragraphs of a page with a table go.
+
+    A row begins with 24 characters or more, a capital on its own among the first 20, and two words in small letters.
+    Input and output: doc_id, page_number, position, content."""
+    page = Window.partitionBy("doc_id", "page_number")
+    w = page.orderBy("position")
+    flat = _folded(F.col("content"))
+    header, note = flat.rlike(TOOL_HEADER), F.trim("content").rlike(TOOL_NOTE)
+    row = (F.char_length(flat) >= 24) & ~header & ~flat.rlike(TOOL_NOTE) & F.substring(flat, 1, 20).rlike(r"\b[A-Z]\b") & (F.regexp_count(flat, F.lit(r"\b[a-z]{3,}\b")) >= 2)
+    b = blocks.withColumns({"header": header, "note": note, "row": row})
+    b = b.withColumn("table", (F.count("*").over(page) > 4) & F.bool_or("header").over(page)).where(~F.col("table") | (F.trim("content") != ""))
+    seen = F.coalesce(F.bool_or("header").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    starts = ~F.col("table") | ~seen | F.col("note") | F.col("row") | F.coalesce(F.lag("note").over(w), F.lit(True))
+    b = b.withColumn("island", F.sum(starts.cast("int")).over(w))
+    parts = F.array_sort(F.collect_list(F.struct("position", "content")))
+    return b.groupBy("doc_id", "page_number", "island").agg(F.min("position").alias("position"), F.array_join(parts["content"], "\n").alias("content")).drop("island")
+
+
+def merge_changes(blocks: DataFrame) -> DataFrame:
+    """On pages of changes (the word HIGHLIGHTS and the list's header; more than two paragraphs) a page reference takes the change that
+    follows it, and a change the one after it, if that names no page, or if both add something and name one page each.
+
+    A fold over a page's paragraphs, since each decision looks at the text merged so far.  Input and output: doc_id, page_number, position, content."""
+    kind = "array<struct<position:int,content:string>>"
+    page = blocks.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("int").alias("position"), "content"))).alias("b"))
+    refs = lambda c: F.regexp_count(c, F.lit(CHANGE_PAGE))
+    head, change = (lambda c: c.rlike(CHANGE_HEADER)), (lambda c: c.rlike(CHANGE_START))
+
+    def joins(a: Column, c: Column) -> Column:
+        anchor = ~change(a) & (refs(a) >= 1) & (F.char_length(a) <= 80)
+        added = F.lower(a).startswith("added ") & F.lower(c).startswith("added ") & (refs(a) == 1) & (refs(c) == 1)
+        return ~head(a) & ~head(c) & change(c) & (anchor | (change(a) & (added | ((refs(c) == 0) & (refs(a) >= 1)))))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = F.struct(last["position"].alias("position"), F.concat_ws("\n", last["content"], x["content"]).alias("content"))
+        return F.when((F.size(done) > 0) & joins(_folded(last["content"]), _folded(x["content"])), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
+
+    flat = F.transform("b", lambda x: _folded(x["content"]))
+    gate = (F.size("b") > 2) & F.exists(flat, lambda x: F.contains(F.upper(x), F.lit("HIGHLIGHTS"))) & F.exists(flat, head)
+    merged = F.when(gate, F.aggregate(F.col("b").cast(kind), F.array().cast(kind), step)).otherwise(F.col("b").cast(kind))
+    return page.select("doc_id", "page_number", F.inline(merged))
+
+
+def worth_refining(c: Column, least_length: int, least_markers: int) -> Column:
+    """A long paragraph with several structural markers (kinds of item that it opens with, and brackets after blanks) that names a procedure."""
+    kinds = sum((c.rlike(rf"(?U)^\s*(?:{mark}{after})").cast("int") for mark, after in ITEM_KINDS.values()), F.lit(0))
+    inline = F.regexp_count(c, F.lit(r"(?U)(?:^|\s)(?:\(\d+\)|\([A-Za-z]\))"))
+    return (F.char_length(c) >= least_length) & (kinds + inline >= least_markers) & c.rlike(REFINE_WORDS)

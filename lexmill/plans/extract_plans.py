@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import extract as E
 from lexmill.functions import text as X
 from lexmill.operators import anatomy as A
+from lexmill.operators import coverage as C
 from lexmill.operators import segment as S
 from lexmill.plans import sqltext as Q
 from lexmill.plans.rule_plans import pick
@@ -64,6 +65,51 @@ cases("item_splits", [(_MANY, "intro|(1) first\nmore\n" + "\n".join("plain" for
 cases("inline_splits", [("y" * 120 + " (1) one (b) two {k}", "y" * 120 + "|(1) one|(b) two {k}"), ("short (1) a (2) b", "short (1) a (2) b"), ("z" * 130 + " (1) only", "z" * 130 + " (1) only")], lambda c: F.array_join(S.split_inline(c), "|"))
 
 
+_PAGE = ["Index Name P/N or Type Manufacturer", "1 A wrench for the large bolts", "made by Acme", "of London", "NOTE: ask first", "or later", "{k}", "2 B hammer with a wooden shaft"]
+_CHANGED = ["HIGHLIGHTS of {k}", "CHAPTER/Section/Page Description of Change", "Pages 505 and 506", "Changed to new limits of the torque values in the second table of the chapter", "Updated the table", "Added step on page 7", "Added note on page 8", "Some text without page"]
+
+
+def _paragraphs(spark: SparkSession, d: str, lines: list[str]) -> DataFrame:
+    """A page of paragraphs for each order; pages of every third order lack the first line, and so the header."""
+    rows = F.posexplode(F.array(*map(F.lit, lines)))
+    return table(spark, d, "orders").select("o_orderkey", rows.alias("position", "content")).where("o_orderkey % 3 > 0 or position > 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), "position", filled(F.col("content")).alias("content"))
+
+
+def _merged_sql(with_header: list[str], without: list[str]) -> str:
+    rows = ", ".join(f"({int(head)}, {i}, {Q.quoted(t)})" for head, texts in ((True, with_header), (False, without)) for i, t in enumerate(texts))
+    return f"WITH v(h, n, t) AS (VALUES {rows}) SELECT o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY n) AS n, replace(t, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS content FROM orders JOIN v ON h = (o_orderkey % 3 > 0)::INT"
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("position")).cast("long").alias("n"), "content")
+
+
+@query("table_row_merge", _merged_sql([_PAGE[0], "\n".join(_PAGE[1:4]), _PAGE[4], "\n".join(_PAGE[5:7]), _PAGE[7]], _PAGE[1:]))
+def table_row_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(S.merge_table_rows(_paragraphs(spark, d, _PAGE)))
+
+
+@query("change_merge", _merged_sql([*_CHANGED[:2], "\n".join(_CHANGED[2:4]), _CHANGED[4], "\n".join(_CHANGED[5:7]), _CHANGED[7]], _CHANGED[1:]))
+def change_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(S.merge_changes(_paragraphs(spark, d, _CHANGED)))
+
+
+cases("worth_refining", [("(1) Step one (2) then (a) more " + "x" * 40, "true"), ("(1) Step one (2) then", "false"), ("1. NOTE: (a) b " + "x" * 60, "true"), ("plain words without marks, Step " + "x" * 60, "false"), ("(1) a (2) b (3) c nothing named " + "x" * 60, "false"), ("", "false")], lambda c: S.worth_refining(c, 60, 2).cast("string"))
+cases("action_suggestions", [
+    ("accept", "rechunk_document", "f", "p", ""), ("local_rerun", "local_provider_rerun", "f", "p", "rerun_warning_parts,inspect_provider_route_plan,reparse_document,review_quality"), ("local_rerun", "local_provider_rerun", None, None, "inspect_provider_route_plan,reparse_document"),
+    ("accept_with_warning", "reembed_document", "f", None, "reembed_document,review_quality"), ("accept_with_warning", "other_action", None, None, "other_action"), ("accept_with_warning", None, "f", "p", "review_quality"), ("disabled", "review_parse_ir", "f", "p", ""),
+], lambda g, a, f, p: _offered(g, a, f, p))
+
+
+def _offered(gate: Column, action: Column, flag: Column, part: Column) -> Column:
+    """The operator's column for one row, with its inputs as columns."""
+    none = F.array().cast("array<string>")
+    many = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
+    return F.array_join(C.offers(F.lit("d"), gate, action, many(flag), many(part)), ",")
+
+
 @query("sheet_ranges", """WITH r AS (SELECT o_orderkey AS k, 1 + o_orderkey % 9 AS r0, 1 + o_custkey % 5 AS c0, 1 + o_orderkey % 9 + o_custkey % 4 AS r1, 1 + o_custkey % 5 + o_orderkey % 3 AS c1 FROM orders)
  SELECT k, chr(CAST(64 + c0 AS INT)) || r0 || ':' || chr(CAST(64 + c1 AS INT)) || r1 AS ref, greatest(r0, 4) <= least(r1, 6) AND greatest(c0, 2) <= least(c1, 3) AS meets FROM r""")
 def sheet_ranges(spark: SparkSession, d: str) -> DataFrame:
