@@ -159,7 +159,9 @@ def comparison_summary(ranked: DataFrame, primary: str) -> DataFrame:
 
 def route(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """Primary and fallback provider of each request: eligible ones by priority. Providers are configuration, a few rows."""
-    j = requests.join(F.broadcast(providers), F.array_contains("media_types", F.col("media_type")))
+    # An equi-join on the media type: Spark chooses how, whatever the size of either side.
+    by_type = providers.withColumn("media_type", F.explode(F.array_distinct("media_types")))
+    j = requests.join(by_type, "media_type")
     why = F.filter(F.array(F.when(~F.col("enabled"), "disabled"), F.when(F.col("evaluation_only"), "evaluation_only"), F.when(F.size(F.array_except("needs", "capabilities")) > 0, "capability_mismatch")), lambda r: r.isNotNull())
     ok = j.withColumn("reasons", why).where(F.size("reasons") == 0)
     w = Window.partitionBy("request_id").orderBy(F.desc("priority"), "provider")
