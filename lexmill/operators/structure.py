@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import round_half_up
-
 # Roles that head a section, and roles of which a unit without text is an error.
 SECTION_ROLES = ("title", "body_section", "appendix", "front_matter")
 FILLED_ROLES = ("clause", "definition", "procedure", "list_item")
@@ -140,26 +138,7 @@ def layers_of(chunks: DataFrame, kept: DataFrame) -> DataFrame:
 # --- boxes ------------------------------------------------------------------------------------------------------------
 
 
-def union_box(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The box around the lines of each key that have a size."""
-    ok = lines.where("x1 > x0 and bottom > top")
-    return ok.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
-
-
 def horizontal_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Shared width over the lesser width (1 at least)."""
     shared = F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
     return shared / F.greatest(F.lit(1.0), F.least(a1 - a0, b1 - b0))
-
-
-def to_page(lines: DataFrame) -> DataFrame:
-    """Boxes of a rendered region as page coordinates to four places: scaled from the rendered to the source size, then moved by its origin.
-
-    Lines: x0, top, x1, bottom, rendered_width, rendered_height, page_width, page_height, and source_width, source_height, origin_x, origin_top (or null: the
-    whole page).  Lines without a rendered size go."""
-    size = lambda page, rendered: F.when(F.coalesce(F.col(page) > 0, F.lit(False)), F.col(page)).otherwise(F.col(rendered))
-    sx = F.coalesce("source_width", size("page_width", "rendered_width")) / F.col("rendered_width")
-    sy = F.coalesce("source_height", size("page_height", "rendered_height")) / F.col("rendered_height")
-    ox, oy = F.coalesce("origin_x", F.lit(0.0)), F.coalesce("origin_top", F.lit(0.0))
-    moved = {c: round_half_up(o + F.col(c) * s) for c, o, s in (("x0", ox, sx), ("top", oy, sy), ("x1", ox, sx), ("bottom", oy, sy))}
-    return lines.where("rendered_width > 0 and rendered_height > 0").withColumns(moved)

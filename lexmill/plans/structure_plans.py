@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators import diagnostics as D
+from lexmill.operators import geometry as G
 from lexmill.operators import structure as S
+from lexmill.operators import tables as T
 from lexmill.plans.rule_plans import pick
 from lexmill.registry import query, table
 
@@ -109,7 +112,7 @@ def index_layers(spark: SparkSession, d: str) -> DataFrame:
 def union_boxes(spark: SparkSession, d: str) -> DataFrame:
     x = (F.col("l_partkey") % 50).cast("double")
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), x.alias("x0"), F.col("l_suppkey").cast("double").alias("top"), (x + F.col("l_quantity") - 10).alias("x1"), (F.col("l_suppkey") + F.col("l_linenumber")).cast("double").alias("bottom"))
-    return S.union_box(li, ["doc_id"])
+    return G.box_union(li, ["doc_id"])
 
 
 @query("horizontal_overlaps", """SELECT o_orderkey, greatest(0.0::DOUBLE, least(a0 + 20, b0 + w) - greatest(a0, b0)) / greatest(1.0::DOUBLE, least(20, w)) AS overlap FROM (SELECT o_orderkey, (o_orderkey % 30)::DOUBLE AS a0, (o_custkey % 40)::DOUBLE AS b0, (o_orderkey % 3 * 8)::DOUBLE AS w FROM orders)""")
@@ -118,13 +121,44 @@ def horizontal_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", S.horizontal_overlap(a, a + 20, b, b + w).alias("overlap"))
 
 
-@query("page_coordinates", """WITH l AS (SELECT o_orderkey AS k, (o_custkey % 64)::DOUBLE AS x, (o_orderkey % 32)::DOUBLE AS y, CASE WHEN o_orderkey % 3 = 0 THEN 100.0 END AS sw, CASE WHEN o_orderkey % 4 > 0 THEN 512.0 ELSE 0.0 END AS pw, (o_orderkey % 2 * 256)::DOUBLE AS rw FROM orders)
+@query("page_coordinates", """WITH l AS (SELECT o_orderkey AS k, (o_custkey % 64)::DOUBLE AS x, (o_orderkey % 32)::DOUBLE AS y, CASE WHEN o_orderkey % 3 = 0 THEN 128.0 END AS sw, CASE WHEN o_orderkey % 4 > 0 THEN 512.0 ELSE 0.0 END AS pw, (o_orderkey % 2 * 256)::DOUBLE AS rw FROM orders)
  SELECT k, floor((CASE WHEN sw IS NULL THEN 0 ELSE 5 END + x * (coalesce(sw, CASE WHEN pw > 0 THEN pw ELSE rw END) / rw)) * 1e4 + 0.5) / 1e4 AS x0, floor(y * (1024.0 / 512.0) * 1e4 + 0.5) / 1e4 AS top FROM l WHERE rw > 0""")
 def page_coordinates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     x, y, part = (F.col("o_custkey") % 64).cast("double"), (k % 32).cast("double"), k % 3 == 0
     li = table(spark, d, "orders").select(
         k.alias("k"), x.alias("x0"), y.alias("top"), (x + 1).alias("x1"), (y + 1).alias("bottom"), (k % 2 * 256).cast("double").alias("rendered_width"), F.lit(512.0).alias("rendered_height"), F.when(k % 4 > 0, 512.0).otherwise(0.0).alias("page_width"), F.lit(1024.0).alias("page_height"),
-        F.when(part, 100.0).alias("source_width"), F.lit(None).cast("double").alias("source_height"), F.when(part, 5.0).alias("origin_x"), F.lit(None).cast("double").alias("origin_top"),
+        F.when(part, 128.0).alias("source_width"), F.lit(None).cast("double").alias("source_height"), F.when(part, 5.0).alias("origin_x"), F.lit(None).cast("double").alias("origin_top"),
     )
-    return S.to_page(li).select("k", "x0", "top")
+    return G.ocr_coordinates(li).select("k", "x0", "top")
+
+
+@query("header_paths", """WITH c AS (SELECT o_custkey AS t, o_orderkey % 4 AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey) - 1 AS r, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS v FROM orders), h AS (SELECT * FROM c WHERE r < 3),
+ f AS (SELECT *, lag(v) OVER (PARTITION BY t, c ORDER BY r) AS b FROM h WHERE v <> '') SELECT h.t AS table_id, h.c AS col_index, coalesce((SELECT string_agg(v, ' / ' ORDER BY r) FROM f WHERE f.t = h.t AND f.c = h.c AND (b IS NULL OR b <> v)), '') AS path FROM h GROUP BY h.t, h.c""")
+def header_paths(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    r = F.row_number().over(Window.partitionBy("o_custkey", k % 4).orderBy("o_orderkey")) - 1
+    cells = table(spark, d, "orders").select(F.col("o_custkey").alias("table_id"), (k % 4).alias("col_index"), r.alias("row_index"), F.when(k % 5 == 0, " ").otherwise(F.col("o_orderstatus")).alias("text"))
+    return T.header_paths(cells, 3)
+
+
+@query("order_confidence", """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_custkey % 3 < 2 THEN 0.98 WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 5 = 0 THEN 0.58 ELSE 0.64 END ELSE [0.8, 0.9, 0.84, 0.86, 0.8][o_custkey % 5 + 1] END::DOUBLE AS confidence FROM orders""")
+def order_confidence(spark: SparkSession, d: str) -> DataFrame:
+    from lexmill.plans.rule_plans import pick
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", G.order_confidence(c % 3, k % 2 == 1, pick(["mixed", "gutter", "bands", "regions", "other"], c % 5), k % 9 == 0).alias("confidence"))
+
+
+@query("document_confidence", "SELECT l_orderkey AS doc_id, floor(avg(CASE WHEN l_linenumber > 1 THEN least(greatest(l_quantity / 32.0::DOUBLE - 0.25::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) END) * 1e4 + 0.5) / 1e4 AS confidence FROM lineitem GROUP BY ALL")
+def document_confidence(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity") / 32.0 - 0.25).alias("confidence"))
+    return D.reading_confidence(p)
+
+
+@query("repeated_figures", """WITH f AS (SELECT l_suppkey AS doc, l_orderkey AS page, l_linenumber AS n, l_partkey AS p, (l_partkey % 8)::DOUBLE AS x, (l_linenumber % 2 * 10)::DOUBLE AS y, CASE WHEN l_quantity > 40 THEN 0.9 ELSE 0.15 END AS cf FROM lineitem), o AS (SELECT doc, x, y, count(DISTINCT page) AS c FROM f GROUP BY ALL)
+ SELECT doc AS doc_id, count(*) AS figures FROM f JOIN o USING (doc, x, y) WHERE c < 3 OR cf > 0.5 GROUP BY ALL""")
+def repeated_figures(spark: SparkSession, d: str) -> DataFrame:
+    x, y = (F.col("l_partkey") % 8).cast("double"), (F.col("l_linenumber") % 2 * 10).cast("double")
+    f = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("page_number"), x.alias("x0"), y.alias("top"), (x + 20).alias("x1"), (y + 20).alias("bottom"), F.lit(100.0).alias("page_width"), F.lit(100.0).alias("page_height"), F.when(F.col("l_quantity") > 40, 0.9).otherwise(0.15).alias("confidence"))
+    return G.repeated_figures(f).groupBy("doc_id").agg(F.count("*").alias("figures"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import extract
-from lexmill.operators import anatomy, catalog, metrics, reader, runs, structure
+from lexmill.operators import anatomy, catalog, geometry, metrics, reader, runs, structure
 from lexmill.sources import sinks
 
 T = datetime.datetime(2024, 1, 1)
@@ -21,7 +21,7 @@ BLOCKS = "doc_id long, position int, block_id string, type string, page_number i
 NOTHING = {
     "manual": (lambda f: anatomy.structure_quality(anatomy.manual_role(f)), ITEMS), "anatomy": (lambda f: anatomy.anatomy(anatomy.manual_role(f)), ITEMS), "unit signals": (structure.unit_signals, UNITS), "list parents": (structure.list_parents, UNITS),
     "notes": (structure.table_notes, BLOCKS), "staged": (lambda f: runs.staged_counts(f, {"blocks": f}), RUNS), "claim": (lambda f: runs.claim_next(f, "2024-01-01"), JOBS), "part jobs": (runs.part_jobs, JOBS), "retries": (lambda f: runs.after_failure(f, "2024-01-01"), JOBS),
-    "dashboard": (runs.dashboard, JOBS), "sheet": (structure.trimmed_sheet, "sheet long, row_index int, col_index int, text string"), "boxes": (lambda f: structure.union_box(f, ["k"]), "k int, x0 double, top double, x1 double, bottom double"),
+    "dashboard": (runs.dashboard, JOBS), "sheet": (structure.trimmed_sheet, "sheet long, row_index int, col_index int, text string"), "boxes": (lambda f: geometry.box_union(f, ["k"]), "k int, x0 double, top double, x1 double, bottom double"),
     "page signals": (reader.page_signals, "doc_id long, page_number int, text string, tables int, ocr_attempted boolean, ocr_errors array<string>, reading_order_confidence double"), "joined": (lambda f: runs.joined_reports(f, f.select("doc_id", F.lit(1).alias("total_pages"))), "doc_id long, part_index int, page_start int, page_end int"),
 }
 
