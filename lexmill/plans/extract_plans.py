@@ -47,7 +47,7 @@ cases("holders", [
 cases("catalog_dates", [
     ("2020-1-2", "2020-01-02|"), ("2020年3月4日 (续)", "2020-03-04|date_text_contains_extra"), ("2020/1/2 2021.02.03", "2021-02-03|date_multiple_candidates"), ("soon", "|date_parse_failed"), ("", "|"), (None, "|"), ("12020-1-23", "|date_parse_failed"), ("（2020.1.2）", "2020-01-02|"),
 ], lambda c: F.concat(F.coalesce(E.catalog_date(c)["date"], F.lit("")), F.lit("|"), F.coalesce(E.catalog_date(c)["signal"], F.lit(""))))
-cases("explicit_codes", [("ctso-c{k}", "CTSO-C{k}"), ("CTSO-C{k}a", "CTSO-C{k}A"), ("CTSO C12, ctso-C12b and CTSO  C12", "CTSOC12,CTSO-C12B"), ("xCTSO-C1", ""), (None, ""), ("（CTSO-C90d）", "CTSO-C90D")], lambda c: F.array_join(E.explicit_codes(c), ","))
+cases("explicit_codes", [("ctso-c153", "CTSO-C153"), ("{k} CTSO-C9a", "CTSO-C9A"), ("CTSO C12, ctso-C12b and CTSO  C12", "CTSOC12,CTSO-C12B"), ("xCTSO-C1", ""), (None, ""), ("（CTSO-C90d）", "CTSO-C90D")], lambda c: F.array_join(E.explicit_codes(c), ","))
 cases("wrap_blanks", [("中 国　商 飞 ACME 公 司 {k}", "中国商飞 ACME 公司 {k}"), (" a  b ", "a b"), (None, ""), ("甲\n乙", "甲乙")], E.without_wrap_blanks)
 cases("part_doc_ids", [("doc {k}", "3", None), ("ok.{k}", "1", "ok.{k}-part-1"), ("ab_-.", "2", None), ("", "1", "doc-da39a3ee5e6b-part-1"), (None, "1", "doc-da39a3ee5e6b-part-1"), ("x" * 80, "9", "x" * 80 + "-part-9")], lambda p, i: F.when(p.rlike("^doc |^ab"), None).otherwise(E.part_doc_id(p, i)))
 cases("reader_texts", [
