@@ -38,6 +38,7 @@ from lexmill.llm.common import dropped, file_system, give_back, shared_dir, slim
 
 MAGIC, VERSION = b"LXMLTOK1", 1
 CACHE_PIECES = 1_000_000
+SLICE_BYTES = 48 << 20
 SIGNS = "".join(c for c in string.punctuation if c != "'")
 LENGTHS = np.array([[(c >> (2 * k)) & 3 for k in range(4)] for c in range(256)], np.uint8) + 1
 
@@ -120,8 +121,10 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         coder = PieceEncoder(path)
         end = np.array([end_id], coder.type).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
+            # As many rows at a time as SLICE_BYTES of text: a word is looked at once a slice.
+            step = max(1, min(whole.num_rows, SLICE_BYTES * whole.num_rows // max(1, whole["text"].nbytes)))
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 rows = [x.tobytes() + end for x in coder.encode(b["text"])]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
         coder.cache.clear()
