@@ -34,7 +34,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: ids of every text, and the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True), ranks)
 
 
 STAGES = [

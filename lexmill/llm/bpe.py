@@ -17,7 +17,8 @@ A part's words come together in one task, packed (a frequent word costs a few
 bytes per block, not a row per use), each distinct word is folded once, and the
 ids go back to the blocks, packed again.  A task holds a block, or a run: the
 words that a part gathers from blocks until their places take ``RUN_BYTES`` (a
-word is folded once a run); the number of parts grows with the input.  Decoding concatenates the tokens' byte strings.
+word is folded once a run); the number of parts grows with the input.  Decoding concatenates the tokens' byte strings; where
+it follows at once (``decoded``), the worker that puts a block together does it, not a second one beside it.
 
 Words longer than ``LONG_WORD`` bytes, where a fold over arrays is quadratic,
 are merged by a heap in Python (same rule, n log n).
@@ -33,7 +34,7 @@ import heapq
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -47,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import file_system, give_back, shared_dir, slim_docs, written
+from lexmill.llm.common import file_system, give_back, returning, shared_dir, slim_docs, written
 
 BLOCK_BYTES, BLOCK_WORDS, LONG_WORD = 8 << 20, 150_000, 256
 RUN_BYTES, PART_BYTES = 32 << 20, 1 << 30
@@ -354,8 +355,8 @@ def _parts(docs: DataFrame) -> int:
     return min(_KNOWN - 1, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimate // PART_BYTES))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(doc_id, ids): each document's ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): each document's ids as little-endian unsigned 32-bit integers; ``decoded``: and the bytes they decode to."""
     parts = _parts(slim_docs(docs))
     folder = f"{shared_dir(docs.sparkSession)}/bpe-blocks-{uuid.uuid4().hex}"
     # Small row groups: a reader of one block touches little else.
@@ -370,7 +371,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BY
     # A head carries the file that holds its block's documents: they are read there, no task lists the folder.
     heads = blocks.where("part < 0").select("block", "part", F.encode(F.col("_metadata.file_path"), "utf-8").alias("data"))
     rows = heads.unionByName(back).repartition("block").sortWithinPartitions("block", "part")
-    return rows.mapInArrow(_assembled, "doc_id long, ids binary")
+    return rows.mapInArrow(_assembled(path if decoded else None), "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
 def _documents(name: str, block: int) -> bytes:
@@ -389,72 +390,88 @@ def _documents(name: str, block: int) -> bytes:
     raise LookupError(f"block {block} is not in {name}")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block: its head first, then its words' ids part by part."""
-    held: int | None = None
-    file = ""
-    sizes: list[np.ndarray] = []
-    flats: list[np.ndarray] = []
-
-    def finish() -> Iterator[pa.RecordBatch]:
-        doc_ids, n_words, words, part, known_sizes, known = _unpacked(_documents(file, held))
-        order = np.argsort(part, kind="stable")
-        ordered = np.concatenate([*sizes, known_sizes]).astype(np.int64)
-        flat = np.concatenate([*flats, known]).astype("<u4")
-        size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        size[order], start[order] = ordered, np.cumsum(ordered) - ordered
-        edges = np.concatenate(([0], np.cumsum(n_words)))
-        for at in range(0, len(doc_ids), 1000):
-            here = words[edges[at] : edges[min(at + 1000, len(doc_ids))]]
-            n = size[here]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(start[here] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            cuts = np.concatenate(([0], ends))[edges[at : at + 1001] - edges[at]]
-            rows = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 1000], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+def _assembled(path: str | None) -> Callable:
+    """Rows come by block: its head first, then its words' ids part by part.  With a path of ranks the ids are decoded too."""
 
-    for b in batches:
-        for block, k, data in zip(b["block"].to_pylist(), b["part"].to_pylist(), b["data"], strict=True):
-            if k < 0:
-                if held is not None:
-                    yield from finish()
-                held, file, sizes, flats = block, data.as_py().decode(), [], []
-            else:
-                n, ids = _unpacked(data.as_py())
-                sizes.append(n)
-                flats.append(ids)
-    if held is not None:
-        yield from finish()
-    held, sizes, flats = None, [], []
-    give_back()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: int | None = None
+        file = ""
+        sizes: list[np.ndarray] = []
+        flats: list[np.ndarray] = []
+        decoder = _decoder(path) if path else None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            doc_ids, n_words, words, part, known_sizes, known = _unpacked(_documents(file, held))
+            order = np.argsort(part, kind="stable")
+            ordered = np.concatenate([*sizes, known_sizes]).astype(np.int64)
+            flat = np.concatenate([*flats, known]).astype("<u4")
+            size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            size[order], start[order] = ordered, np.cumsum(ordered) - ordered
+            edges = np.concatenate(([0], np.cumsum(n_words)))
+            for at in range(0, len(doc_ids), 1000):
+                here = words[edges[at] : edges[min(at + 1000, len(doc_ids))]]
+                n = size[here]
+                ends = np.cumsum(n)
+                ids = flat[np.repeat(start[here] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                cuts = np.concatenate(([0], ends))[edges[at : at + 1001] - edges[at]]
+                rows = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                out = [pa.array(doc_ids[at : at + 1000], pa.int64()), pa.array(rows, pa.binary())]
+                if decoder:
+                    out.append(pa.array([decoder(np.frombuffer(x, "<u4")) for x in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "decoded"][: len(out)])
+
+        for b in batches:
+            for block, k, data in zip(b["block"].to_pylist(), b["part"].to_pylist(), b["data"], strict=True):
+                if k < 0:
+                    if held is not None:
+                        yield from finish()
+                    held, file, sizes, flats = block, data.as_py().decode(), [], []
+                else:
+                    n, ids = _unpacked(data.as_py())
+                    sizes.append(n)
+                    flats.append(ids)
+        if held is not None:
+            yield from finish()
+        held, sizes, flats = None, [], []
+        give_back()
+
+    return run
+
+
+def _decoder(path: str) -> Callable[[np.ndarray], bytes]:
+    """The byte strings of ids, concatenated."""
+    ranks = load_ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat, start = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+
+    def of(ids: np.ndarray) -> bytes:
+        n = size[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return flat[np.repeat(start[ids] - (ends - n), n) + np.arange(total)].tobytes()
+
+    return of
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``: the byte strings of a row's ids, concatenated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat, start = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        decoder = _decoder(path)
         for b in batches:
-            out = []
-            for x in b["ids"]:
-                ids = np.frombuffer(x.as_buffer(), "<u4")
-                n = size[ids]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                out.append(flat[np.repeat(start[ids] - (ends - n), n) + np.arange(total)].tobytes())
+            out = [decoder(np.frombuffer(x.as_buffer(), "<u4")) for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(returning(run), schema)
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the round trip."""
-    return decode(encoded, path).select(
+    both = encoded if "decoded" in encoded.columns else decode(encoded, path)
+    return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import slim_docs
+from lexmill.llm.common import returning, slim_docs
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "userinfo")
@@ -249,9 +249,11 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for b in batches:
-            i = b.schema.get_field_index(text_col)
-            new = [None if t is None else scanner.mask(t) for t in b.column(i).to_pylist()]
-            yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
-
-    return docs.mapInArrow(masked, docs.schema)
+        for whole in batches:
+            i = whole.schema.get_field_index(text_col)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                new = [None if t is None else scanner.mask(t) for t in b.column(i).to_pylist()]
+                yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
+
+    return docs.mapInArrow(returning(masked), docs.schema)

@@ -48,6 +48,20 @@ def test_op1_empty_table(spark):
     assert bpe.digests(bpe.encode(docs(spark).limit(0), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
 
 
+def test_op1_query_decodes_in_the_worker_that_encodes(spark, tmp_path):
+    """One Python worker a task in the last stage of op1_byte_bpe and pipeline; a second one stays in the executor's pool."""
+    import corpus_pipeline
+    from lexmill.llm import queries
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    apart = bpe.digests(bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert {r.doc_id for r in apart} == set(by_id())
+    for got in (queries.op1_byte_bpe(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["bpe"](spark, frame, str(tmp_path))):
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert sorted(got.collect()) == sorted(apart)
+
+
 def test_word_cutting_and_heap():
     import pyarrow as pa
     import regex
@@ -108,6 +122,13 @@ def test_op3_mask(spark):
     assert pii.Scanner().mask('token = "d7c90f3602a3d0b907ff" x') == 'token = "[ACCOUNT]" x'
 
 
+def test_op3_mask_over_several_batches(spark):
+    frame = spark.range(2501).selectExpr("id", "if(id % 7 = 0, null, concat('mail a', id, '@b.org now')) as text", "id * 2 as more").coalesce(1)
+    scanner = pii.Scanner()
+    got = sorted(map(tuple, pii.mask(frame).collect()))
+    assert got == [(i, None if i % 7 == 0 else scanner.mask(f"mail a{i}@b.org now"), 2 * i) for i in range(2501)]
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_op4_round_trip(spark, least):
     html = [None, "", "<p>x\r\n\r\ny</p>", "<p>long enough é</p>", "", "<p>long enough é</p>", "WARC/1.1\r\n\r\n", "short", "short"]
