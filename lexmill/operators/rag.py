@@ -1,16 +1,20 @@
 """How well search units, chunks and embeddings cover a document's pages, tables and figures; and what its parts lack.
 
-Everything is keyed by (doc_id, page_number); spans are exploded to pages, so range joins are equi-joins.  Results come in a
-row per page, unit, document or part; nothing gathers more than a page's or unit's ids.
+Rows are dealt by document once, to as many tasks as the input asks for; what belongs together meets there in windows and groups by block,
+page, unit or part, which need no further exchange.  Spans are exploded to pages.  Results come in a row per page, unit, document or part;
+nothing gathers more than a page's or unit's ids.
 
 Nulls: a missing text counts as no characters, a missing flag as false, a missing array as empty.  Repeated ids of units,
 tables or figures count once; rows with the same ids and different values are not expected."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import scratch
 from lexmill.functions.text import round_half_up
 
 # What a page or unit lacks, and the signal of each.
@@ -28,16 +32,26 @@ def _none(kind: str = "string") -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def _with_chunks(rows: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """``rows`` (doc_id, block_id, ...) with ``held``, the different (chunk_id, embedded) of their block; dealt by document to ``n`` tasks."""
+    held = chunks.select("doc_id", F.explode("block_ids").alias("block_id"), F.struct("chunk_id", F.coalesce("embedded", F.lit(False)).alias("embedded")).alias("chunk"), F.lit(True).alias("is_chunk"))
+    both = rows.withColumn("is_chunk", F.lit(False)).unionByName(held, allowMissingColumns=True).repartition(n, "doc_id")
+    of_block = F.collect_set("chunk").over(Window.partitionBy("doc_id", "block_id"))
+    # A row without a block or document has no chunks; nulls would meet each other in one window.
+    return both.withColumn("held", F.when(F.col("doc_id").isNotNull() & F.col("block_id").isNotNull(), of_block)).where("not is_chunk").drop("chunk", "is_chunk")
+
+
 def units(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each unit with its chunks: ``missing`` (what it lacks, or null), ``state``, ``status`` and ``reason`` of its processing.
 
+    Units and chunks are dealt by document once; they meet in windows there, and the result stays dealt so.
     Raw: doc_id, unit_id, page_start, page_end, should_index, skip_reason, block_ids, table_ids.  Chunks: doc_id, chunk_id, block_ids, embedded."""
-    key = ["doc_id", "unit_id"]
-    held = chunks.select("doc_id", "chunk_id", F.coalesce("embedded", F.lit(False)).alias("embedded"), F.explode("block_ids").alias("block_id")).distinct()
-    own = raw.select(*key, F.explode("block_ids").alias("block_id")).distinct().join(held, ["doc_id", "block_id"]).select(*key, "chunk_id", "embedded").distinct()
-    counts = own.groupBy(*key).agg(F.count("*").alias("chunks"), F.count_if("embedded").alias("embedded_chunks"))
-    u = raw.join(counts, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long"))).withColumn("should_index", F.coalesce("should_index", F.lit(False)))
-    embedded = (F.col("chunks") > 0) & (F.coalesce("embedded_chunks", F.lit(0)) == F.col("chunks"))
+    at = raw.select("*", F.posexplode_outer("block_ids").alias("block_no", "block_id"))
+    at = _with_chunks(at, chunks, scratch.parts(raw, chunks))
+    own = F.array_distinct(F.flatten(F.collect_list("held").over(Window.partitionBy("doc_id", "unit_id"))))
+    u = at.withColumn("own", F.when(F.col("unit_id").isNotNull(), own)).where("coalesce(block_no, 0) = 0").withColumn("own", F.coalesce("own", F.array().cast(at.schema["held"].dataType)))
+    u = u.select(*raw.columns, F.size("own").cast("long").alias("chunks"), F.size(F.filter("own", lambda x: x["embedded"])).cast("long").alias("embedded_chunks")).withColumn("should_index", F.coalesce("should_index", F.lit(False)))
+    embedded = (F.col("chunks") > 0) & (F.col("embedded_chunks") == F.col("chunks"))
     missing = F.when(F.col("should_index") & (F.col("chunks") == 0), NO_CHUNKS).when(F.col("should_index") & ~embedded, NOT_EMBEDDED)
     u = u.withColumn("embedded", embedded).withColumn("missing", missing)
     skipped = ~F.col("should_index")
@@ -62,24 +76,33 @@ def pages(blocks: DataFrame, units_: DataFrame, chunks: DataFrame, tables: DataF
     Figures: doc_id, figure_id, page_number, caption, alt_text."""
     page = ["doc_id", "page_number"]
     span = F.explode(F.sequence("page_start", "page_end")).alias("page_number")
-    held = chunks.select("doc_id", "chunk_id", F.coalesce("embedded", F.lit(False)).alias("embedded"), F.explode("block_ids").alias("block_id")).distinct()
-    b = blocks.select("doc_id", "block_id", span, F.when(F.coalesce("index_policy", F.lit("")) != "skip", F.coalesce("chars", F.lit(0))).otherwise(0).alias("chars"), "provider")
-    on = b.join(held, ["doc_id", "block_id"], "left")
-    # A block's characters count once, whatever its chunks: sum over distinct blocks, chunks over distinct chunks.
-    text = b.groupBy(*page).agg(F.sum("chars").alias("parsed_text_chars"), F.count("*").alias("blocks"), F.array_sort(F.collect_set(F.when(F.col("provider") != "", F.col("provider")))).alias("provider_ids"))
-    made = on.where("chunk_id is not null").select(*page, "chunk_id", "embedded").distinct().groupBy(*page).agg(F.count("*").alias("chunks"), F.bool_and("embedded").alias("embedded"))
-    u = units_.select("doc_id", "unit_id", span, "should_index", "missing", F.coalesce("table_ids", _none()).alias("table_ids"))
-    lacks = lambda what: F.array_sort(F.collect_set(F.when(F.col("missing") == what, F.col("unit_id"))))
-    per_unit = u.groupBy(*page).agg(F.count("*").alias("units"), F.count_if("should_index").alias("indexable_units"), lacks(NO_CHUNKS).alias("unchunked_unit_ids"), lacks(NOT_EMBEDDED).alias("unembedded_unit_ids"))
-    named = u.where("should_index").select(*page, F.explode("table_ids").alias("table_id")).distinct().withColumn("named", F.lit(True))
-    t = tables.where(F.coalesce("table_id", F.lit("")) != "").select(*page, "table_id").distinct().join(named, [*page, "table_id"], "left")
-    per_table = t.groupBy(*page).agg(F.count("*").alias("tables"), F.array_sort(F.collect_set(F.when(F.col("named").isNull(), F.col("table_id")))).alias("table_ids_without_units"))
+    n = scratch.parts(blocks, units_, chunks, tables, figures)
+    chars = F.when(F.coalesce("index_policy", F.lit("")) != "skip", F.coalesce("chars", F.lit(0))).otherwise(0)
+    b = _with_chunks(blocks.select("doc_id", "block_id", "page_start", "page_end", chars.alias("chars"), "provider"), chunks, n)
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    per_figure = figures.where(F.coalesce("figure_id", F.lit("")) != "").groupBy(*page).agg(F.count("*").alias("figures"), F.array_sort(F.collect_set(F.when(blank("caption") & blank("alt_text"), F.col("figure_id")))).alias("figure_ids_missing_caption"))
-    p = text.join(made, page, "left").join(per_unit, page, "left").join(per_table, page, "left").join(per_figure, page, "left")
-    p = p.fillna(0, ["chunks", "units", "indexable_units", "tables", "figures"]).withColumn("embedded", F.coalesce("embedded", F.lit(False)))
-    for c in ("unchunked_unit_ids", "unembedded_unit_ids", "table_ids_without_units", "figure_ids_missing_caption"):
-        p = p.withColumn(c, F.coalesce(c, _none()))
+    # Blocks, units, tables and figures of a page meet as rows of one frame, each with the columns of its kind.
+    rows = [
+        b.select("doc_id", span, "chars", F.when(F.col("provider") != "", F.col("provider")).alias("provider"), F.col("held"), F.lit(1).alias("block")),
+        units_.select("doc_id", span, "unit_id", "should_index", F.when(F.col("missing") == NO_CHUNKS, 0).when(F.col("missing") == NOT_EMBEDDED, 1).alias("lack"), F.when(F.col("should_index"), F.col("table_ids")).alias("named"), F.lit(1).alias("unit")),
+        tables.where(F.coalesce("table_id", F.lit("")) != "").select(*page, "table_id"),
+        figures.where(F.coalesce("figure_id", F.lit("")) != "").select(*page, F.when(blank("caption") & blank("alt_text"), F.col("figure_id")).alias("bare"), F.lit(1).alias("figure")),
+    ]
+    # Figures and tables are dealt as units and blocks are already, so that the pages need no exchange of their own.
+    rows = [*rows[:2], *[r.repartition(n, "doc_id") for r in rows[2:]]]
+    every = reduce(lambda x, y: x.unionByName(y.where("doc_id is not null"), allowMissingColumns=True), rows)
+    # One list a page, not one for each kind of id: a collected column costs more than all the counts.
+    told = F.when(F.col("held").isNotNull() | F.col("provider").isNotNull() | F.col("lack").isNotNull() | F.col("named").isNotNull() | F.col("table_id").isNotNull() | F.col("bare").isNotNull(), F.struct("provider", "held", "unit_id", "lack", "named", "table_id", "bare"))
+    p = every.groupBy(*page).agg(F.sum("chars").alias("parsed_text_chars"), F.count("block").alias("blocks"), F.count("unit").alias("units"), F.count_if("should_index").alias("indexable_units"), F.count("figure").alias("figures"), F.collect_list(told).alias("x")).where("blocks > 0")
+    some = lambda c, test=None: F.array_distinct(F.filter("x" if c is None else F.col("x")[c], test or (lambda v: v.isNotNull())))
+    lacks = lambda k: F.sort_array(F.array_distinct(F.transform(F.filter("x", lambda v: v["lack"] == k), lambda v: v["unit_id"])))
+    p = p.select(
+        *page, "parsed_text_chars", "blocks", "units", "indexable_units", "figures", F.sort_array(some("provider")).alias("provider_ids"), F.filter(F.array_distinct(F.flatten(some("held"))), lambda x: x["chunk_id"].isNotNull()).alias("made"), lacks(0).alias("unchunked_unit_ids"), lacks(1).alias("unembedded_unit_ids"),
+        some("table_id").alias("table_ids"), F.flatten(some("named")).alias("named"), F.sort_array(some("bare")).alias("figure_ids_missing_caption"),
+    )
+    p = p.select(
+        *page, "parsed_text_chars", "blocks", "provider_ids", F.size("made").cast("long").alias("chunks"), ((F.size("made") > 0) & F.forall("made", lambda x: x["embedded"])).alias("embedded"), "units", "indexable_units", "unchunked_unit_ids",
+        "unembedded_unit_ids", F.size("table_ids").cast("long").alias("tables"), F.sort_array(F.array_except("table_ids", "named")).alias("table_ids_without_units"), "figures", "figure_ids_missing_caption",
+    )
     some = F.col("indexable_units") > 0
     missing = (
         F.when((F.col("parsed_text_chars") > 0) & ~some, NO_UNITS).when(some & ((F.size("unchunked_unit_ids") > 0) | (F.col("chunks") == 0)), NO_CHUNKS)
@@ -113,7 +136,7 @@ def _unit_sums() -> list[Column]:
     return [
         F.count("*").alias("total_unit_count"), F.count_if(i).alias("total_indexable_units"), F.count_if(i & (F.col("chunks") > 0)).alias("total_chunked_units"), F.count_if(i & F.col("embedded")).alias("embedded_unit_count"),
         F.count_if(i & (F.col("chunks") > 0) & ~F.col("embedded")).alias("unembedded_unit_count"), status("processed"), status("skipped"), status("failed"),
-        F.array_sort(F.collect_set(F.when(F.col("missing").isNotNull(), F.col("unit_id")))).alias("gap_unit_ids"),
+        F.sort_array(F.collect_set(F.when(F.col("missing").isNotNull(), F.col("unit_id")))).alias("gap_unit_ids"),
     ]
 
 
@@ -136,9 +159,17 @@ def part_summary(parts: DataFrame, pages_: DataFrame, units_: DataFrame) -> Data
     """The same per part (doc_id, part_id, page_start, page_end): pages in its range, units whose span meets it once each; a part
     without any page has no row.  Units and chunked units are counted by page, as a page's share."""
     key = ["doc_id", "part_id"]
-    at = parts.select(*key, F.explode(F.sequence("page_start", "page_end")).alias("page_number"))
-    by_page = pages_.join(at, ["doc_id", "page_number"]).groupBy(*key).agg(*_page_sums(), F.sum("indexable_units").alias("page_indexable"), F.sum("chunked_units").alias("page_chunked"))
-    u = units_.withColumn("page_number", F.explode(F.sequence("page_start", "page_end"))).join(at, ["doc_id", "page_number"]).dropDuplicates([*key, "unit_id"])
+    at = parts.select("doc_id", F.explode(F.sequence("page_start", "page_end")).alias("page_number"), "part_id")
+    n = scratch.parts(parts, pages_, units_)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """A row for each part that has the row's page; rows of both sides are dealt by document."""
+        both = rows.withColumn("part_id", F.lit(None).cast(at.schema["part_id"].dataType)).unionByName(at.repartition(n, "doc_id").withColumn("row_kind", F.lit("part")), allowMissingColumns=True)
+        within = F.collect_list("part_id").over(Window.partitionBy("doc_id", "page_number"))
+        return both.withColumn("part_ids", within).where("row_kind is null").drop("row_kind", "part_id").withColumn("part_id", F.explode("part_ids")).drop("part_ids")
+
+    by_page = placed(pages_).groupBy(*key).agg(*_page_sums(), F.sum("indexable_units").alias("page_indexable"), F.sum("chunked_units").alias("page_chunked"))
+    u = placed(units_.select("doc_id", "unit_id", "should_index", "chunks", "embedded", "missing", "status", F.explode(F.sequence("page_start", "page_end")).alias("page_number"))).dropDuplicates([*key, "unit_id"])
     s = by_page.join(u.groupBy(*key).agg(*_unit_sums()), key, "left")
     s = s.withColumns({"total_indexable_units": F.col("page_indexable"), "total_chunked_units": F.col("page_chunked")}).drop("page_indexable", "page_chunked")
     return _with_ratios(s)
@@ -171,7 +202,7 @@ def quality(summaries: DataFrame) -> DataFrame:
 def manifest(units_: DataFrame, summaries: DataFrame) -> DataFrame:
     """The coverage part of each document's index manifest: unit counts, and the ids of units that are embedded or skipped or lack
     something, in order."""
-    ids = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("unit_id"))))
+    ids = lambda test: F.sort_array(F.collect_set(F.when(test, F.col("unit_id"))))
     i = F.col("should_index")
     u = units_.groupBy("doc_id").agg(
         F.count_if(i).alias("indexable_units"), F.count_if(i & (F.col("chunks") > 0)).alias("chunked_units"), F.count_if(i & F.col("embedded")).alias("embedded_units"), F.count_if(~i).alias("skipped_units"),
