@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import roles, text
+from lexmill.functions import roles, scratch, text
 
 HEAD, TAIL, LEAST_LENGTH, SHARE = 3, 3, 4, 0.5
 
@@ -179,6 +179,8 @@ TOOL_NOTE = r"(?iU)^\s*NOTE\s*[:：]"
 CHANGE_HEADER = r"(?iU)CHAPTER/Section/Page\s+Description of Change(?:\s+Check)?"
 CHANGE_START = rf"(?iU)^\s*{roles.any_of(roles.CHANGES)}\b"
 CHANGE_PAGE = r"(?iU)\bPages?\s+\d"
+#: Bytes of the input's files for a task of a page's paragraphs: an input row may give many.
+A_PART = 1 << 20
 REFINE_WORDS = r"(?iU)\b(?:NOTE|WARNING|CAUTION|SB|Service\s+Bulletin|Step|Procedure)\b"
 
 
@@ -192,18 +194,25 @@ def merge_table_rows(blocks: DataFrame) -> DataFrame:
 
     A row begins with 24 characters or more, a capital on its own among the first 20, and two words in small letters.
     Input and output: doc_id, page_number, position, content."""
-    page = Window.partitionBy("doc_id", "page_number")
-    w = page.orderBy("position")
+    key = ["doc_id", "page_number"]
+    w = Window.partitionBy(*key).orderBy("position")
+    page = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     flat = _folded(F.col("content"))
-    header, note = flat.rlike(TOOL_HEADER), F.trim("content").rlike(TOOL_NOTE)
-    row = (F.char_length(flat) >= 24) & ~header & ~flat.rlike(TOOL_NOTE) & F.substring(flat, 1, 20).rlike(r"\b[A-Z]\b") & (F.regexp_count(flat, F.lit(r"\b[a-z]{3,}\b")) >= 2)
-    b = blocks.withColumns({"header": header, "note": note, "row": row})
+
+    def marks(flat: Column) -> Column:
+        header, note = flat.rlike(TOOL_HEADER), flat.rlike(TOOL_NOTE)
+        row = (F.char_length(flat) >= 24) & ~header & ~note & F.substring(flat, 1, 20).rlike(r"\b[A-Z]\b") & (F.regexp_count(flat, F.lit(r"\b[a-z]{3,}\b")) >= 2)
+        return F.struct(header.alias("header"), row.alias("row"))
+
+    # Rows are dealt by document once and sorted once: all windows have one order.
+    b = blocks.select(*key, "position", "content", roles._let(flat, marks).alias("m"), F.trim("content").rlike(TOOL_NOTE).alias("note")).select(*key, "position", "content", "note", "m.header", "m.row")
+    b = b.repartition(scratch.parts(blocks, a_part=A_PART), "doc_id")
     b = b.withColumn("table", (F.count("*").over(page) > 4) & F.bool_or("header").over(page)).where(~F.col("table") | (F.trim("content") != ""))
     seen = F.coalesce(F.bool_or("header").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     starts = ~F.col("table") | ~seen | F.col("note") | F.col("row") | F.coalesce(F.lag("note").over(w), F.lit(True))
     b = b.withColumn("island", F.sum(starts.cast("int")).over(w))
-    parts = F.array_sort(F.collect_list(F.struct("position", "content")))
-    return b.groupBy("doc_id", "page_number", "island").agg(F.min("position").alias("position"), F.array_join(parts["content"], "\n").alias("content")).drop("island")
+    parts = F.sort_array(F.collect_list(F.struct("position", "content")))
+    return b.groupBy(*key, "island").agg(F.min("position").alias("position"), F.array_join(parts["content"], "\n").alias("content")).drop("island")
 
 
 def merge_changes(blocks: DataFrame) -> DataFrame:

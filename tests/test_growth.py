@@ -51,3 +51,14 @@ def test_units_and_pages_on_nulls_and_repeats(spark):
     assert set(pages) == {1, 2} and (one.blocks, one.parsed_text_chars, one.chunks, one.embedded, one.units, one.indexable_units, one.provider_ids) == (2, 5, 2, False, 4, 4, ["p"])
     assert (one.unchunked_unit_ids, one.unembedded_unit_ids, one.tables, one.table_ids_without_units, one.figures) == (["w"], ["u", "v"], 1, [], 1)
     assert (two.blocks, two.chunks, two.embedded, two.units, two.tables, two.table_ids_without_units, two.figures, two.figure_ids_missing_caption) == (1, 0, False, 1, 1, ["x"], 2, ["f"])
+
+
+def test_merged_rows_are_dealt_to_more_tasks_for_more_input(spark, monkeypatch):
+    from lexmill.operators import segment
+
+    monkeypatch.setattr(segment, "A_PART", 1000)
+    n = scratch.parts(spark.read.parquet(f"{DATA}/orders.parquet"), a_part=1000)
+    for name in ("table_row_merge",):
+        p = planned(QUERIES[name](spark, DATA))
+        assert re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, (\d+)\)", p) == [str(n)] and exchanges(QUERIES[name](spark, DATA)) == 1
+    assert planned(QUERIES["table_row_merge"](spark, DATA)).count(" Sort [") <= 2
