@@ -32,38 +32,55 @@ def _is(c: Column, pattern: str) -> Column:
     return c.rlike(f"(?iU)(?:{pattern})")
 
 
+def _label_of(s: Column) -> Column:
+    whole, end = F.regexp_extract(s, rf"(?iU)^\s*(?:页码\s*[:：]\s*)?({PAGE})\s*$", 1), F.regexp_extract(s, rf"(?iU)({PAGE})\s*$", 1)
+    return roles._let(whole, lambda w: F.when(w != "", w).otherwise(roles._let(end, lambda e: F.when((e != "") & (e != s), e))))
+
+
+def _flat(c: Column) -> Column:
+    return inline_space(F.coalesce(c, F.lit("")))
+
+
 def page_label(c: Column) -> Column:
     """The page that a text refers to: the whole of it, or its end if something stands before; else null."""
-    s = inline_space(F.coalesce(c, F.lit("")))
-    whole = F.regexp_extract(s, rf"(?iU)^\s*(?:页码\s*[:：]\s*)?({PAGE})\s*$", 1)
-    end = F.regexp_extract(s, rf"(?iU)({PAGE})\s*$", 1)
-    return F.when(whole != "", whole).when((end != "") & (end != s), end)
+    return roles._let(_flat(c), _label_of)
 
 
 def numbered_heading(c: Column) -> Column:
-    """struct(content, role, label, level): an appendix, chapter or number before a title, without the page it refers to; null if it is none."""
-    s = inline_space(F.coalesce(c, F.lit("")))
-    label = page_label(c)
-    at = F.char_length(F.regexp_extract(s, rf"(?iU)({PAGE}\s*)$", 1))
-    cut = F.when(label.isNotNull() & (at > 0) & (at < F.char_length(s)), F.rtrim(F.substring(s, F.lit(1), F.char_length(s) - at))).otherwise(s)
+    """struct(content, role, label, level): an appendix, chapter or number before a title, without the page it refers to; null if it is none.
+    Each of its texts is worked out once: patterns are matched far more slowly than anything else here."""
+
+    def cut(s: Column, label: Column) -> Column:
+        at = F.char_length(F.regexp_extract(s, rf"(?iU)({PAGE}\s*)$", 1))
+        return F.when(label.isNull(), s).otherwise(roles._let(at, lambda n: F.when((n > 0) & (n < F.char_length(s)), F.rtrim(F.substring(s, F.lit(1), F.char_length(s) - n))).otherwise(s)))
 
-    def made(kind: str, role: str, level: Column) -> Column:
-        number, title = (inline_space(F.regexp_extract(cut, MARKS[kind], i)) for i in (1, 2))
-        return F.struct(F.trim(F.concat_ws(" ", number, F.when(title != "", title))).alias("content"), F.lit(role).alias("role"), label.alias("label"), level.cast("int").alias("level"))
+    def of(text: Column, label: Column) -> Column:
+        def made(kind: str, role: str, level: Column) -> Column:
+            number, title = (inline_space(F.regexp_extract(text, MARKS[kind], i)) for i in (1, 2))
+            content = roles._let(title, lambda t: F.trim(F.concat_ws(" ", number, F.when(t != "", t))))
+            return F.struct(content.alias("content"), F.lit(role).alias("role"), label.alias("label"), level.cast("int").alias("level"))
 
-    depth = F.size(F.split(F.regexp_extract(cut, MARKS["number"], 1), r"\."))
-    is_ = lambda kind: cut.rlike(MARKS[kind])
-    found = F.when(is_("appendix"), made("appendix", "appendix", F.lit(1))).when(is_("chapter"), made("chapter", "body_section", F.lit(1))).when(is_("number"), made("number", "body_section", depth))
-    return F.when((s != "") & ~_is(s, NOISE["page_ref_cell"]), found)
+        depth = F.size(F.split(F.regexp_extract(text, MARKS["number"], 1), r"\."))
+        is_ = lambda kind: text.rlike(MARKS[kind])
+        return F.when(is_("appendix"), made("appendix", "appendix", F.lit(1))).when(is_("chapter"), made("chapter", "body_section", F.lit(1))).when(is_("number"), made("number", "body_section", depth))
+
+    def found(s: Column) -> Column:
+        heading = roles._let(_label_of(s), lambda label: roles._let(cut(s, label), lambda text: of(text, label)))
+        return F.when((s != "") & ~_is(s, NOISE["page_ref_cell"]), heading)
+
+    return roles._let(_flat(c), found)
 
 
 def noise(c: Column) -> Column:
     """The role of a line that is no content: artifacts, version cells, page references, running heads and dates; else null."""
-    s = inline_space(F.coalesce(c, F.lit("")))
-    out = F.when(s == "", None)
-    for name, pattern in NOISE.items():
-        out = out.when(_is(s, pattern), name)
-    return out
+
+    def of(s: Column) -> Column:
+        out = F.when(s == "", None)
+        for name, pattern in NOISE.items():
+            out = out.when(_is(s, pattern), name)
+        return out
+
+    return roles._let(_flat(c), of)
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:

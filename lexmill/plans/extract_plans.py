@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import extract as E
+from lexmill.functions import roles
 from lexmill.functions import text as X
 from lexmill.operators import anatomy as A
 from lexmill.operators import coverage as C
@@ -100,7 +101,7 @@ def change_merge(spark: SparkSession, d: str) -> DataFrame:
 cases("docx_noise", [("tmp_{k} file", "parse_artifact"), ("Rev {k}", "version_cell"), ("{k}-2", "page_ref_cell"), ("第 {k} 页", "header_footer"), ("ATA {k}.1", "header_footer"), ("2024-1-2", "page_ref_cell"), ("text {k} of it", None), ("", None)], W.noise)
 cases("docx_page_labels", [("页码：3-{k}", "3-{k}"), ("Intro 3-{k}", "3-{k}"), ("IV 至 VI", "IV 至 VI"), ("一/2", "一/2"), ("no page here", None), (None, None)], W.page_label)
 cases("docx_headings", [("1.{k} Scope 2-3", "1.{k} Scope|body_section|2-3|2"), ("附件{k} 表", "附件{k} 表|appendix||1"), ("第2章  总则", "第2章 总则|body_section||1"), ("{k}) Tools", "{k} Tools|body_section||1"), ("words {k} on", None), ("3-{k}", None)],
-      lambda c: F.when(W.numbered_heading(c).isNotNull(), F.concat_ws("|", W.numbered_heading(c)["content"], W.numbered_heading(c)["role"], F.coalesce(W.numbered_heading(c)["label"], F.lit("")), W.numbered_heading(c)["level"].cast("string"))))
+      lambda c: roles._let(W.numbered_heading(c), lambda h: F.when(h.isNotNull(), F.concat_ws("|", h["content"], h["role"], F.coalesce(h["label"], F.lit("")), h["level"].cast("string")))))
 cases("worth_refining", [("(1) Step one (2) then (a) more " + "x" * 40, "true"), ("(1) Step one (2) then", "false"), ("1. NOTE: (a) b " + "x" * 60, "true"), ("plain words without marks, Step " + "x" * 60, "false"), ("(1) a (2) b (3) c nothing named " + "x" * 60, "false"), ("", "false")], lambda c: S.worth_refining(c, 60, 2).cast("string"))
 cases("action_suggestions", [
     ("accept", "rechunk_document", "f", "p", ""), ("local_rerun", "local_provider_rerun", "f", "p", "rerun_warning_parts,inspect_provider_route_plan,reparse_document,review_quality"), ("local_rerun", "local_provider_rerun", None, None, "inspect_provider_route_plan,reparse_document"),

@@ -62,3 +62,8 @@ def test_merged_rows_are_dealt_to_more_tasks_for_more_input(spark, monkeypatch):
         p = planned(QUERIES[name](spark, DATA))
         assert re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, (\d+)\)", p) == [str(n)] and exchanges(QUERIES[name](spark, DATA)) == 1
     assert planned(QUERIES["table_row_merge"](spark, DATA)).count(" Sort [") <= 2
+
+
+def test_a_heading_is_worked_out_once(spark):
+    p = QUERIES["docx_headings"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("regexp") < 60
