@@ -220,25 +220,37 @@ def merge_changes(blocks: DataFrame) -> DataFrame:
     follows it, and a change the one after it, if that names no page, or if both add something and name one page each.
 
     A fold over a page's paragraphs, since each decision looks at the text merged so far.  Input and output: doc_id, page_number, position, content."""
-    kind = "array<struct<position:int,content:string>>"
-    page = blocks.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("int").alias("position"), "content"))).alias("b"))
     refs = lambda c: F.regexp_count(c, F.lit(CHANGE_PAGE))
-    head, change = (lambda c: c.rlike(CHANGE_HEADER)), (lambda c: c.rlike(CHANGE_START))
+
+    def told(flat: Column) -> Column:
+        """What the rules ask of a folded text, once for each text."""
+        return F.struct(
+            flat.rlike(CHANGE_HEADER).alias("head"), flat.rlike(CHANGE_START).alias("change"), refs(flat).alias("refs"), (F.char_length(flat) <= 80).alias("short"), F.lower(flat).startswith("added ").alias("added"),
+            F.contains(F.upper(flat), F.lit("HIGHLIGHTS")).alias("named"),
+        )
+
+    def with_told(position: Column, content: Column) -> Column:
+        return F.struct(position.cast("int").alias("position"), content.alias("content"), roles._let(_folded(content), told).alias("t"))
 
     def joins(a: Column, c: Column) -> Column:
-        anchor = ~change(a) & (refs(a) >= 1) & (F.char_length(a) <= 80)
-        added = F.lower(a).startswith("added ") & F.lower(c).startswith("added ") & (refs(a) == 1) & (refs(c) == 1)
-        return ~head(a) & ~head(c) & change(c) & (anchor | (change(a) & (added | ((refs(c) == 0) & (refs(a) >= 1)))))
+        anchor = ~a["change"] & (a["refs"] >= 1) & a["short"]
+        added = a["added"] & c["added"] & (a["refs"] == 1) & (c["refs"] == 1)
+        return ~a["head"] & ~c["head"] & c["change"] & (anchor | (a["change"] & (added | ((c["refs"] == 0) & (a["refs"] >= 1)))))
 
     def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        both = F.struct(last["position"].alias("position"), F.concat_ws("\n", last["content"], x["content"]).alias("content"))
-        return F.when((F.size(done) > 0) & joins(_folded(last["content"]), _folded(x["content"])), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
-
-    flat = F.transform("b", lambda x: _folded(x["content"]))
-    gate = (F.size("b") > 2) & F.exists(flat, lambda x: F.contains(F.upper(x), F.lit("HIGHLIGHTS"))) & F.exists(flat, head)
-    merged = F.when(gate, F.aggregate(F.col("b").cast(kind), F.array().cast(kind), step)).otherwise(F.col("b").cast(kind))
-    return page.select("doc_id", "page_number", F.inline(merged))
+        def then(last: Column) -> Column:
+            both = with_told(last["position"], F.concat_ws("\n", last["content"], x["content"]))
+            return F.when(joins(last["t"], x["t"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.array_append(done, x))
+
+        return F.when(F.size(done) > 0, roles._let(F.element_at(done, -1), then)).otherwise(F.array(x))
+
+    # Texts are looked at where they are, before the one exchange by document.
+    rows = blocks.select("doc_id", "page_number", with_told(F.col("position"), F.col("content")).alias("x")).repartition(scratch.parts(blocks, a_part=A_PART), "doc_id")
+    page = rows.groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list("x")).alias("b"))
+    kind = page.schema["b"].dataType
+    gate = (F.size("b") > 2) & F.exists("b", lambda x: x["t"]["named"]) & F.exists("b", lambda x: x["t"]["head"])
+    merged = F.when(gate, F.aggregate("b", F.array().cast(kind), step)).otherwise(F.col("b"))
+    return page.select("doc_id", "page_number", F.explode(merged).alias("x")).select("doc_id", "page_number", "x.position", "x.content")
 
 
 def worth_refining(c: Column, least_length: int, least_markers: int) -> Column:

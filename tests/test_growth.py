@@ -58,7 +58,7 @@ def test_merged_rows_are_dealt_to_more_tasks_for_more_input(spark, monkeypatch):
 
     monkeypatch.setattr(segment, "A_PART", 1000)
     n = scratch.parts(spark.read.parquet(f"{DATA}/orders.parquet"), a_part=1000)
-    for name in ("table_row_merge",):
+    for name in ("table_row_merge", "change_merge"):
         p = planned(QUERIES[name](spark, DATA))
         assert re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, (\d+)\)", p) == [str(n)] and exchanges(QUERIES[name](spark, DATA)) == 1
     assert planned(QUERIES["table_row_merge"](spark, DATA)).count(" Sort [") <= 2
@@ -67,3 +67,12 @@ def test_merged_rows_are_dealt_to_more_tasks_for_more_input(spark, monkeypatch):
 def test_a_heading_is_worked_out_once(spark):
     p = QUERIES["docx_headings"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("regexp") < 60
+
+
+def test_changes_that_meet_are_told_anew(spark):
+    from lexmill.operators.segment import merge_changes
+
+    texts = ["HIGHLIGHTS", "CHAPTER/Section/Page Description of Change", "Page 7", "Changed", "Changed this", "Changed page 8", None, "Added x on page 9", "Added y on page 10", "Added z on page 11"]
+    b = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "doc_id long, page_number int, position long, content string")
+    got = [r.content for r in merge_changes(b).orderBy("position").collect()]
+    assert got == [*texts[:2], "Page 7\nChanged\nChanged this\nChanged page 8", None, "Added x on page 9\nAdded y on page 10", "Added z on page 11"]
