@@ -76,3 +76,11 @@ def test_changes_that_meet_are_told_anew(spark):
     b = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "doc_id long, page_number int, position long, content string")
     got = [r.content for r in merge_changes(b).orderBy("position").collect()]
     assert got == [*texts[:2], "Page 7\nChanged\nChanged this\nChanged page 8", None, "Added x on page 9\nAdded y on page 10", "Added z on page 11"]
+
+
+def test_the_corpus_is_searched_once_for_a_reranking(spark):
+    assert "documents.parquet" not in planned(QUERIES["reranked"](spark, DATA))
+    from lexmill.plans.search_plans import chunks
+
+    p = chunks(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("refers\\s+to") == 1
