@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import roles
+from lexmill.functions import roles, scratch
 from lexmill.functions.text import round_half_up
 
 
@@ -25,7 +25,7 @@ def units(blocks: DataFrame) -> DataFrame:
 def chunks(units_: DataFrame) -> DataFrame:
     """One chunk per indexable unit; the id is a hash, so a recomputation gives the same."""
     u = units_.where("should_index")
-    return u.select("doc_id", F.sha2(F.concat_ws("|", "unit_id", F.array_join("block_ids", ",")), 256).alias("chunk_id"), "unit_id", "block_ids", "text", "semantic_role", "page_start")
+    return u.select("doc_id", F.sha2(F.concat_ws("|", "unit_id", F.array_join("block_ids", ",")), 256).alias("chunk_id"), "unit_id", "block_ids", *[c for c in ("text",) if c in u.columns], "semantic_role", "page_start")
 
 
 def share(a: Column, b: Column) -> Column:
@@ -35,12 +35,16 @@ def share(a: Column, b: Column) -> Column:
 
 def unit_coverage(units_: DataFrame, chunks_: DataFrame) -> DataFrame:
     """Per unit: its chunks, how many are embedded, and whether all are (none at all is no)."""
-    by_block = chunks_.select("chunk_id", "embedded", F.explode("block_ids").alias("block_id")).distinct()
-    got = units_.select("doc_id", "unit_id", F.explode("block_ids").alias("block_id")).join(by_block, "block_id").select("doc_id", "unit_id", "chunk_id", "embedded").distinct()
-    n = got.groupBy("doc_id", "unit_id").agg(F.count("*").alias("chunks"), F.count_if("embedded").alias("embedded"))
-    out = units_.join(n, ["doc_id", "unit_id"], "left")
-    c = F.coalesce("chunks", F.lit(0))
-    e = F.coalesce("embedded", F.lit(0))
+    n = scratch.parts(units_, chunks_)
+    held = chunks_.select(F.explode("block_ids").alias("block_id"), F.struct("chunk_id", "embedded").alias("chunk"), F.lit(True).alias("is_chunk"))
+    at = units_.select("doc_id", "unit_id", "page_start", "page_end", "should_index", F.posexplode_outer("block_ids").alias("block_no", "block_id"), F.lit(False).alias("is_chunk"))
+    # Units and chunks meet by block, then a unit's blocks by document, where pages and documents stay: no other exchange.
+    both = at.unionByName(held, allowMissingColumns=True).repartition(n, "block_id")
+    at = both.withColumn("held", F.when(F.col("block_id").isNotNull(), F.collect_set("chunk").over(Window.partitionBy("block_id")))).where("not is_chunk").drop("chunk", "is_chunk").repartition(n, "doc_id")
+    own = F.array_distinct(F.flatten(F.collect_list("held").over(Window.partitionBy("doc_id", "unit_id"))))
+    out = at.withColumn("own", F.when(F.col("doc_id").isNotNull() & F.col("unit_id").isNotNull(), own)).where("coalesce(block_no, 0) = 0")
+    out = out.withColumns({"chunks": F.size(F.coalesce("own", F.array().cast(at.schema["held"].dataType))).cast("long"), "embedded": F.size(F.coalesce(F.filter("own", lambda x: x["embedded"]), F.array().cast(at.schema["held"].dataType))).cast("long")})
+    c, e = F.col("chunks"), F.col("embedded")
     reason = F.when(~F.col("should_index"), None).when(c == 0, "no_chunk").when(e < c, "not_embedded")
     return out.select("doc_id", "unit_id", "page_start", "page_end", "should_index", c.alias("chunks"), e.alias("embedded"), ((c > 0) & (e == c)).alias("all_embedded"), reason.alias("missing_reason"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.scratch import written
 from lexmill.operators import blocks as B
 from lexmill.operators import coverage as C
 from lexmill.operators import tables as T
@@ -123,8 +124,8 @@ _UNITS = f"""{Q.BLOCKS}, u AS (SELECT doc_id, position, page_number, content, ro
 
 
 def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Units of all documents, and chunks of most of them, most embedded."""
-    units = C.units(B.line_blocks(table(spark, d, "documents")))
+    """Units of all documents, written once and without their texts, and chunks of most of them, most embedded."""
+    units = written(C.units(B.line_blocks(table(spark, d, "documents"))).drop("text"), "covered-units")
     at = F.col("doc_id") + F.regexp_extract(F.get("block_ids", F.lit(0)), r"-p-(\d+)$", 1).cast("long")
     chunks = C.chunks(units).where(at % 11 != 0).withColumn("embedded", at % 7 != 0)
     return units, chunks

@@ -78,6 +78,20 @@ def test_changes_that_meet_are_told_anew(spark):
     assert got == [*texts[:2], "Page 7\nChanged\nChanged this\nChanged page 8", None, "Added x on page 9\nAdded y on page 10", "Added z on page 11"]
 
 
+def test_units_and_chunks_meet_in_two_exchanges(spark):
+    for name, most in (("unit_coverage", 2), ("page_coverage", 2), ("coverage_summary", 2)):
+        assert exchanges(QUERIES[name](spark, DATA)) <= most
+
+
+def test_unit_coverage_on_nulls_and_repeats(spark):
+    from lexmill.operators.coverage import unit_coverage
+
+    units = spark.createDataFrame([(1, "u", 1, 1, True, ["a", "b"]), (1, "v", 1, 2, True, ["b"]), (1, "w", 1, 1, True, None), (2, "u", 1, 1, False, ["z"]), (1, "u", 1, 1, True, ["a", "b"])], "doc_id long, unit_id string, page_start int, page_end int, should_index boolean, block_ids array<string>")
+    chunks = spark.createDataFrame([("c", ["a", "b", "b"], True), ("c", ["b"], True), ("d", ["b"], False), ("e", ["z"], None), ("f", [None], True)], "chunk_id string, block_ids array<string>, embedded boolean")
+    got = sorted((r.doc_id, r.unit_id, r.chunks, r.embedded, r.all_embedded, r.missing_reason) for r in unit_coverage(units, chunks).collect())
+    assert got == [(1, "u", 2, 1, False, "not_embedded")] * 2 + [(1, "v", 2, 1, False, "not_embedded"), (1, "w", 0, 0, False, "no_chunk"), (2, "u", 1, 0, False, None)]
+
+
 def test_the_corpus_is_searched_once_for_a_reranking(spark):
     assert "documents.parquet" not in planned(QUERIES["reranked"](spark, DATA))
     from lexmill.plans.search_plans import chunks
