@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +54,30 @@ def best_partition(anchors: list[float], centres: list[float]) -> list[int] | No
     return owner
 
 
+#: Pages whose lines are Python objects at a time.
+PAGES = 64
+
+
 def assign_rows(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines to row anchors per page; a page whose lines do not tell gives none. A page's rows are few; the dynamic program is
-    sequential, so pandas per page."""
+    sequential, so Python per page."""
     a = anchors.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("centre", "row_number"))).alias("anchors"))
     b = lines.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("centre", "text"))).alias("lines"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                owner = best_partition([x["centre"] for x in r.anchors], [x["centre"] for x in r.lines])
-                rows += [(r.doc_id, r.page_number, r.anchors[o]["row_number"], k, x["text"]) for k, (o, x) in enumerate(zip(owner, r.lines, strict=True))] if owner else []
-            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "row_number", "line_no", "text"])
+    kinds = [("doc_id", pa.int64()), ("page_number", pa.int32()), ("row_number", pa.int32()), ("line_no", pa.int32()), ("text", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Objects are made for a few pages at a time, not for a whole batch.
+        for b in batches:
+            for first in range(0, b.num_rows, PAGES):
+                rows = []
+                for r in b.slice(first, PAGES).to_pylist():
+                    owner = best_partition([x["centre"] for x in r["anchors"]], [x["centre"] for x in r["lines"]])
+                    rows += [(r["doc_id"], r["page_number"], r["anchors"][o]["row_number"], k, x["text"]) for k, (o, x) in enumerate(zip(owner, r["lines"], strict=True))] if owner else []
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return a.join(b, ["doc_id", "page_number"]).mapInPandas(run, "doc_id long, page_number int, row_number int, line_no int, text string")
+    return a.join(b, ["doc_id", "page_number"]).mapInArrow(run, "doc_id long, page_number int, row_number int, line_no int, text string")
 
 
 def row_gaps(records: DataFrame, key: str, number: str, most: int = 100) -> DataFrame:

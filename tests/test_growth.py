@@ -98,3 +98,15 @@ def test_the_corpus_is_searched_once_for_a_reranking(spark):
 
     p = chunks(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("refers\\s+to") == 1
+
+
+def test_lines_of_few_pages_are_objects_at_a_time(spark, monkeypatch):
+    from lexmill.operators import catalog
+
+    pages = 3 * catalog.PAGES + 1
+    lines = spark.range(pages).selectExpr("id as doc_id", "1 as page_number", "explode(array(10D, 22D, 50D)) as centre").withColumn("text", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("centre").cast("int").cast("string")))
+    anchors = spark.range(pages).selectExpr("id as doc_id", "1 as page_number", "inline(array(struct(10D as centre, 7 as row_number), struct(if(id = 5, 200D, 50D) as centre, 8 as row_number)))")
+    got = catalog.assign_rows(anchors, lines)
+    assert "MapInArrow" in planned(got)
+    rows = {(r.doc_id, r.line_no): (r.row_number, r.text) for r in got.collect()}
+    assert len(rows) == 3 * (pages - 1) and (5, 0) not in rows and [rows[(pages - 1, i)] for i in range(3)] == [(7, f"{pages - 1}-10"), (7, f"{pages - 1}-22"), (8, f"{pages - 1}-50")]
