@@ -128,8 +128,11 @@ def reader_text(c: Column) -> Column:
         ends = ~inside & line.rlike(r"[。！？.!?；;:]$")
         return F.when(item, state(closed(s), line, line, F.lit(True))).when(ends, state(F.array_append(done, text), F.lit(""), F.lit(""), F.lit(False))).otherwise(state(done, text, line, inside))
 
-    whole = F.aggregate(lines, start, step, lambda s: F.array_join(closed(s), "\n\n"))
-    return F.when(F.size(lines) < 2, F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).otherwise(whole)
+    def whole(lines: Column) -> Column:
+        folded = F.aggregate(lines, start, step, lambda s: F.array_join(closed(s), "\n\n"))
+        return F.when(F.size(lines) < 2, F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).otherwise(folded)
+
+    return F.get(F.transform(F.array(lines), whole), F.lit(0))  # the lines are cut once
 
 
 def tags(role: Column, page_type: Column, parser: Column, kind: Column) -> Column:

@@ -4,9 +4,12 @@ Nulls: a null policy is inline, a null reading order 0, a null page 1; repeated
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import scratch
 from lexmill.functions.extract import reader_text
 
 
@@ -20,38 +23,42 @@ def projection(blocks: DataFrame, tables: DataFrame, figures: DataFrame, units:
 
     Blocks: doc_id, block_id, page_number, reading_order, reader_policy, display_kind, text.  Tables: doc_id, table_id, block_id, page_number.
     Figures: doc_id, figure_id, block_id, page_number.  Units: doc_id, unit_id, block_ids, table_ids."""
+    n = scratch.parts(blocks, tables, figures, units)
     page = F.coalesce("page_number", F.lit(1))
-    own = tables.where("block_id <> ''").groupBy("doc_id", "block_id").agg(F.max("table_id").alias("table_id"))
-    pictures = figures.where("block_id <> ''").groupBy("doc_id", "block_id").agg(F.max("figure_id").alias("figure_id"))
     policy = F.coalesce(F.when(F.col("reader_policy") != "", F.col("reader_policy")), F.lit("inline"))
-    b = blocks.select("doc_id", "block_id", page.alias("page_number"), F.coalesce("reading_order", F.lit(0)).alias("reading_order"), policy.alias("policy"), F.coalesce("display_kind", F.lit("")).alias("display_kind"), "text")
-    b = b.where("policy <> 'hidden'").join(own, ["doc_id", "block_id"], "left").join(pictures, ["doc_id", "block_id"], "left")
-    kind = F.when((F.col("policy") == "table") | F.col("table_id").isNotNull(), "table").when((F.col("policy") == "source_snapshot") | F.col("figure_id").isNotNull() | (F.col("display_kind") == "figure"), "figure").otherwise("text")
-    shown = b.select(
-        "doc_id", F.lit(0).alias("part"), "page_number", "reading_order", F.col("block_id").alias("id"), kind.alias("type"), F.when(kind == "table", F.col("table_id")).alias("table_id"),
-        F.when(kind == "figure", F.col("figure_id")).alias("figure_id"), F.array("block_id").alias("block_ids"), F.when(kind == "text", reader_text(F.col("text"))).alias("text"),
-    )
-
-    def left_over(rows: DataFrame, name: str, part: int) -> DataFrame:
-        used = shown.where(F.col(f"{name}_id").isNotNull()).select("doc_id", f"{name}_id")
-        rest = rows.where(F.coalesce(f"{name}_id", F.lit("")) != "").join(used, ["doc_id", f"{name}_id"], "left_anti")
-        ids = {n: (F.col(f"{n}_id") if n == name else F.lit(None).cast("string")) for n in ("table", "figure")}
-        at = F.when(F.coalesce("block_id", F.lit("")) != "", F.array("block_id")).otherwise(_none())
-        return rest.select("doc_id", F.lit(part).alias("part"), page.alias("page_number"), F.lit(0).alias("reading_order"), F.col(f"{name}_id").alias("id"), F.lit(name).alias("type"), ids["table"].alias("table_id"), ids["figure"].alias("figure_id"), at.alias("block_ids"), F.lit(None).cast("string").alias("text"))
-
-    rows = shown.unionByName(left_over(tables, "table", 1)).unionByName(left_over(figures, "figure", 2))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", F.when(F.col("part") == 0, F.col("page_number")), "reading_order", "id"))
-    rows = rows.withColumn("n", n)
-    by_block = units.select("doc_id", "unit_id", F.explode("block_ids").alias("block_id")).distinct()
-    by_table = units.select("doc_id", "unit_id", F.explode("table_ids").alias("table_id")).distinct()
-    named = (
-        rows.select("doc_id", "n", F.explode("block_ids").alias("block_id")).join(by_block, ["doc_id", "block_id"]).select("doc_id", "n", "unit_id")
-        .unionByName(rows.join(by_table, ["doc_id", "table_id"]).select("doc_id", "n", "unit_id"))
+    # All rows of a document are dealt together once; they meet by block, table and figure in windows there.
+    rows = [
+        blocks.select("doc_id", "block_id", page.alias("page_number"), F.lit(0).alias("part"), F.coalesce("reading_order", F.lit(0)).alias("reading_order"), policy.alias("policy"), F.coalesce("display_kind", F.lit("")).alias("display_kind"), "text").where("policy <> 'hidden'"),
+        tables.select("doc_id", "block_id", page.alias("page_number"), F.lit(1).alias("part"), "table_id"),
+        figures.select("doc_id", "block_id", page.alias("page_number"), F.lit(2).alias("part"), "figure_id"),
+        units.select("doc_id", F.explode("block_ids").alias("block_id"), F.lit(3).alias("part"), "unit_id"),
+        units.select("doc_id", F.explode("table_ids").alias("table_id"), F.lit(3).alias("part"), "unit_id"),
+    ]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).repartition(n, "doc_id")
+    known = lambda c: F.col("doc_id").isNotNull() & F.col(c).isNotNull()
+    at_block, of = Window.partitionBy("doc_id", "block_id"), lambda part, c: F.when(F.col("part") == part, F.col(c))
+    shown, named = F.col("part") == 0, known("block_id") & (F.col("block_id") != "")
+    every = every.withColumns({
+        "table_here": F.when(shown & named, F.max(of(1, "table_id")).over(at_block)), "figure_here": F.when(shown & named, F.max(of(2, "figure_id")).over(at_block)),
+        "by_block": F.when(known("block_id"), F.collect_set(of(3, "unit_id")).over(at_block)),
+    }).where("part < 3 or table_id is not null")
+    kind = F.when((F.col("policy") == "table") | F.col("table_here").isNotNull(), "table").when((F.col("policy") == "source_snapshot") | F.col("figure_here").isNotNull() | (F.col("display_kind") == "figure"), "figure").otherwise("text")
+    every = every.withColumn("type", F.when(shown, kind).when(F.col("part") == 1, "table").when(F.col("part") == 2, "figure"))
+    every = every.withColumns({"table_id": F.when(shown, F.when(F.col("type") == "table", F.col("table_here"))).otherwise(F.col("table_id")), "figure_id": F.when(shown, F.when(F.col("type") == "figure", F.col("figure_here"))).otherwise(F.col("figure_id"))}).drop("table_here", "figure_here")
+    at_table, at_figure = Window.partitionBy("doc_id", "table_id"), Window.partitionBy("doc_id", "figure_id")
+    every = every.withColumns({"by_table": F.when(known("table_id"), F.collect_set(of(3, "unit_id")).over(at_table)), "placed": F.when(known("table_id"), F.max(shown).over(at_table))})
+    # What a visible block shows is not shown again after the blocks.
+    left = lambda c: (F.coalesce(c, F.lit("")) != "") & ~F.coalesce("placed", F.lit(False))
+    every = every.where(shown | ((F.col("part") == 1) & left("table_id")) | (F.col("part") == 2))
+    every = every.withColumn("placed", F.when(known("figure_id"), F.max(shown).over(at_figure))).where((F.col("part") < 2) | left("figure_id"))
+    key = F.when(shown, F.col("block_id")).when(F.col("part") == 1, F.col("table_id")).otherwise(F.col("figure_id"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", F.when(shown, F.col("page_number")), "reading_order", "id"))
+    every = every.withColumns({"id": key, "reading_order": F.coalesce("reading_order", F.lit(0))}).withColumn("n", nth)
+    at = F.when(shown | (F.coalesce("block_id", F.lit("")) != ""), F.array("block_id")).otherwise(_none())
+    return every.select(
+        "doc_id", F.format_string("rb-%06d", "n").alias("reader_block_id"), "n", "page_number", "type", at.alias("block_ids"), "table_id", "figure_id", F.when(F.col("type") == "text", reader_text(F.col("text"))).alias("text"),
+        F.sort_array(F.array_union(F.coalesce(F.when(F.size(at) > 0, F.col("by_block")), _none()), F.coalesce("by_table", _none()))).alias("unit_ids"),
     )
-    units_of = named.groupBy("doc_id", "n").agg(F.array_sort(F.collect_set("unit_id")).alias("unit_ids"))
-    return rows.join(units_of, ["doc_id", "n"], "left").select(
-        "doc_id", F.format_string("rb-%06d", "n").alias("reader_block_id"), "n", "page_number", "type", "block_ids", "table_id", "figure_id", "text", F.coalesce("unit_ids", _none()).alias("unit_ids")
-    )
 
 
 def signal_targets(signals: DataFrame) -> DataFrame:
@@ -76,9 +83,15 @@ def with_signals(reader_blocks: DataFrame, targets: DataFrame) -> DataFrame:
     key = ["doc_id", "reader_block_id"]
     one = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("target")))
     spots = F.concat(F.array(F.struct(F.lit("page").alias("kind"), F.col("page_number").cast("string").alias("target")), one("table", "table_id"), one("figure", "figure_id")), F.transform("block_ids", lambda x: F.struct(F.lit("block").alias("kind"), x.alias("target"))))
-    at = reader_blocks.select(*key, F.explode(F.filter(spots, lambda x: x.isNotNull())).alias("t")).select(*key, "t.*")
-    codes = at.join(targets, ["doc_id", "kind", "target"]).groupBy(*key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    return reader_blocks.join(codes, key, "left").withColumn("codes", F.coalesce("codes", _none()))
+    # Reader blocks and targets are dealt by document, where they meet by target and a block's spots by block.
+    n = scratch.parts(reader_blocks, targets)
+    at = reader_blocks.select("*", F.posexplode(F.filter(spots, lambda x: x.isNotNull())).alias("spot_no", "spot")).select("*", "spot.kind", "spot.target").drop("spot").repartition(n, "doc_id")
+    told = targets.select("doc_id", "kind", "target", "code").repartition(n, "doc_id")
+    at = at.unionByName(told, allowMissingColumns=True)
+    found = F.when(F.col("target").isNotNull(), F.collect_set("code").over(Window.partitionBy("doc_id", "kind", "target")))
+    at = at.withColumn("found", found).where("spot_no is not null")
+    codes = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found").over(Window.partitionBy(*key)))))
+    return at.withColumn("codes", codes).where("spot_no = 0").select(*reader_blocks.columns, "codes")
 
 
 def page_signals(pages: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -110,3 +110,28 @@ def test_lines_of_few_pages_are_objects_at_a_time(spark, monkeypatch):
     assert "MapInArrow" in planned(got)
     rows = {(r.doc_id, r.line_no): (r.row_number, r.text) for r in got.collect()}
     assert len(rows) == 3 * (pages - 1) and (5, 0) not in rows and [rows[(pages - 1, i)] for i in range(3)] == [(7, f"{pages - 1}-10"), (7, f"{pages - 1}-22"), (8, f"{pages - 1}-50")]
+
+
+def test_a_reader_view_is_dealt_once_by_document(spark):
+    assert exchanges(QUERIES["reader_projection"](spark, DATA)) <= 7  # five are the plan's own grouping of line items
+    assert exchanges(QUERIES["reader_signals"](spark, DATA)) <= 10
+
+
+def test_reader_view_on_nulls_and_hidden_blocks(spark):
+    from lexmill.operators.reader import projection, with_signals
+
+    blocks = spark.createDataFrame(
+        [(1, "a", 1, 1, None, None, "x"), (1, "b", 1, 2, "hidden", None, "y"), (1, "", 2, None, None, "figure", None), (1, "c", None, 0, "table", None, "z")],
+        "doc_id long, block_id string, page_number int, reading_order int, reader_policy string, display_kind string, text string",
+    )
+    tables = spark.createDataFrame([(1, "t1", "a", 1), (1, "t2", "a", 1), (1, "t3", "b", 4), (1, "t4", "", 5), (1, "", "a", 6)], "doc_id long, table_id string, block_id string, page_number int")
+    figures = spark.createDataFrame([(1, "f1", "", None), (1, "f2", "c", 1)], "doc_id long, figure_id string, block_id string, page_number int")
+    units = spark.createDataFrame([(1, "u", ["a", "a", None], None), (1, "v", None, ["t2", "t4"]), (1, "w", [""], ["t3", None])], "doc_id long, unit_id string, block_ids array<string>, table_ids array<string>")
+    got = projection(blocks, tables, figures, units)
+    rows = [(r.type, r.block_ids, r.table_id, r.figure_id, r.unit_ids) for r in got.orderBy("n").collect()]
+    assert rows == [
+        ("table", ["c"], None, None, []), ("table", ["a"], "t2", None, ["u", "v"]), ("figure", [""], None, None, ["w"]), ("table", ["a"], "t1", None, ["u"]), ("table", ["b"], "t3", None, ["w"]), ("table", [], "t4", None, ["v"]),
+        ("figure", [], None, "f1", []), ("figure", ["c"], None, "f2", []),
+    ]
+    targets = spark.createDataFrame([(1, "block", "a", "p"), (1, "table", "t2", "q"), (1, "page", "2", "r"), (1, "page", None, "s")], "doc_id long, kind string, target string, code string")
+    assert [r.codes for r in with_signals(got, targets).orderBy("n").collect()] == [[], ["p", "q"], ["r"], ["p"], [], [], [], []]
